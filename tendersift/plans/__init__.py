@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("q_sources", "q_portraits", "q_rules", "q_screens", "q_network")
+_MODULES = ("q_sources", "q_portraits", "q_rules", "q_screens", "q_network", "q_ml")
 
 
 def load_all() -> None:

@@ -47,13 +47,13 @@ def _pick(df, columns):
 
 
 _BUYER = {
-    "buyer_id": None, "total_tenders": None, "total_value": 2, "avg_value": 3, "median_value": 3, "single_bidder_rate": 6,
+    "buyer_id": None, "total_tenders": None, "total_value": 2, "avg_value": 6, "median_value": 3, "single_bidder_rate": 6,
     "competitive_rate": 6, "avg_discount_pct": 6, "unique_suppliers": None, "avg_tenderers": 6, "avg_award_days": 6,
     "weekend_rate": 6, "q4_rate": 6, "supplier_diversity_index": 6, "value_variance_coeff": 6, "cpv_concentration": 6,
 }
-_SUPPLIER = {"supplier_id": None, "total_awards": None, "total_value": 2, "avg_award_value": 3, "buyer_count": None,
+_SUPPLIER = {"supplier_id": None, "total_awards": None, "total_value": 2, "avg_award_value": 6, "buyer_count": None,
              "single_bidder_rate": 6, "avg_competitors": 6, "cpv_diversity": None}
-_PAIR = {"buyer_id": None, "supplier_id": None, "contracts_count": None, "total_value": 2, "avg_value": 3,
+_PAIR = {"buyer_id": None, "supplier_id": None, "contracts_count": None, "total_value": 2, "avg_value": 6,
          "single_bidder_rate": 6, "exclusivity_buyer": 6, "exclusivity_supplier": 6, "temporal_concentration": 6}
 
 
@@ -109,12 +109,12 @@ def _(d):
     return rounded(portraits.pair_stats(d.tenders), pair_value=2)
 
 
-@query("agg_bid_stats", """SELECT tender_id, count(bid_amount) AS bid_count, round(min(bid_amount), 3) AS bid_min, round(max(bid_amount), 3) AS bid_max,
-round(avg(bid_amount), 3) AS bid_mean, round(stddev_samp(bid_amount), 3) AS bid_std, round(stddev_samp(bid_amount) / nullif(avg(bid_amount), 0), 6) AS bid_cv,
+@query("agg_bid_stats", """SELECT tender_id, count(bid_amount) AS bid_count, round(min(bid_amount), 6) AS bid_min, round(max(bid_amount), 6) AS bid_max,
+round(avg(bid_amount), 6) AS bid_mean, round(stddev_samp(bid_amount), 6) AS bid_std, round(stddev_samp(bid_amount) / nullif(avg(bid_amount), 0), 6) AS bid_cv,
 round(max(bid_amount) / nullif(min(bid_amount), 0), 6) AS bid_spread FROM bids GROUP BY 1""")
 def _(d):
     out = tender_bid_stats(d.bids).select("tender_id", "bid_count", "bid_min", "bid_max", "bid_mean", "bid_std", "bid_cv", "bid_spread")
-    return rounded(out, bid_min=3, bid_max=3, bid_mean=3, bid_std=3, bid_cv=6, bid_spread=6)
+    return rounded(out, bid_min=6, bid_max=6, bid_mean=6, bid_std=6, bid_cv=6, bid_spread=6)
 
 
 @query("agg_buyer_hhi", """, v AS (SELECT buyer_id, supplier_id, sum(tender_value) AS v FROM tenders WHERE supplier_id IS NOT NULL GROUP BY 1, 2)
@@ -183,6 +183,6 @@ def _(d):
 count(*) FILTER (WHERE award_criteria = 'ratedCriteria') AS ratedCriteria,
 round(count(*) FILTER (WHERE award_criteria = 'lowestCost') * 100.0::DOUBLE / count(award_criteria), 4) AS lowest_pct FROM tenders GROUP BY 1""")
 def _(d):
-    wide = d.tenders.groupBy("procurement_method").pivot("award_criteria", ["lowestCost", "ratedCriteria"]).agg(F.count("*")).fillna(0)
+    wide = d.tenders.groupBy("procurement_method").pivot("award_criteria", ["lowestCost", "ratedCriteria"]).count().fillna(0)
     share = F.col("lowestCost") * 100.0 / (F.col("lowestCost") + F.col("ratedCriteria"))
     return wide.withColumn("lowest_pct", F.round(share, 4))

@@ -36,10 +36,10 @@ _T = "CAST(tender_id AS VARCHAR) AS tender_id, CAST(buyer_id AS VARCHAR) AS buye
 _TCOLS = ["tender_id", "buyer_id", "procurement_method", "tender_value", "is_weekend", "published_date"]
 
 
-@query("src_tenders", f"""SELECT {_T}, round(tender_value, 4) AS tender_value, is_weekend, published_date FROM tenders""")
+@query("src_tenders", f"""SELECT {_T}, round(tender_value, 6) AS tender_value, is_weekend, published_date FROM tenders""")
 def _(d):
     out = readers.load_tenders(d.spark, _exported(d), years=[*_years(d), 1900], columns=[*_TCOLS, "unknown"])
-    return rounded(out, tender_value=4).withColumn("is_weekend", F.col("is_weekend").cast("int"))
+    return rounded(out, tender_value=6).withColumn("is_weekend", F.col("is_weekend").cast("int"))
 
 
 @query("src_tenders_sampled")
@@ -47,12 +47,12 @@ def _(d):
     return readers.load_tenders(d.spark, _exported(d), years=_years(d), columns=_TCOLS, sample_frac=0.25)
 
 
-@query("src_bids", """SELECT CAST(tender_id AS VARCHAR) AS tender_id, bid_id, round(bid_amount, 4) AS bid_amount,
+@query("src_bids", """SELECT CAST(tender_id AS VARCHAR) AS tender_id, bid_id, round(bid_amount, 6) AS bid_amount,
 bid_status, bid_date, is_winner FROM bids""")
 def _(d):
     out = readers.load_bids(d.spark, _exported(d), years=_years(d),
                             columns=["tender_id", "bid_id", "bid_amount", "bid_status", "bid_date", "is_winner"])
-    return rounded(out, bid_amount=4).withColumn("is_winner", F.col("is_winner").cast("int"))
+    return rounded(out, bid_amount=6).withColumn("is_winner", F.col("is_winner").cast("int"))
 
 
 @query("src_buyers", """SELECT CAST(buyer_id AS VARCHAR) AS buyer_id, 'region ' || buyer_id % 5 AS buyer_region,
@@ -164,11 +164,11 @@ def _(d):
                             F.coalesce("supplier_id", F.lit(-1)).alias("supplier"))
 
 
-@query("sc_nullif_zero", """SELECT tender_id, round(tender_value / nullif(number_of_documents, 0), 4) AS per_document,
+@query("sc_nullif_zero", """SELECT tender_id, round(tender_value / nullif(number_of_documents, 0), 6) AS per_document,
 CASE WHEN number_of_documents = 0 THEN 1 ELSE 0 END AS no_documents FROM tenders""")
 def _(d):
     return d.tenders.select(
-        "tender_id", F.round(E.ratio(F.col("tender_value"), F.col("number_of_documents")), 4).alias("per_document"),
+        "tender_id", F.round(E.ratio(F.col("tender_value"), F.col("number_of_documents")), 6).alias("per_document"),
         E.flag(F.col("number_of_documents") == 0).alias("no_documents"))
 
 

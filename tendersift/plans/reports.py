@@ -101,7 +101,7 @@ def headline_summary(tenders: DataFrame, buyers: DataFrame, suppliers: DataFrame
 
 def risk_by_method(results: DataFrame) -> DataFrame:
     """Levels per procurement method with row percentages, and mean, median and largest score."""
-    wide = results.groupBy("procurement_method").pivot("rule_risk_level", list(E.LEVELS)).agg(F.count("*")).fillna(0)
+    wide = results.groupBy("procurement_method").pivot("rule_risk_level", list(E.LEVELS)).count().fillna(0)
     total = sum((F.col(x) for x in E.LEVELS[1:]), F.col(E.LEVELS[0]))
     scores = results.groupBy("procurement_method").agg(
         F.avg("rule_risk_score").alias("mean_score"), F.median("rule_risk_score").alias("median_score"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and stops plans of iterative jobs from growing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and read them back.
+
+    Survives executor loss, stops the plans of iterative jobs from growing, and gives the next round true
+    sizes (a checkpointed frame keeps the size estimate of its whole history).
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tendersift/{spark.sparkContext.applicationId}/steps/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
