@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("q_sources", "q_portraits", "q_rules", "q_screens", "q_network", "q_ml")
+_MODULES = ("q_sources", "q_portraits", "q_rules", "q_screens", "q_network", "q_ml", "q_ensemble", "q_reports", "q_validation")
 
 
 def load_all() -> None:

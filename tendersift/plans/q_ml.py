@@ -14,14 +14,14 @@ from tendersift.schemas import ML_FEATURES
 
 
 @query("ml_value_vs_cpv_median", """, m AS (SELECT main_cpv_2_digit AS cpv, median(award_value) AS md FROM tenders WHERE main_cpv_2_digit IS NOT NULL GROUP BY 1)
-SELECT tender_id, round(coalesce(award_value, 0) / greatest(md, 1), 6) AS value_vs_cpv_median FROM tenders LEFT JOIN m ON main_cpv_2_digit = cpv""")
+SELECT tender_id, round(CASE WHEN md IS NOT NULL THEN coalesce(award_value, 0) / greatest(md, 1) END, 6) AS value_vs_cpv_median FROM tenders LEFT JOIN m ON main_cpv_2_digit = cpv""")
 def _(d):
     return rounded(scaling.value_vs_cpv_median(d.tenders).select("tender_id", "value_vs_cpv_median"), value_vs_cpv_median=6)
 
 
 @query("ml_tender_features", """, m AS (SELECT main_cpv_2_digit AS cpv, median(award_value) AS md FROM tenders WHERE main_cpv_2_digit IS NOT NULL GROUP BY 1)
 , bp AS (SELECT buyer_id, avg(is_single_bidder) AS sbr, count(*) AS n FROM tenders GROUP BY 1)
-SELECT tender_id, round(coalesce(award_value, 0) / greatest(md, 1), 6) AS value_vs_cpv_median, number_of_tenderers, is_weekend, round(sbr, 6) AS single_bidder_rate, n AS total_tenders
+SELECT tender_id, round(CASE WHEN md IS NOT NULL THEN coalesce(award_value, 0) / greatest(md, 1) END, 6) AS value_vs_cpv_median, number_of_tenderers, is_weekend, round(sbr, 6) AS single_bidder_rate, n AS total_tenders
 FROM tenders LEFT JOIN m ON main_cpv_2_digit = cpv LEFT JOIN bp USING (buyer_id)""")
 def _(d):
     wide, _ = scaling.tender_features(d.tenders, d.buyers, d.suppliers)
