@@ -27,10 +27,10 @@ def triangles(edges: DataFrame) -> DataFrame:
         .join(deg.select(F.col("node").alias("dst"), F.col("degree").alias("d2")), "dst")
     )
     up = (F.col("d1") < F.col("d2")) | ((F.col("d1") == F.col("d2")) & (F.col("src") < F.col("dst")))
-    oriented = named.select(
+    oriented = cut_lineage(named.select(
         F.when(up, F.col("src")).otherwise(F.col("dst")).alias("lo"),
         F.when(up, F.col("dst")).otherwise(F.col("src")).alias("hi"),
-    )
+    ))
     first = oriented.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     second = oriented.select(F.col("lo").alias("b"), F.col("hi").alias("c"))
     closing = oriented.select(F.col("lo").alias("a"), F.col("hi").alias("c"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tendersift.functions import expr as E
 from tendersift.operators import edges as N, graph
 from tendersift.operators.quantiles import exact_quantiles
+from tendersift.session import cut_lineage
 
 
 def suspicious_suppliers(metrics: DataFrame, min_degree: int = 10, min_clustering: float = 0.7) -> DataFrame:
@@ -60,9 +61,10 @@ def detect(
     """Network flags per tender; without bids only the buyer-supplier part is used."""
     suspicious = rotating = None
     if bids is not None:
-        metrics = graph.clustering(N.cobid_edges(tenders, bids, min_co_bids))
+        # The edge tables are read several times below, so they are written once.
+        metrics = graph.clustering(cut_lineage(N.cobid_edges(tenders, bids, min_co_bids)))
         suspicious = suspicious_suppliers(metrics, suspicious_min_degree, suspicious_min_clustering)
-        arcs = N.winlose_edges(tenders, bids, min_co_bids)
+        arcs = cut_lineage(N.winlose_edges(tenders, bids, min_co_bids))
         rotating = rotating_suppliers(N.reciprocal(arcs), rotation_min_ratio, rotation_min_interactions)
     monopolies = strict_monopolies(N.monopolistic_pairs(tenders), monopoly_min_ratio, monopoly_min_contracts)
     return tender_flags(tenders, suspicious, monopolies, rotating)

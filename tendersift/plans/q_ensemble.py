@@ -83,11 +83,11 @@ def _(d):
 _COLS = [f"{m}_{k}" for m in _M for k in ("score", "anomaly")]
 
 
-@query("ens_combine", COMBINED + "SELECT tender_id, " + ", ".join(f"round({c}, 5) AS {c}" if c.endswith("score") else c for c in _COLS)
-       + ", round(ensemble_score, 5) AS ensemble_score, consensus_count, consensus_pct, ensemble_anomaly, ensemble_risk_level FROM ens")
+@query("ens_combine", COMBINED + "SELECT tender_id, " + ", ".join(f"round({c}, 9) AS {c}" if c.endswith("score") else c for c in _COLS)
+       + ", round(ensemble_score, 9) AS ensemble_score, consensus_count, consensus_pct, ensemble_anomaly, ensemble_risk_level FROM ens")
 def _(d):
     out = combined(d).select("tender_id", *_COLS, "ensemble_score", "consensus_count", "consensus_pct", "ensemble_anomaly", "ensemble_risk_level")
-    return rounded(out, **{c: 5 for c in [*_COLS, "ensemble_score"] if c.endswith("score")})
+    return rounded(out, ensemble_score=9, **{c: 9 for c in _COLS if c.endswith("score")})
 
 
 @query("ens_combine_five")
@@ -143,7 +143,7 @@ def _(d):
 
 _NAMES = {"rule": "Правила", "stat": "Статистика", "lof": "LOF", "network": "Мережа"}
 _SHOWN = ", ".join(f"CASE WHEN {m}_anomaly = 1 THEN printf('{n}(%.2f)', {m}_score) END" for m, n in _NAMES.items())
-_FIRED = "list_filter([" + ", ".join(f"CASE WHEN flag_{n} = 1 THEN '{n}' END" for n in FLAGS) + "], x -> x IS NOT NULL)"
+_FIRED = "list_filter([" + ", ".join(f"CASE WHEN flag_{n} = 1 THEN '{n}' END" for n in FLAGS) + "], lambda x: x IS NOT NULL)"
 EXPLAINED = COMBINED + f""", ex0 AS (SELECT e.*, r.fired, n.network_rotation, n.network_monopolistic, n.network_suspicious_supplier, p.single_bidder_rate AS sbr, p.supplier_diversity_index AS div, p.competitive_rate AS cr
   FROM ens e JOIN (SELECT tender_id, buyer_id, {_FIRED} AS fired FROM ruled) r USING (tender_id) JOIN net_0 n USING (tender_id) LEFT JOIN buyer_p p ON p.buyer_id = r.buyer_id)
 , explained AS (SELECT tender_id, consensus_count, CASE WHEN consensus_count < 2 THEN '' ELSE concat_ws(' | ',

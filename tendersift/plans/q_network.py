@@ -75,9 +75,9 @@ def _(d):
     return graph.directed_rings(d.winlose)
 
 
-@query("net_buyer_supplier_edges", EDGES + "SELECT buyer_id, supplier_id, contract_count AS weight, round(total_value, 2) AS value FROM contracts")
+@query("net_buyer_supplier_edges", EDGES + "SELECT buyer_id, supplier_id, contract_count AS weight, round(total_value, 6) AS value FROM contracts")
 def _(d):
-    return rounded(N.buyer_supplier_edges(d.tenders, 3), value=2)
+    return rounded(N.buyer_supplier_edges(d.tenders, 3), value=6)
 
 
 @query("net_monopolistic_pairs", EDGES + "SELECT buyer_id, supplier_id, contract_count, round(total_value, 2) AS total_value, total_contracts, round(dominance_ratio, 6) AS dominance_ratio FROM mono")
@@ -111,9 +111,9 @@ def _collusion_communities(d):
     return d.staged("collusion_communities", lambda: C.communities(_collusion(d)))
 
 
-@query("net_collusion_edges", COLLUSION + "SELECT src, dst, edge_type, weight, cobid_weight, winlose_weight, round(value, 2) AS value FROM collusion")
+@query("net_collusion_edges", COLLUSION + "SELECT src, dst, edge_type, weight, cobid_weight, winlose_weight, round(value, 6) AS value FROM collusion")
 def _(d):
-    return rounded(_collusion(d), value=2)
+    return rounded(_collusion(d), value=6)
 
 
 @query("net_collusion_communities")

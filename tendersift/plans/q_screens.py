@@ -44,10 +44,10 @@ for _key, _stat, _flag in (
     ("stat_bid_kurtosis", "bid_kurtosis", "stat_kurtosis_anomaly"),
 ):
     def _statistic(key: str, stat: str, flag: str) -> None:
-        @query(key, f"{SCREENED} SELECT tender_id, round({stat}, 5) AS statistic, {flag} AS flag FROM screened")
+        @query(key, f"{SCREENED} SELECT tender_id, round({stat}, 7) AS statistic, {flag} AS flag FROM screened")
         def _(d):
             out = screens.bid_screens(d.tenders, d.bids)
-            return out.select("tender_id", F.round(stat, 5).alias("statistic"), F.col(flag).alias("flag"))
+            return out.select("tender_id", F.round(stat, 7).alias("statistic"), F.col(flag).alias("flag"))
 
     _statistic(_key, _stat, _flag)
 
