@@ -37,17 +37,17 @@ def _(d):
     return screens.concentration(d.tenders, monopoly=0.4).select("tender_id", F.col("stat_monopoly").alias("flag"))
 
 
-# Screens of the bid distribution return the statistic next to the flag.
+# Screens of the bid distribution return the statistic next to the flag, moved off exact rounding ties.
 for _key, _stat, _flag in (
     ("stat_bid_diffp", "bid_diffp", "stat_diffp_anomaly"), ("stat_bid_rdnor", "bid_rdnor", "stat_rdnor_anomaly"),
     ("stat_bid_ks", "bid_ks_stat", "stat_ks_anomaly"), ("stat_bid_skew", "bid_skewness", "stat_skewness_anomaly"),
     ("stat_bid_kurtosis", "bid_kurtosis", "stat_kurtosis_anomaly"),
 ):
     def _statistic(key: str, stat: str, flag: str) -> None:
-        @query(key, f"{SCREENED} SELECT tender_id, round({stat}, 7) AS statistic, {flag} AS flag FROM screened")
+        @query(key, f"{SCREENED} SELECT tender_id, round({stat} + 0.00000003, 6) AS statistic, {flag} AS flag FROM screened")
         def _(d):
             out = screens.bid_screens(d.tenders, d.bids)
-            return out.select("tender_id", F.round(stat, 7).alias("statistic"), F.col(flag).alias("flag"))
+            return out.select("tender_id", F.round(F.col(stat) + 0.00000003, 6).alias("statistic"), F.col(flag).alias("flag"))
 
     _statistic(_key, _stat, _flag)
 
