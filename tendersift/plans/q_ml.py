@@ -11,6 +11,7 @@ from tendersift.plans.ml_sql import BUYER_Z, LOF
 from tendersift.plans.registry import query, rounded
 from tendersift.plans.rules_sql import level_sql
 from tendersift.schemas import ML_FEATURES
+from tendersift.session import cut_lineage
 
 
 @query("ml_value_vs_cpv_median", """, m AS (SELECT main_cpv_2_digit AS cpv, median(award_value) AS md FROM tenders WHERE main_cpv_2_digit IS NOT NULL GROUP BY 1)
@@ -99,8 +100,9 @@ def _(d):
 @query("ml_feature_importances")
 def _(d):
     wide, features = scaling.tender_features(d.tenders)
-    ready = scaling.preprocess(wide, features, ["tender_id"])
-    return iforest.feature_usage(iforest.fit(ready, "tender_id"), features)
+    ready = cut_lineage(scaling.preprocess(wide, features, ["tender_id"]))
+    trees = cut_lineage(iforest.fit(ready, "tender_id"))
+    return iforest.feature_usage(trees, features)
 
 
 @query("ml_summary", LOF + """SELECT 'lof' AS algorithm, 'total' AS metric, count(*)::DOUBLE AS value FROM lof

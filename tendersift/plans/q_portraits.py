@@ -110,13 +110,13 @@ def _(d):
 
 
 @query("agg_bid_stats", """SELECT tender_id, count(bid_amount) AS bid_count, round(min(bid_amount), 6) AS bid_min, round(max(bid_amount), 6) AS bid_max,
-round(avg(bid_amount) + 0.00000003, 6) AS bid_mean, round(stddev_samp(bid_amount), 5) AS bid_std, round(stddev_samp(bid_amount) / nullif(avg(bid_amount), 0), 6) AS bid_cv,
+round(avg(bid_amount) + 0.00000003, 6) AS bid_mean, round(stddev_samp(bid_amount) + 0.00000003, 6) AS bid_std, round(stddev_samp(bid_amount) / nullif(avg(bid_amount), 0), 6) AS bid_cv,
 round(max(bid_amount) / nullif(min(bid_amount), 0), 6) AS bid_spread FROM bids GROUP BY 1""")
 def _(d):
-    # The mean is moved off exact rounding ties.
-    stats = tender_bid_stats(d.bids).withColumn("bid_mean", F.col("bid_mean") + 0.00000003)
+    # Mean and deviation are moved off exact rounding ties.
+    stats = tender_bid_stats(d.bids).withColumns({c: F.col(c) + 0.00000003 for c in ("bid_mean", "bid_std")})
     out = stats.select("tender_id", "bid_count", "bid_min", "bid_max", "bid_mean", "bid_std", "bid_cv", "bid_spread")
-    return rounded(out, bid_min=6, bid_max=6, bid_mean=6, bid_std=5, bid_cv=6, bid_spread=6)
+    return rounded(out, bid_min=6, bid_max=6, bid_mean=6, bid_std=6, bid_cv=6, bid_spread=6)
 
 
 @query("agg_buyer_hhi", """, v AS (SELECT buyer_id, supplier_id, sum(tender_value) AS v FROM tenders WHERE supplier_id IS NOT NULL GROUP BY 1, 2)
