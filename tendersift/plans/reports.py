@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tendersift.functions import expr as E
 from tendersift.operators.quantiles import exact_quantiles, one_row
+from tendersift.operators.rules import unpivot_sums
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -126,29 +127,32 @@ def buyer_risk(results: DataFrame, buyers: DataFrame, min_tenders: int = 50, top
     return best.join(buyers.select("buyer_id", "buyer_name", "buyer_region"), "buyer_id", "left")
 
 
+def _later_pairs(items: str) -> Column:
+    """All (earlier, later) pairs of a short array."""
+    after = lambda x, i: F.transform(F.slice(items, i + 2, F.greatest(F.size(items) - i - 1, F.lit(0))), lambda y: F.struct(x.alias("x"), y.alias("y")))
+    return F.flatten(F.transform(items, after))
+
+
 def flag_correlations(results: DataFrame, top: int = 15, min_abs: float = 0.3) -> DataFrame:
     """Pairs among the most frequent flags with a strong correlation.
 
-    All pair coefficients come out of one pass; the choice of the frequent flags is a join on their names.
+    A tender reports the pairs of flags it fired; counts of single flags and of pairs give every coefficient.
     """
     flags = [c for c in results.columns if c.startswith("flag_")]
-    pairs = [(a, b) for i, a in enumerate(flags) for b in flags[i + 1:]]
-    # Sums of 0/1 columns give every coefficient; a pair of columns needs one product sum.
-    sums = results.agg(
-        F.count("*").alias("n"), F.array(*[F.sum(c).cast("double") for c in flags]).alias("s"),
-        F.array(*[F.sum(F.col(a) * F.col(b)).cast("double") for a, b in pairs]).alias("p"))
-    names = F.array(*[F.lit(c) for c in flags])
-    ranked = sums.select(F.posexplode(F.slice(F.sort_array(F.transform(
-        "s", lambda v, i: F.struct((-v).alias("o"), names[i].alias("f"))), True), 1, top)).alias("rk", "e")).select(F.col("e.f").alias("f"))
-    index = {c: i for i, c in enumerate(flags)}
-    rows = []
-    for k, (a, b) in enumerate(pairs):
-        sa, sb, n = F.col("s")[index[a]], F.col("s")[index[b]], F.col("n")
-        r = E.ratio(n * F.col("p")[k] - sa * sb, F.sqrt(sa * (n - sa)) * F.sqrt(sb * (n - sb)))
-        rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
-    table = sums.select(F.inline(F.array(*rows))).where(F.abs("r") > min_abs)
-    return table.join(ranked.select(F.col("f").alias("a")), "a", "left_semi").join(
-        ranked.select(F.col("f").alias("b")), "b", "left_semi").select("a", "b", "r").orderBy(F.desc(F.abs("r")), "a", "b")
+    fired = F.filter(F.array(*[F.when(F.col(c) == 1, F.lit(i)) for i, c in enumerate(flags)]), lambda v: v.isNotNull())
+    together = results.select(fired.alias("f")).select(F.explode(_later_pairs("f")).alias("p")).groupBy(
+        F.col("p.x").alias("ia"), F.col("p.y").alias("ib")).agg(F.count("*").alias("both"))
+    sums = unpivot_sums(results, flags)
+    index = F.array_position(F.array(*[F.lit(c) for c in flags]), F.col("flag")).cast("int") - 1
+    best = sums.orderBy(F.desc("count"), "flag").limit(top).agg(
+        F.sort_array(F.collect_list(F.struct(index.alias("i"), "flag", "count", "total"))).alias("t"))
+    spine = best.select(F.explode(_later_pairs("t")).alias("p")).select(
+        F.col("p.x.i").alias("ia"), F.col("p.y.i").alias("ib"), F.col("p.x.flag").alias("a"), F.col("p.y.flag").alias("b"),
+        F.col("p.x.count").cast("double").alias("sa"), F.col("p.y.count").cast("double").alias("sb"), F.col("p.x.total").cast("double").alias("n"))
+    sa, sb, n = F.col("sa"), F.col("sb"), F.col("n")
+    r = E.ratio(n * F.coalesce("both", F.lit(0)) - sa * sb, F.sqrt(sa * (n - sa)) * F.sqrt(sb * (n - sb)))
+    return spine.join(together, ["ia", "ib"], "left").select("a", "b", r.alias("r")).where(
+        F.abs("r") > min_abs).orderBy(F.desc(F.abs("r")), "a", "b")
 
 
 def digit_shares(df: DataFrame, column: str) -> DataFrame:
