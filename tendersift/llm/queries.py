@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tendersift.llm import chat, fingerprints, mixing
+from tendersift.llm import chat, fingerprints, mixing, packing, rules, tokens
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op3_mixing": mixing.op3_mixing,
+    "op5_token_counts": tokens.op5_token_counts,
+    "op6_quality_rules": rules.op6_quality_rules,
     "op8_chat": chat.op8_chat,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {"op3_mixing": mixing.OP3_SQL, "op8_chat": chat.OP8_SQL}
