@@ -1,12 +1,13 @@
 """Quality rules as weak supervision.
 
 Every rule votes good (1), bad (-1) or abstains (0) from counts of the whole text. Votes of all documents are counted
-by pattern (at most 3^9 patterns, whatever the number of documents); expectation-maximisation over the patterns
+by pattern (at most 3^11 patterns, whatever the number of documents); expectation-maximisation over the patterns
 estimates how often each rule is right when it votes on good and on bad documents, and the share of good ones. The
 posterior probability of good replaces an all-must-pass filter. Abstaining says nothing.
 
-Accuracies stay between 0.5 and 0.999, which keeps good and bad from changing places. A document is kept when the
-base test passes and the posterior is at least 0.5.
+A bad document fails some rules and passes the others, so the accuracy on bad ones may be low; it is only held above
+the rate of false alarms on good ones, and the accuracy on good ones above 0.7, which keeps good and bad from changing
+places. A document is kept when the base test passes and the posterior is at least 0.5.
 
 Defined cases: null and empty texts have no words and fail the base test; an empty table gives no rows; repeated rows
 are judged alike. Very long texts are judged whole.
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tendersift.llm.common import in_batches, prepare, staged, table
 
 WINDOW, SYMBOLS, BARS, SPACES = 8, b"#*$%&|<>", b"|", b" \t\n\x0b\x0c\r"
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalpha())
+_OTHERS = bytes(b for b in range(256) if b not in SYMBOLS and b not in SPACES)
 _ENDS = (b".", b"!", b"?", b"\xe2\x80\xa6")
 
 
@@ -67,13 +70,16 @@ def text_counts(text: str | None) -> dict[str, int]:
         "n_repeat_words": repeated(words),
         "n_lines": n_lines,
         "n_ended_lines": ended,
+        "n_symbol_words": len(data.translate(None, _OTHERS).split()),
+        "n_marks": len(data) - len(data.translate(None, MARKS)),
         "n_bars": len(data) - len(data.translate(None, BARS)),
         "n_upper_words": sum(1 for w in words if len(w) > 1 and w.isupper()),
         "n_distinct": len(set(words)),
     }
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_bars",
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines",
+          "n_symbol_words", "n_marks", "n_bars",
           "n_upper_words", "n_distinct")
 
 
@@ -88,9 +94,11 @@ def votes() -> dict[str, Column]:
     return {
         "length": _vote(n < 20, (n >= 50) & (n <= 100_000)),
         "symbols": _vote(c["n_symbols"] > 0.2 * n, c["n_symbols"] <= 0.02 * n),
+        "symbol_words": _vote(c["n_symbol_words"] > 0.2 * n, c["n_symbol_words"] <= 0.02 * n),
+        "letters": _vote(100 * c["n_marks"] > 20 * c["word_chars"], 100 * c["n_marks"] <= 8 * c["word_chars"]),
         "word_size": _vote((c["word_chars"] < 2 * n) | (c["word_chars"] > 15 * n), (c["word_chars"] >= 3 * n) & (c["word_chars"] <= 12 * n)),
         "duplicate_lines": _vote((lines >= 3) & (10 * c["n_dup_lines"] > 3 * lines), (lines >= 3) & (c["n_dup_lines"] == 0)),
-        "repetition": _vote(100 * c["n_repeat_words"] > 20 * n, 100 * c["n_repeat_words"] <= 2 * n),
+        "repetition": _vote(100 * c["n_repeat_words"] > 25 * n, 100 * c["n_repeat_words"] <= 2 * n),
         "capitals": _vote(c["n_upper_words"] > 0.3 * n, c["n_upper_words"] <= 0.05 * n),
         "variety": _vote((n >= 20) & (n <= 500) & (c["n_distinct"] < 0.35 * n), (n <= 500) & (c["n_distinct"] >= 0.5 * n)),
         "ended_lines": _vote((lines > 0) & (10 * c["n_ended_lines"] < lines), 2 * c["n_ended_lines"] >= lines),
@@ -101,19 +109,19 @@ def votes() -> dict[str, Column]:
 def estimate(patterns: np.ndarray, counts: np.ndarray, tolerance: float = 1e-10, most: int = 2000) -> tuple[float, np.ndarray, np.ndarray]:
     """Share of good documents, and each rule's accuracy on good and on bad ones, by expectation-maximisation.
 
-    One row of ``patterns`` is one combination of votes. Starts from accuracies of 0.8 and a share of 0.8.
+    One row of ``patterns`` is one combination of votes. Starts from accuracies of 0.95 and 0.3 and a share of 0.8.
     """
     up, down = patterns > 0, patterns < 0
-    share, on_good, on_bad = 0.8, np.full(patterns.shape[1], 0.8), np.full(patterns.shape[1], 0.8)
+    share, on_good, on_bad = 0.8, np.full(patterns.shape[1], 0.95), np.full(patterns.shape[1], 0.3)
     for _ in range(most):
         good = np.log(share) + up @ np.log(on_good) + down @ np.log1p(-on_good)
         bad = np.log1p(-share) + down @ np.log(on_bad) + up @ np.log1p(-on_bad)
         posterior = 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
         w_good, w_bad = counts * posterior, counts * (1 - posterior)
         # One vote of each kind is added, so that a rule that never votes keeps its start.
-        new = (np.clip((w_good.sum() + 0.8) / (counts.sum() + 1), 0.05, 0.999),
-               np.clip((w_good @ up + 0.8) / (w_good @ (up | down) + 1), 0.5, 0.999),
-               np.clip((w_bad @ down + 0.8) / (w_bad @ (up | down) + 1), 0.5, 0.999))
+        right = np.clip((w_good @ up + 0.95) / (w_good @ (up | down) + 1), 0.7, 0.999)
+        caught = (w_bad @ down + 0.3) / (w_bad @ (up | down) + 1)
+        new = (np.clip((w_good.sum() + 0.8) / (counts.sum() + 1), 0.05, 0.999), right, np.clip(caught, 1.01 - right, 0.999))
         moved = max(abs(new[0] - share), np.abs(new[1] - on_good).max(), np.abs(new[2] - on_bad).max())
         share, on_good, on_bad = new
         if moved < tolerance:

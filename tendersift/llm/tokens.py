@@ -9,7 +9,8 @@ sorted, so the interval join is two binary searches per section. A token that cr
 of its first character) or ``split`` (each section by its share of the characters).
 
 Defined cases: a null text is empty and has one empty section; the sections of a text are its lines with their
-line feeds, so they cover it and the counts add up to the tokens of the document; characters outside all given
+line feeds, a line over ``longest`` characters is cut into passages of that many, so sections cover the text and the
+counts add up to the tokens of the document; characters outside all given
 sections are counted in a last row with a null section number.
 """
 
@@ -70,14 +71,17 @@ def spans(text: str, files: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
     return char[ends - length[ids]], char[ends - 1] + 1
 
 
-def lines(text: str) -> list[tuple[int, int]]:
-    """Spans of the lines, each with its line feed; one empty span for an empty text."""
-    cuts, at = [0], text.find("\n")
-    while at >= 0:
-        cuts.append(at + 1)
-        at = text.find("\n", at + 1)
-    if cuts[-1] != len(text) or len(cuts) == 1:
-        cuts.append(len(text))
+def lines(text: str, longest: int | None = None) -> list[tuple[int, int]]:
+    """Spans of the lines, each with its line feed, cut every ``longest`` characters; one empty span for an empty text."""
+    cuts, at = [0], 0
+    while at < len(text):
+        end = text.find("\n", at) + 1 or len(text)
+        if longest:
+            cuts += range(at + longest, end, longest)
+        cuts.append(end)
+        at = end
+    if len(cuts) == 1:
+        cuts.append(0)
     return list(zip(cuts, cuts[1:]))
 
 
@@ -138,7 +142,7 @@ def from_fields(docs: DataFrame, fields: list[str], separator: str = "\n") -> Da
 
 
 def attribute(docs: DataFrame, sections: str | None = None, rule: str = "most", key: str = "doc_id", text: str = "text",
-              files: tuple[str, str] | None = None) -> DataFrame:
+              files: tuple[str, str] | None = None, longest: int | None = 500) -> DataFrame:
     """One row per section: its number, span, tokens under ``rule``, and crossing tokens that touch it.
 
     ``sections`` names an array of (start, stop) structs, sorted and disjoint; without it lines are used.
@@ -150,7 +154,7 @@ def attribute(docs: DataFrame, sections: str | None = None, rule: str = "most",
         out: dict[str, list] = {c: [] for c in ("key", "section", "start", "stop", "n_tokens", "n_crossing", "doc_tokens")}
         for k, t, given in zip(r["key"], r["text"], r.get("sections") or [None] * len(r["key"])):
             t = t or ""
-            parts = lines(t) if given is None else [(s["start"], s["stop"]) for s in given]
+            parts = lines(t, longest) if given is None else [(s["start"], s["stop"]) for s in given]
             a, b = spans(t, files) if t else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             got, crossing = allocate(a, b, parts, rule)
             n = len(parts)
