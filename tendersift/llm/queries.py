@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tendersift.llm import chat, fingerprints, mixing, packing, rules, tokens
+from tendersift.llm import chat, fingerprints, mixing, neighbours, packing, rules, tokens
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_toxicity": neighbours.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_quality_rules": rules.op6_quality_rules,
