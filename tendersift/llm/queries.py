@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tendersift.llm import chat, fingerprints, mixing, neighbours, packing, rules, tokens
+from tendersift.llm import chat, fingerprints, mixing, neighbours, packing, rulefit, rules, tokens
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_toxicity": neighbours.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
+    "op4_quality": rulefit.op4_quality,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_quality_rules": rules.op6_quality_rules,
     "op8_chat": chat.op8_chat,
