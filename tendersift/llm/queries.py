@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tendersift.llm import chat, fingerprints, mixing, neighbours, packing, rulefit, rules, tokens
+from tendersift.llm import chat, fingerprints, mixing, neighbours, packing, rulefit, rules, substrings, tokens
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_counts": tokens.op5_token_counts,
     "op6_quality_rules": rules.op6_quality_rules,
     "op8_chat": chat.op8_chat,
+    "op9_substrings": substrings.op9_substrings,
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {"op3_mixing": mixing.OP3_SQL, "op8_chat": chat.OP8_SQL}
