@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tendersift.llm import chat, fingerprints, mixing, neighbours, packing, rulefit, rules, substrings, tokens
+from tendersift.llm import chat, fingerprints, jaccard, mixing, neighbours, packing, rulefit, rules, substrings, tokens
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": rulefit.op4_quality,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_quality_rules": rules.op6_quality_rules,
+    "op7_jaccard": jaccard.op7_jaccard,
     "op8_chat": chat.op8_chat,
     "op9_substrings": substrings.op9_substrings,
     "op10_packing": packing.op10_packing,
