@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tendersift.session import cut_lineage
 
@@ -54,7 +55,6 @@ def split_words(text: str | None) -> list[bytes]:
 def arrow_schema(ddl: str) -> pa.Schema:
     """Arrow form of a schema string. Needs a session, so it is made on the driver."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
 
@@ -71,6 +71,23 @@ def in_batches(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]]
     return df.mapInArrow(run, schema)
 
 
+def append(df: DataFrame, rows: Callable[[list], dict[str, list]], schema: str, column: str = "text") -> DataFrame:
+    """Add columns computed from ``column``; all others pass through as they are."""
+    arrow = arrow_schema(schema)
+    added = StructType.fromDDL(schema)
+    taken = {f.name.lower() for f in df.schema} & {f.name.lower() for f in added}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are in the table already")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = rows(batch.column(batch.schema.get_field_index(column)).to_pylist())
+            more = [pa.array(out[f.name], f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *arrow.names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values (an invertible multiply-and-shift mix)."""
     with np.errstate(over="ignore"):

@@ -312,5 +312,16 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
                     F.coalesce("component_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("component_id")))
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Of each component the row with the smallest id (of rows that share it, the one with the least text).
+
+    Rows without an id are all kept.
+    """
+    found = near_duplicates(docs, size, percent).where("doc_id = component_id").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    kept = docs.join(found, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -119,6 +119,15 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
                     (copies * F.col("size")).cast("long").alias("taken")))
 
 
+def materialise(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every document as often as it is taken. Rows alike in id, source and size share one decision."""
+    mixed = mix_sources(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
+    mixed = mixed.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
+    rows = docs.withColumn("_n", word_count(F.col("text")))
+    rows = rows.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")

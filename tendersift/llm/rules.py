@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tendersift.llm.common import in_batches, prepare, staged, table
+from tendersift.llm.common import append, prepare, staged, table
 
 WINDOW, SYMBOLS, BARS, SPACES = 8, b"#*$%&|<>", b"|", b" \t\n\x0b\x0c\r"
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalpha())
@@ -87,9 +87,9 @@ def _vote(bad: Column, good: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
-def votes() -> dict[str, Column]:
+def votes(prefix: str = "") -> dict[str, Column]:
     """The rules. Ratios are compared as products, so that no division by zero occurs."""
-    c = {name: F.col(name) for name in COUNTS}
+    c = {name: F.col(prefix + name) for name in COUNTS}
     n, lines = c["n_words"], c["n_lines"]
     return {
         "length": _vote(n < 20, (n >= 50) & (n <= 100_000)),
@@ -129,30 +129,46 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, tolerance: float = 1e-10,
     return float(share), on_good, on_bad
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, the counts, ``base_failed``, the posterior ``quality`` and ``kept``."""
-    prepare(docs.sparkSession)
-    kind = dict(docs.dtypes)[key]
+def counts_of(texts: list[str | None], names: tuple[str, ...] = COUNTS) -> dict[str, list]:
+    rows = [text_counts(t) for t in texts]
+    return {n: [x[c] for x in rows] for n, c in zip(names, COUNTS)}
 
-    def count(r: dict[str, list]) -> dict[str, list]:
-        rows = [text_counts(t) for t in r["text"]]
-        return {"key": r["key"]} | {c: [x[c] for x in rows] for c in COUNTS}
 
-    counted = staged(in_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), count,
-                                f"key {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS)))
-    rules = votes()
-    tally = counted.select(*[v.alias(n) for n, v in rules.items()]).groupBy(*rules).count().toPandas()
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+def verdicts(counted: DataFrame, prefix: str = "") -> dict[str, Column]:
+    """base_failed, quality and kept as columns over a table of counts, with rules weighed by its votes."""
+    rules = votes(prefix)
+    tally = counted.select(*[v.alias(n) for n, v in votes().items()]).groupBy(*rules).count().toPandas()
+    n, again = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
+    failed = (n < 20) | (100 * again > 30 * n)
+    quality = F.lit(0.0)
     if len(tally):
         share, on_good, on_bad = estimate(tally[list(rules)].to_numpy(), tally["count"].to_numpy(float))
         score = F.lit(float(np.log(share / (1 - share))))
-        for (name, vote), a, b in zip(rules.items(), on_good, on_bad):
+        for vote, a, b in zip(rules.values(), on_good, on_bad):
             score = score + F.when(vote > 0, float(np.log(a / (1 - b)))).when(vote < 0, float(np.log((1 - a) / b))).otherwise(0.0)
         quality = 1 / (1 + F.exp(-score))
-    else:
-        quality = F.lit(0.0)
-    return (counted.withColumn("base_failed", failed).withColumn("quality", quality)
-            .withColumn("kept", ~failed & (F.col("quality") >= 0.5)).withColumnRenamed("key", key))
+    return {"base_failed": failed, "quality": quality, "kept": ~failed & (quality >= 0.5)}
+
+
+def count_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and the counts of every text, written to the shared folder."""
+    prepare(docs.sparkSession)
+    return staged(append(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), counts_of,
+                         ", ".join(f"{c} bigint" for c in COUNTS)).drop("text"))
+
+
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, the counts, ``base_failed``, the posterior ``quality`` and ``kept``."""
+    counted = count_table(docs, key, text)
+    return counted.withColumns(verdicts(counted)).withColumnRenamed("key", key)
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with their own columns. Texts are counted twice rather than shuffled once."""
+    found = verdicts(count_table(docs), "_q_")
+    own = tuple("_q_" + c for c in COUNTS)
+    counted = append(docs, lambda t: counts_of(t, own), ", ".join(f"{c} bigint" for c in own))
+    return counted.where(found["kept"]).select(*docs.columns)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tendersift.llm.collapse import NO_ID, collapse
-from tendersift.llm.common import in_batches, mix, parts, prepare, split_words, staged, table
+from tendersift.llm.common import append, in_batches, mix, parts, prepare, split_words, staged, table
 from tendersift.llm.hashing import run_hashes, whole, word_hashes
 
 WINDOW, ROUNDS = 20, 6
@@ -149,11 +149,8 @@ def covered(n: int, starts: list[int], window: int) -> np.ndarray:
     return np.cumsum(edges)[:n] > 0
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by one space.
-
-    With ``keep_text`` the text is null where nothing is removed: the original stands.
-    """
+def _cuts(docs: DataFrame, window: int, keep_text: bool) -> tuple[DataFrame, DataFrame]:
+    """``info`` of collapse, and a row per class: k1, k2, first_id, removed, cut_sha, kept (null: nothing is removed)."""
     info, nodes, texts, later = repeats(docs, window)
 
     def cut(r: dict[str, list]) -> dict[str, list]:
@@ -170,20 +167,42 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> Dat
 
     cuts = in_batches(texts.join(later, "node").select("node", "text", "starts"), cut,
                       "node bigint, removed bigint, cut_sha string, kept string").dropDuplicates(["node"])
-    cuts = staged(cuts.join(nodes.select("node", "k1", "k2"), "node").drop("node"))
-    firsts = nodes.select("k1", "k2", F.col("id").alias("first_id"))
-    # Copies of one text may be most of the rows: both sides of these joins have one row per class, so a hot
-    # class is a skewed key that the join can split.
-    rows = info.join(firsts, ["k1", "k2"], "left").join(cuts, ["k1", "k2"], "left")
-    copy = (F.col("n") >= window) & (F.col("id") > F.col("first_id"))
-    changed = ~F.coalesce(copy, F.lit(False)) & F.col("removed").isNotNull()
-    empty = hashlib.sha256(b"").hexdigest()
-    out = rows.select(
+    classes = nodes.select("node", "k1", "k2", F.col("id").alias("first_id")).join(cuts, "node", "left").drop("node")
+    return info, staged(classes)
+
+
+def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every row."""
+    info, classes = _cuts(docs, window, False)
+    # Copies of one text may be most of the rows; the classes have one row each, so the join can split a hot one.
+    rows = info.join(classes, ["k1", "k2"], "left")
+    copy = F.coalesce((F.col("n") >= window) & (F.col("id") > F.col("first_id")), F.lit(False))
+    return rows.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.col("n").alias("n_words"),
-        F.when(copy, F.col("n")).when(changed, F.col("removed")).otherwise(0).cast("long").alias("n_removed"),
-        F.when(copy, empty).when(changed, F.col("cut_sha")).otherwise(F.col("sha")).alias("kept_sha256"),
-        F.when(copy, "").when(changed, F.col("kept")).alias("text"))
-    return out if keep_text else out.drop("text")
+        F.when(copy, F.col("n")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"))
+
+
+def rewrite(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without their repeats: where words go, the text is the kept words joined by one space.
+
+    Documents of which nothing is left go; texts without words are left alone. ``n_chars`` follows the text.
+    """
+    _, classes = _cuts(docs, window, True)
+
+    def key(texts: list) -> dict[str, list]:
+        found = [_describe(t) for t in texts]
+        return {"_k1": [f[0] for f in found], "_k2": [f[1] for f in found], "_n": [f[2] for f in found]}
+
+    rows = append(docs, key, "_k1 bigint, _k2 bigint, _n bigint").join(
+        classes.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "first_id", "removed", "kept").withColumnsRenamed(
+            {"first_id": "_first", "removed": "_removed", "kept": "_kept"}), ["_k1", "_k2"], "left")
+    gone = F.coalesce((F.col("_n") >= window) & (F.coalesce("doc_id", F.lit(NO_ID)) > F.col("_first")), F.lit(False)) | \
+        F.coalesce((F.col("_n") > 0) & (F.col("_removed") == F.col("_n")), F.lit(False))
+    rows = rows.where(~gone).withColumn("text", F.coalesce("_kept", "text"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+    return rows.select(*docs.columns)
 
 
 def op9_substrings(spark, sf_dir: str) -> DataFrame:
