@@ -5,7 +5,7 @@ scaled to length 1. The examples lie in an inverted index whose postings are sto
 largest weight of each block. For a query text the block maxima give an upper bound of every block's cosines; blocks
 are scored from the highest bound down until no bound can reach the k nearest found so far, so the neighbours are
 exact. Neighbours vote with their similarity as weight, beside a prior of the base rate, and a logistic curve fitted
-on the training rows (each without itself) turns votes into probabilities.
+on the training rows (each without itself) turns votes into probabilities. Near copies among the examples count once.
 
 Bound: ``most`` labelled rows are used for training, those with the smallest hash of the id. The index, at most
 ``most`` examples over ``terms`` terms, is broadcast. Every text is scored.
@@ -17,7 +17,9 @@ that repeat or have a null id or label are left out of training; without trainin
 
 from __future__ import annotations
 
+import functools
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -42,76 +44,104 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
 
 
 class Index:
-    """Examples as unit vectors: block maxima per term, and per block the postings of each term."""
+    """Examples as unit vectors in blocks: the largest weight of each term per block, and the weights themselves.
+
+    Postings of a term are aligned with the slots of a block, so that a block is scored by one matrix product.
+    """
 
     def __init__(self, weights: dict[str, float], vectors: list[dict[str, float]], labels: list[int], names: list[int]):
         # Alike examples share a block, which keeps the maxima of the other blocks low.
         order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i], key=vectors[i].get, reverse=True), i))
+        self.weights, self.number = weights, {t: k for k, t in enumerate(weights)}
         self.labels = np.array([labels[i] for i in order], np.float64)
         self.names = [names[i] for i in order]
-        self.weights = weights
-        self.maxima: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        self.postings: list[dict[str, tuple[np.ndarray, np.ndarray]]] = []
-        top: dict[str, dict[int, float]] = {}
-        for b in range(0, len(order), BLOCK):
-            lists: dict[str, tuple[list, list]] = {}
-            for slot, i in enumerate(order[b : b + BLOCK]):
-                for term, w in vectors[i].items():
-                    slots, ws = lists.setdefault(term, ([], []))
-                    slots.append(slot)
-                    ws.append(w)
-            self.postings.append({t: (np.array(s), np.array(w)) for t, (s, w) in lists.items()})
-            for t, (_, ws) in lists.items():
-                top.setdefault(t, {})[b // BLOCK] = max(ws)
-        for t, blocks in top.items():
-            self.maxima[t] = (np.array(list(blocks)), np.array(list(blocks.values())))
+        entries = [(slot, self.number[t], w) for slot, i in enumerate(order) for t, w in vectors[i].items()]
+        self.entries = tuple(np.array(c) for c in zip(*entries)) if entries else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+    @functools.cached_property
+    def postings(self) -> np.ndarray:
+        """(block, term, slot) weights; made where they are used, only the entries travel."""
+        out = np.zeros((-(-len(self.labels) // BLOCK), len(self.weights), BLOCK))
+        slot, term, w = self.entries
+        out[slot // BLOCK, term, slot % BLOCK] = w
+        return out
+
+    @functools.cached_property
+    def maxima(self) -> np.ndarray:
+        return self.postings.max(axis=2).T.copy()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("postings", "maxima")}
 
     def vector(self, counts: Counter) -> dict[str, float]:
-        raw = {t: (1.0 + np.log(n)) * self.weights[t] for t, n in counts.items() if t in self.weights}
-        norm = np.sqrt(sum(w * w for w in raw.values()))
-        return {t: float(w / norm) for t, w in raw.items()}
+        return unit(counts, self.weights)
 
-    def nearest(self, query: dict[str, float], k: int) -> list[tuple[float, int]]:
+    def nearest(self, query: dict[str, float], k: int, step: int = 8) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine above 0, best first."""
-        bound = np.zeros(len(self.postings))
-        for t, w in query.items():
-            if t in self.maxima:
-                blocks, most = self.maxima[t]
-                bound[blocks] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
+        terms = np.array([self.number[t] for t in query if t in self.number], np.intp)
+        if not len(terms):
+            return []
+        w = np.array([x for t, x in query.items() if t in self.number])
+        bound = w @ self.maxima[terms]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        scores, places, least = np.zeros(0), np.zeros(0, np.int64), 0.0
+        for at in range(0, len(order), step):
+            blocks = order[at : at + step]
             # A hair of slack, because bound and cosine are rounded sums.
-            if bound[b] <= 0 or (len(best) == k and bound[b] + 1e-9 < best[-1][0]):
+            if len(scores) == k and bound[blocks[0]] + 1e-9 < least:
                 break
-            scores = np.zeros(min(BLOCK, len(self.labels) - b * BLOCK))
-            for t, w in query.items():
-                if t in self.postings[b]:
-                    slots, ws = self.postings[b][t]
-                    scores[slots] += w * ws
-            hits = np.flatnonzero(scores > 0)
-            found = [(float(scores[s]), int(b * BLOCK + s)) for s in hits]
-            best = sorted(best + found, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            found = (w @ self.postings[blocks][:, terms]).ravel()
+            where = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            hit = found > 0
+            scores, places = np.concatenate([scores, found[hit]]), np.concatenate([places, where[hit]])
+            best = np.lexsort((places, -scores))[:k]
+            scores, places = scores[best], places[best]
+            least = scores[-1] if len(scores) else 0.0
+        return list(zip(scores.tolist(), places.tolist()))
+
+
+def unit(counts: Counter, weights: dict[str, float]) -> dict[str, float]:
+    """TF-IDF weights of the chosen terms, scaled to length 1."""
+    raw = {t: (1.0 + np.log(counts[t])) * weights[t] for t in counts.keys() & weights.keys()}
+    norm = np.sqrt(sum(w * w for w in raw.values()))
+    return {t: float(raw[t] / norm) for t in sorted(raw)}
+
+
+def one_of_near_copies(texts: list[str | None], labels: list[int], keep: int = 4) -> list[int]:
+    """Rows that differ in label or in the smallest hashes of their terms: copies would outvote everything else."""
+    seen, rows = set(), []
+    for i, (text, y) in enumerate(zip(texts, labels)):
+        terms = set(TERM.findall((text or "").lower()))
+        mark = (y, *sorted(zlib.crc32(t.encode()) for t in terms)[:keep])
+        if mark not in seen:
+            seen.add(mark)
+            rows.append(i)
+    return rows
 
 
 class Model:
     """A fitted index with the calibration of its votes."""
 
     def __init__(self, texts: list[str | None], labels: list[int], names: list[int], terms: int = 512, k: int = 25):
+        rows = one_of_near_copies(texts, labels)
+        texts, labels, names = ([x[i] for i in rows] for x in (texts, labels, names))
         self.k, n = k, len(texts)
         self.rate = float(np.mean(labels)) if n else 0.5
         self.index, self.slope, self.shift, self.empty = None, 1.0, 0.0, self.rate
         if not n or len(set(labels)) < 2:
             return
-        counts = [term_counts(t) for t in texts]
         df: tuple[Counter, Counter] = (Counter(), Counter())
-        for c, y in zip(counts, labels):
-            df[y].update(c.keys())
-        weights = {t: np.log((n + 1) / (df[0][t] + df[1][t] + 1)) + 1 for t in chosen_terms(df, labels, terms)}
-        helper = Index.__new__(Index)
-        helper.weights = weights
-        vectors = [helper.vector(c) for c in counts]
-        # Equal vectors are kept as examples of their own: each is a vote.
+        for t, y in zip(texts, labels):
+            if y:
+                df[1].update(term_counts(t).keys())
+        # Terms that speak for label 1 stand in some of its texts; the others need not be counted.
+        wanted = {t for t, c in df[1].items() if c >= 3}
+        for t, y in zip(texts, labels):
+            if not y:
+                df[0].update(term_counts(t).keys() & wanted)
+        weights = {t: np.log((n + 1) / (df[0][t] + df[1][t] + 1)) + 1 for t in chosen_terms(df, wanted, labels, terms)}
+        vectors = [unit(term_counts(t), weights) for t in texts]
         self.index = Index(weights, vectors, labels, names)
         place = {name: i for i, name in enumerate(self.index.names)}
         votes = np.full(n, np.nan)
@@ -121,7 +151,7 @@ class Model:
                 votes[i] = self._vote(found)
         y = np.array(labels, float)
         bare = np.isnan(votes)
-        self.empty = (y[bare].sum() + self.rate) / (bare.sum() + 1)
+        self.empty = float((y[bare].sum() + self.rate) / (bare.sum() + 1))
         self.slope, self.shift = fit_curve(votes[~bare], y[~bare])
 
     def _vote(self, found: list[tuple[float, int]]) -> float:
@@ -134,19 +164,19 @@ class Model:
         v = self.index.vector(term_counts(text))
         found = self.index.nearest(v, self.k) if v else []
         if not found:
-            return float(self.empty), []
+            return self.empty, []
         vote = min(max(self._vote(found), 1e-6), 1 - 1e-6)
         return float(1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.shift)))), found
 
 
-def chosen_terms(df: tuple[Counter, Counter], labels: list[int], terms: int, least: float = 30.0) -> list[str]:
-    """Terms with a chi-squared value over ``least``, at most ``terms``, the best first."""
+def chosen_terms(df: tuple[Counter, Counter], wanted: set[str], labels: list[int], terms: int, least: float = 30.0) -> list[str]:
+    """Terms that speak for label 1 with a chi-squared value over ``least``, at most ``terms``, the best first."""
     ones, n = sum(labels), len(labels)
     zeros = n - ones
     scored = []
-    for t in df[1].keys() | df[0].keys():
+    for t in wanted:
         a, b = df[1][t], df[0][t]
-        if a + b >= 5 and a + b < n:
+        if a + b >= 5 and a + b < n and a * zeros > b * ones:
             chi = n * (a * (zeros - b) - b * (ones - a)) ** 2 / ((a + b) * (n - a - b) * ones * zeros)
             if chi > least:
                 scored.append((-chi, t))
@@ -170,7 +200,7 @@ def fit_curve(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.0), float(w[1])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 12000, terms: int = 512, k: int = 25) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 10000, terms: int = 512, k: int = 25) -> DataFrame:
     """doc_id, score, and the evidence: ids and cosines of the three nearest examples."""
     spark = prepare(docs.sparkSession)
     rows = training_rows(docs, labels, label, most).orderBy("doc_id").collect()  # at most ``most`` texts
