@@ -4,40 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tendersift.llm.common import in_batches, staged
+from tendersift.llm.common import in_arrays, staged
+from tendersift.llm.hashing import Words, words_of
 
 #: Stands for a missing id: it comes after all others.
 NO_ID = (1 << 63) - 1
+Describe = Callable[[Words], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def collapse(docs: DataFrame, describe: Callable[[str | None], tuple[int, int, int]], extra: Callable[[str | None], list] | None = None,
-             extra_schema: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+def described(texts: pa.Array, describe: Describe, lower: bool) -> list[np.ndarray]:
+    """What ``describe`` gives for every text of a column."""
+    found = [describe(w) for w in words_of(texts, lower)]
+    return [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
+
+
+def collapse(docs: DataFrame, describe: Describe, lower: bool = False, extra: Callable[[str | None], str] | None = None,
+             ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``describe`` gives two hashes of what makes texts equal and a size; texts of size 0 are in no class.
 
-    Returns, all written to the shared folder: a row per document (id, k1, k2, n, extras), a row per class (node, id,
-    k1, k2, n; ``id`` is the smallest one, ``node`` any unique number) and the texts (node, id, n, text).
+    Returns, all written to the shared folder: a row per document (id, k1, k2, n and ``extra`` if there is one), a row per
+    class (node, id, k1, k2, n; ``id`` is the smallest one, ``node`` any unique number) and the texts (node, id, n, text).
     """
-    names = [c.split()[0] for c in extra_schema.split(", ")] if extra_schema else []
     given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
 
-    def tell(r: dict[str, list]) -> dict[str, list]:
-        found = [describe(t) for t in r["text"]]
-        out = {"id": r["id"], "k1": [f[0] for f in found], "k2": [f[1] for f in found], "n": [f[2] for f in found]}
-        if extra:
-            more = [extra(t) for t in r["text"]]
-            out |= {c: [m[i] for m in more] for i, c in enumerate(names)}
-        return out
+    def tell(batch: pa.RecordBatch):
+        texts = batch.column(1)
+        yield [batch.column(0), *described(texts, describe, lower), *([[extra(t) for t in texts.to_pylist()]] if extra else [])]
 
-    info = staged(in_batches(given, tell, "id bigint, k1 bigint, k2 bigint, n bigint" + (", " + extra_schema if extra_schema else "")))
+    info = staged(in_arrays(given, tell, "id bigint, k1 bigint, k2 bigint, n bigint" + (", extra string" if extra else "")))
     nodes = staged(info.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
+    joined = given.join(nodes, "id").select("node", "id", "n", "text", "k1", "k2")
+    if info.groupBy("id").count().where("count > 1").isEmpty():
+        return info, nodes, staged(joined.drop("k1", "k2"))
 
-    def same(r: dict[str, list]) -> dict[str, list]:
-        # Rows may share an id and differ in text: only the text of the class stays.
-        keep = [i for i, t in enumerate(r["text"]) if describe(t)[:2] == (r["k1"][i], r["k2"][i])]
-        return {c: [r[c][i] for i in keep] for c in ("node", "id", "n", "text")}
+    def same(batch: pa.RecordBatch):
+        # Rows share an id and may differ in text: only the text of the class stays.
+        k1, k2, _ = described(batch.column(3), describe, lower)
+        keep = pa.array((k1 == batch.column(4).to_numpy()) & (k2 == batch.column(5).to_numpy()))
+        yield [c.filter(keep) for c in batch.columns[:4]]
 
-    texts = staged(in_batches(given.join(nodes, "id").select("node", "id", "n", "k1", "k2", "text"), same,
-                              "node bigint, id bigint, n bigint, text string"))
-    return info, nodes, texts
+    return info, nodes, staged(in_arrays(joined, same, "node bigint, id bigint, n bigint, text string"))

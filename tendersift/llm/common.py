@@ -71,6 +71,18 @@ def in_batches(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]]
     return df.mapInArrow(run, schema)
 
 
+def in_arrays(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[list]], schema: str) -> DataFrame:
+    """``rows`` turns an Arrow batch into any number of column lists (NumPy or Arrow), for work on whole columns."""
+    arrow = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for columns in rows(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def append(df: DataFrame, rows: Callable[[list], dict[str, list]], schema: str, column: str = "text") -> DataFrame:
     """Add columns computed from ``column``; all others pass through as they are."""
     arrow = arrow_schema(schema)

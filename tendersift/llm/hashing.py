@@ -79,3 +79,70 @@ def whole(words: np.ndarray) -> tuple[int, int]:
     a = slices(sums(words, SECOND), SECOND, at, end) + np.uint64(len(words))
     b = slices(sums(mix(words), BASE), BASE, at, end)
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
+
+
+class Words:
+    """The words of several texts at once: hash, text number, and where each text's words begin."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, lower: bool = False):
+        """``data`` holds the texts end to end, text i in offsets[i]:offsets[i + 1]; ``first`` is the number of text 0."""
+        self.first, self.texts = first, len(offsets) - 1
+        data = _LOWER[data] if lower else data
+        blank = _BLANK[data]
+        begins = ~blank
+        begins[1:] &= blank[:-1]
+        ends = ~blank
+        ends[:-1] &= blank[1:]
+        # Texts without a blank between them are still two.
+        inner = offsets[1:-1]
+        inner = inner[(inner > 0) & (inner < len(data))]
+        begins[inner] = ~blank[inner]
+        ends[inner - 1] = ~blank[inner - 1]
+        start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.hashes = slices(sums(VALUES[data], BASE), BASE, start, stop) + (stop - start).astype(np.uint64)
+        self.bounds = np.searchsorted(start, offsets)
+        self.text = np.repeat(np.arange(self.texts), np.diff(self.bounds))
+
+    def runs(self, size: int) -> np.ndarray:
+        """Positions where ``size`` consecutive words of one text begin."""
+        n = len(self.hashes) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64)
+        return np.flatnonzero(self.text[:n] == self.text[size - 1 :])
+
+    def wholes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two independent hashes and the number of words of each text."""
+        lo, hi = self.bounds[:-1], self.bounds[1:]
+        a = slices(sums(self.hashes, SECOND), SECOND, lo, hi) + (hi - lo).astype(np.uint64)
+        b = slices(sums(mix(self.hashes), BASE), BASE, lo, hi)
+        return a.view(np.int64), b.view(np.int64), hi - lo
+
+    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Text and hash of the distinct ``size``-word shingles, sorted; shorter texts are one shingle."""
+        at = self.runs(size)
+        number = np.diff(self.bounds)
+        short = np.flatnonzero((number > 0) & (number < size))
+        run = sums(self.hashes, SECOND)
+        text = np.concatenate([self.text[at], short])
+        value = np.concatenate([slices(run, SECOND, at, at + size), slices(run, SECOND, self.bounds[short], self.bounds[short + 1])])
+        order = np.lexsort((value, text))
+        text, value = text[order], value[order]
+        fresh = np.ones(len(text), bool)
+        fresh[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
+        return text[fresh], value[fresh]
+
+
+def words_of(texts, lower: bool = False, limit: int = 1 << 18):
+    """``Words`` of an Arrow string column, some texts at a time: about ``limit`` bytes, or one longer text."""
+    import pyarrow as pa
+
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        end = min(end, len(texts))
+        yield Words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], at, lower)
+        at = end

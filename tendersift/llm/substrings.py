@@ -4,7 +4,8 @@ Word sequences are rewritten in rounds: runs of one symbol become a symbol, then
 bit of each symbol's name and every pair (left part, right part) becomes a symbol. A name is a hash of what it
 replaces, so equal runs and pairs get equal names in all tasks without exchanging a dictionary. What a round does to a
 symbol depends on its neighbours only; inside a window all symbols that no outside neighbour can touch are therefore
-the same wherever the window occurs. The first symbol of the highest round that leaves one is the window's anchor.
+the same wherever the window occurs. The first two symbols (or the only one) of the highest round that leaves any are
+the window's anchor.
 
 1. Anchors are counted over the corpus in Spark; anchors found once end the matter for their windows.
 2. Windows with a shared anchor are compared by (anchor, hash of the window): 128 bits that do not depend on each
@@ -22,13 +23,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tendersift.llm.collapse import NO_ID, collapse
-from tendersift.llm.common import append, in_batches, mix, parts, prepare, split_words, staged, table
-from tendersift.llm.hashing import run_hashes, whole, word_hashes
+from tendersift.llm.collapse import NO_ID, collapse, described
+from tendersift.llm.common import append, in_arrays, in_batches, mix, parts, prepare, split_words, staged, table
+from tendersift.llm.hashing import SECOND, Words, slices, sums, words_of
 
-WINDOW, ROUNDS = 20, 6
+WINDOW, ROUNDS = 20, 4
 
 
 def anchors(words: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +41,17 @@ def anchors(words: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tu
     sym, begin = words, np.arange(len(words))
     name, place = words[:n].copy(), np.arange(n)
     live, lo, hi = np.arange(n), np.arange(n), np.arange(n) + window  # symbols lo..hi-1 are the window's own
+
+    def keep() -> None:
+        """Drop the windows that have no symbol of their own left, and name the others anew."""
+        nonlocal live, lo, hi
+        ok = lo < hi
+        live, lo, hi = live[ok], lo[ok], hi[ok]
+        found = mix(sym[lo] + np.uint64(r))
+        two = lo + 1 < hi
+        found[two] = mix(found[two] * np.uint64(0xD1342543DE82EF95) + sym[lo[two] + 1])
+        name[live], place[live] = found, begin[lo]
+
     # Runs. The first and the last run of a window may reach out of it.
     fresh = np.concatenate(([True], sym[1:] != sym[:-1]))
     run = np.cumsum(fresh) - 1
@@ -48,11 +61,7 @@ def anchors(words: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tu
     sym = np.where(length > 1, mix(sym[first] + length * np.uint64(0x9E3779B97F4A7C15)), sym[first])
     begin = begin[first]
     for r in range(rounds):
-        ok = lo < hi
-        live, lo, hi = live[ok], lo[ok], hi[ok]
-        if not len(live):
-            break
-        name[live], place[live] = mix(sym[lo] + np.uint64(r)), begin[lo]
+        keep()
         # Pairs. A right symbol at the start may belong to what stands before, a left one at the end to what follows.
         left = (mix(sym ^ np.uint64((r + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1)) >> np.uint64(63)) == 0
         joined = np.zeros(len(sym), bool)
@@ -68,17 +77,11 @@ def anchors(words: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tu
         new = sym[at].copy()
         new[pair] = mix(sym[at[pair]] * np.uint64(0xD1342543DE82EF95) + sym[at[pair] + 1] + np.uint64(r + 1))
         sym, begin = new, begin[at]
-    ok = lo < hi
-    live, lo = live[ok], lo[ok]
-    name[live], place[live] = mix(sym[lo] + np.uint64(rounds)), begin[lo]
+    r = rounds
+    keep()
     return name, place
 
 
-def _describe(text: str | None) -> tuple[int, int, int]:
-    words = word_hashes(text)
-    return (*whole(words), len(words))
-
-
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -98,46 +101,56 @@ def _ordered(nodes: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """What ``collapse`` gives, and (node, starts): the windows of each class text that occur earlier."""
     prepare(docs.sparkSession)
-    info, nodes, texts = collapse(docs, _describe, lambda t: [_digest(split_words(t))], "sha string")
+    info, nodes, texts = collapse(docs, Words.wholes, extra=lambda t: _digest(split_words(t)))
     long = texts.where(F.col("n") >= window)
 
-    def name(r: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"anchor": [], "node": [], "twice": []}
-        for node, text in zip(r["node"], r["text"]):
-            names, places = anchors(word_hashes(text), window)
+    def name(batch: pa.RecordBatch):
+        node = batch.column(0).to_numpy()
+        for words in words_of(batch.column(1)):
+            at = words.runs(window)
+            names, places = anchors(words.hashes, window)
+            names, places, text = names[at], places[at], words.text[at]
             # Neighbouring windows mostly have the anchor in common; an anchor met again is only looked at closer.
-            fresh = (np.diff(places, prepend=-1) != 0) | (names != np.roll(names, 1))
-            own = names[fresh]
-            values, counts = np.unique(own, return_counts=True)
-            out["anchor"] += values.view(np.int64).tolist()
-            out["node"] += [node] * len(values)
-            out["twice"] += (counts > 1).tolist()
-        return out
-
-    named = in_batches(long, name, "anchor bigint, node bigint, twice boolean")
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = (places[1:] != places[:-1]) | (names[1:] != names[:-1]) | (text[1:] != text[:-1])
+            names, text = names[fresh], text[fresh]
+            order = np.lexsort((names, text))
+            names, text = names[order], text[order]
+            begin = np.ones(len(names), bool)
+            begin[1:] = (names[1:] != names[:-1]) | (text[1:] != text[:-1])
+            begin = np.flatnonzero(begin)
+            yield [names[begin].view(np.int64), node[words.first + text[begin]], np.diff(np.append(begin, len(names))) > 1]
+
+    named = in_arrays(long.select("node", "text"), name, "anchor bigint, node bigint, twice boolean")
     shared = (named.groupBy("anchor").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("twice").alias("twice"))
               .where("a < b or twice").select("anchor"))
     # A list of anchors of one document: bounded by its length.
     hits = staged(named.join(shared, "anchor").groupBy("node").agg(F.collect_list("anchor").alias("anchors")))
 
-    def compare(r: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"anchor": [], "content": [], "node": [], "start": []}
-        for node, text, wanted in zip(r["node"], r["text"], r["anchors"]):
-            words = word_hashes(text)
-            names, _ = anchors(words, window)
-            at = np.flatnonzero(np.isin(names, np.array(wanted, np.int64).view(np.uint64)))
-            out["anchor"] += names[at].view(np.int64).tolist()
-            out["content"] += run_hashes(words, window)[at].view(np.int64).tolist()
-            out["node"] += [node] * len(at)
-            out["start"] += at.tolist()
-        return out
-
-    rows = in_batches(long.join(hits, "node").select("node", "text", "anchors"), compare,
-                      "anchor bigint, content bigint, node bigint, start int")
-    windows = staged(rows.join(_ordered(nodes), "node").select("anchor", "content", "node", "start", (F.col("base") + F.col("start")).alias("place")))
-    first = windows.groupBy("anchor", "content").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
-    later = staged(windows.join(first.select("anchor", "content", "first"), ["anchor", "content"]).where("place > first")
-                   .groupBy("node").agg(F.collect_set("start").alias("starts")))
+    def compare(batch: pa.RecordBatch):
+        base, wanted = batch.column(0).to_numpy(), batch.column(2)
+        wanted_from, wanted = wanted.offsets.to_numpy(), wanted.values.to_numpy().view(np.uint64)
+        for words in words_of(batch.column(1)):
+            at = words.runs(window)
+            names = anchors(words.hashes, window)[0][at]
+            text = words.text[at]
+            limits = np.searchsorted(text, np.arange(words.texts + 1))
+            hit = [np.isin(names[limits[i] : limits[i + 1]], wanted[wanted_from[words.first + i] : wanted_from[words.first + i + 1]])
+                   for i in range(words.texts)]
+            hit = np.flatnonzero(np.concatenate(hit))
+            at, text = at[hit], text[hit]
+            content = slices(sums(words.hashes, SECOND), SECOND, at, at + window)
+            yield [names[hit].view(np.int64), content.view(np.int64), base[words.first + text], at - words.bounds[text]]
+
+    order = _ordered(nodes)
+    rows = in_arrays(long.join(hits, "node").join(order, "node").select("base", "text", "anchors"), compare,
+                     "anchor bigint, content bigint, base bigint, start bigint").withColumn("start", F.col("start").cast("int"))
+    windows = staged(rows)
+    place = F.col("base") + F.col("start")
+    first = windows.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    later = (windows.join(first.select("anchor", "content", "first"), ["anchor", "content"]).where(place > F.col("first"))
+             .groupBy("base").agg(F.collect_set("start").alias("starts")))
+    later = staged(later.join(order, "base").select("node", "starts"))
     return info, nodes, texts, later
 
 
@@ -180,7 +193,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.col("n").alias("n_words"),
         F.when(copy, F.col("n")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"))
+        F.when(copy, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("cut_sha", "extra")).alias("kept_sha256"))
 
 
 def rewrite(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -191,8 +204,7 @@ def rewrite(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     _, classes = _cuts(docs, window, True)
 
     def key(texts: list) -> dict[str, list]:
-        found = [_describe(t) for t in texts]
-        return {"_k1": [f[0] for f in found], "_k2": [f[1] for f in found], "_n": [f[2] for f in found]}
+        return dict(zip(("_k1", "_k2", "_n"), described(pa.array(texts, pa.large_string()), Words.wholes, False)))
 
     rows = append(docs, key, "_k1 bigint, _k2 bigint, _n bigint").join(
         classes.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "first_id", "removed", "kept").withColumnsRenamed(
