@@ -30,40 +30,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tendersift.llm.collapse import NO_ID, collapse
-from tendersift.llm.common import arrow_schema, in_batches, mix, parts, prepare, staged, table
-from tendersift.llm.hashing import run_hashes, whole, word_hashes
+from tendersift.llm.common import arrow_schema, in_arrays, in_batches, mix, parts, prepare, staged, table
+from tendersift.llm.hashing import Words, words_of
 from tendersift.operators.graph import components
 
 GROUPS, TILE, LEAF, FREQUENT = 64, 1024, 16, 1024
 
 
-def shingles(text: str | None, size: int, lower: bool = True) -> np.ndarray:
-    """Sorted distinct shingle hashes; shorter texts are one shingle."""
-    words = word_hashes(text, lower)
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    return np.unique(run_hashes(words, min(size, len(words))))
-
-
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Least intersection of sets of sizes a and b: 100 i >= percent (a + b - i)."""
     return -(-percent * (a + b) // (100 + percent))
 
 
-def group_counts(sh: np.ndarray) -> np.ndarray:
-    return np.bincount((sh >> np.uint64(58)).astype(np.intp), minlength=GROUPS).astype(np.int32)
+def group_counts(text: np.ndarray, sh: np.ndarray, texts: int) -> np.ndarray:
+    """One row of group counts per text."""
+    place = text * GROUPS + (sh >> np.uint64(58)).astype(np.int64)
+    return np.bincount(place, minlength=texts * GROUPS).astype(np.int32).reshape(texts, GROUPS)
+
 
+def routes(text: np.ndarray, sh: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and shingle of the first shingles of each text in the common order.
 
-def routes(sh: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles in the common order. ``frequent`` is sorted; ``rank`` is its order by frequency."""
-    n = len(sh)
-    count = n - int(-(-percent * n // 100)) + 1
-    order = np.zeros(n, np.int64)
+    ``frequent`` is sorted; ``rank`` is its order by frequency.
+    """
+    order = np.zeros(len(sh), np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, sh), len(frequent) - 1)
         order = np.where(frequent[at] == sh, rank[at] + 1, 0)
-    scrambled = mix(sh)  # the groups use the high bits of the hash itself
-    return sh[np.lexsort((scrambled, order))[:count]]
+    number = np.bincount(text)
+    begin = np.concatenate(([0], np.cumsum(number)))
+    # The groups use the high bits of the hash itself, so the order is that of a scrambled one.
+    sorted_ = np.lexsort((mix(sh), order, text))
+    count = number - -(-percent * number // 100) + 1
+    keep = sorted_[np.arange(len(sh)) - begin[text] < count[text]]
+    return text[keep], sh[keep]
 
 
 class Tree:
@@ -130,8 +130,8 @@ def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     arrow = arrow_schema(schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, docs = [], 0
-        values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        docs, values, counts = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        found: list[np.ndarray] = []
 
         def merge() -> tuple[np.ndarray, np.ndarray]:
             every = np.concatenate([values, *found])
@@ -140,14 +140,15 @@ def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             return distinct, np.bincount(inverse, weight, len(distinct)).astype(np.int64)
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found.append(shingles(text, size))
-                docs += 1
-            values, counts = merge()
-            found = []
-        keep = counts * FREQUENT >= docs
+            for words in words_of(batch.column(0), True):
+                found.append(words.shingles(size)[1])
+                docs += words.texts
+            if sum(map(len, found)) > max(len(values), 1 << 20):
+                values, counts = merge()
+                found = []
+        values, counts = merge()
         # Among few documents a single one would be frequent; it is not worth a place in the order.
-        keep &= counts > 1
+        keep = (counts * FREQUENT >= docs) & (counts > 1)
         yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], schema=arrow)
 
     rows = (texts.select("text").mapInArrow(count, schema).groupBy("shingle").agg(F.sum("docs").alias("docs"))
@@ -229,26 +230,28 @@ def links(texts: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     frequent, rank = _frequent(texts, size)
     order = spark.sparkContext.broadcast((frequent, rank))
 
-    def route(r: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"key": [], "node": [], "n": []}
-        for node, text in zip(r["node"], r["text"]):
-            sh = shingles(text, size)
-            keys = routes(sh, percent, *order.value)
-            out["key"] += keys.view(np.int64).tolist()
-            out["node"] += [node] * len(keys)
-            out["n"] += [len(sh)] * len(keys)
-        return out
-
-    routed = in_batches(texts, route, "key bigint, node bigint, n int")
+    def route(batch: pa.RecordBatch):
+        node = batch.column(0).to_numpy()
+        for words in words_of(batch.column(1), True):
+            text, sh = words.shingles(size)
+            number = np.bincount(text, minlength=words.texts)
+            text, sh = routes(text, sh, percent, *order.value)
+            yield [sh.view(np.int64), node[words.first + text], number[text]]
+
+    routed = in_arrays(texts.select("node", "text"), route, "key bigint, node bigint, n bigint").withColumn("n", F.col("n").cast("int"))
     busy = routed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
     shared = staged(routed.join(busy.select("key", "m"), "key"))
 
-    def pack(r: dict[str, list]) -> dict[str, list]:
-        sets = [shingles(t, size) for t in r["text"]]
-        return {"node": r["node"], "sh": [s.tobytes() for s in sets], "point": [group_counts(s).tobytes() for s in sets]}
+    def pack(batch: pa.RecordBatch):
+        for words in words_of(batch.column(1), True):
+            text, sh = words.shingles(size)
+            points = group_counts(text, sh, words.texts)
+            bounds = np.searchsorted(text, np.arange(words.texts + 1))
+            yield [batch.column(0).slice(words.first, words.texts), [sh[i:j].tobytes() for i, j in zip(bounds, bounds[1:])],
+                   [p.tobytes() for p in points]]
 
     met = shared.select("node").distinct()
-    sets = staged(in_batches(texts.join(met, "node", "left_semi").select("node", "text"), pack,
+    sets = staged(in_arrays(texts.join(met, "node", "left_semi").select("node", "text"), pack,
                              "node bigint, sh binary, point binary").dropDuplicates(["node"]))
 
     # Neighbours by size. Other tiles on every route mix the tiles of a large group.
@@ -289,11 +292,14 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     """doc_id, n_shingles and component_id: the smallest id reached by links of ``percent`` Jaccard over ``size``-word shingles."""
     prepare(docs.sparkSession)
 
-    def describe(text: str | None) -> tuple[int, int, int]:
-        sh = shingles(text, size)
-        return (*whole(sh), len(sh))
+    def describe(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        text, sh = words.shingles(size)
+        bounds = np.searchsorted(text, np.arange(words.texts + 1))
+        # Sums of two scrambled forms stand for a set in any order.
+        sums_ = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(sh ^ np.uint64(salt))))) for salt in (1, 0x5851F42D4C957F2D)]
+        return (*((x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums_), np.diff(bounds))
 
-    info, nodes, texts = collapse(docs, describe)
+    info, nodes, texts = collapse(docs, describe, lower=True)
     named = texts.where(F.col("id") != NO_ID)
     edges = links(named.select("node", "n", "text"), size, percent)
     # Rows that share an id and differ in text meet through the id.
