@@ -6,7 +6,7 @@ largest coordinates, so a tree of boxes finds the pairs that may reach the thres
 
 A tree over a whole corpus would compare each point with most boxes, because unrelated long texts have similar counts.
 Trees are therefore built per route. Shingles are ordered the same way for all documents: those found in at
-least one of 1024 documents last, by frequency, all others by hash. Two sets that reach the threshold t have one of
+least one of 4096 documents last, by frequency, all others by hash. Two sets that reach the threshold t have one of
 the first n - ceil(t n) + 1 shingles of each in common (otherwise too few are left to share), so documents meet under each
 of these. Routes with one document end at once.
 
@@ -34,7 +34,7 @@ from tendersift.llm.common import arrow_schema, in_arrays, in_batches, mix, part
 from tendersift.llm.hashing import Words, words_of
 from tendersift.operators.graph import components
 
-GROUPS, TILE, LEAF, FREQUENT = 64, 1024, 16, 1024
+GROUPS, FINE, TILE, LEAF, FREQUENT = 64, 512, 1024, 16, 4096
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -42,10 +42,10 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def group_counts(text: np.ndarray, sh: np.ndarray, texts: int) -> np.ndarray:
-    """One row of group counts per text."""
-    place = text * GROUPS + (sh >> np.uint64(58)).astype(np.int64)
-    return np.bincount(place, minlength=texts * GROUPS).astype(np.int32).reshape(texts, GROUPS)
+def group_counts(text: np.ndarray, sh: np.ndarray, texts: int, groups: int = GROUPS) -> np.ndarray:
+    """One row of group counts per text; ``groups`` is a power of two."""
+    place = text * groups + (sh >> np.uint64(65 - groups.bit_length())).astype(np.int64)
+    return np.bincount(place, minlength=texts * groups).astype(np.int32).reshape(texts, groups)
 
 
 def routes(text: np.ndarray, sh: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,65 +162,109 @@ def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return values[by], rank[by]
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets reach the threshold."""
-    left = sets.select(F.col("node").alias("src"), F.col("sh").alias("sh_a"))
-    right = sets.select(F.col("node").alias("dst"), F.col("sh").alias("sh_b"))
+def _verify(pairs: DataFrame, points: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs whose sets reach the threshold: first by the bound over ``FINE`` groups, what is left by the sets."""
+    def bound(batch: pa.RecordBatch):
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int32).reshape(-1, FINE) for i in (2, 3))
+        keep = pa.array(np.minimum(a, b).sum(axis=1) >= needed(a.sum(axis=1, dtype=np.int64), b.sum(axis=1, dtype=np.int64), percent))
+        yield [batch.column(0).filter(keep), batch.column(1).filter(keep)]
+
+    def ends(rows: DataFrame, column: str) -> list[DataFrame]:
+        return [rows.select(F.col("node").alias(k), F.col(column).alias(f"{column}_{k}")) for k in ("src", "dst")]
+
+    left, right = ends(points, "fine")
+    near = staged(in_arrays(pairs.join(left, "src").join(right, "dst").select("src", "dst", "fine_src", "fine_dst"), bound,
+                            "src bigint, dst bigint").distinct())
+    some = near.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+    def pack(batch: pa.RecordBatch):
+        for words in words_of(batch.column(1), True):
+            text, sh = words.shingles(size)
+            bounds = np.searchsorted(text, np.arange(words.texts + 1))
+            yield [batch.column(0).slice(words.first, words.texts), [sh[i:j].tobytes() for i, j in zip(bounds, bounds[1:])]]
 
     def check(r: dict[str, list]) -> dict[str, list]:
         keep = []
-        for k, (a, b) in enumerate(zip(r["sh_a"], r["sh_b"])):
+        for k, (a, b) in enumerate(zip(r["sh_src"], r["sh_dst"])):
             a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
             both = np.intersect1d(a, b, assume_unique=True).size
             if 100 * both >= percent * (len(a) + len(b) - both):
                 keep.append(k)
         return {c: [r[c][k] for k in keep] for c in ("src", "dst")}
 
-    return staged(in_batches(pairs.join(left, "src").join(right, "dst").select("src", "dst", "sh_a", "sh_b"), check,
+    sets = staged(in_arrays(texts.join(some, "node", "left_semi").select("node", "text"), pack, "node bigint, sh binary").dropDuplicates(["node"]))
+    left, right = ends(sets, "sh")
+    return staged(in_batches(near.join(left, "src").join(right, "dst").select("src", "dst", "sh_src", "sh_dst"), check,
                              "src bigint, dst bigint").distinct())
 
 
-def _tree_candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs from sorted tiles: rows (key, tile, side, node, comp, n, point), all rows of a (key, tile) in one run.
+def pairs_within(grp: np.ndarray, side: np.ndarray, own: np.ndarray, n: np.ndarray, points: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs whose bound reaches the threshold; rows of a group stand together.
 
-    Side 0 is compared with side 1 and, where ``own`` is set, with itself.
+    Side 0 of a group is compared with its side 1 and, where ``own`` is set, with itself. Small groups are compared row by
+    row, all at once; a tree of one leaf would do the same.
     """
+    begin = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1])))
+    size = np.diff(np.append(begin, len(grp)))
+    small = np.repeat(size <= LEAF, size)
+    out = []
+    for d in range(1, LEAF):
+        i = np.flatnonzero(small[:-d] & (grp[:-d] == grp[d:])) if len(grp) > d else np.zeros(0, np.int64)
+        if not len(i):
+            break
+        j = i + d
+        ok = (side[i] != side[j]) | ((side[i] == 0) & own[i])
+        i, j = i[ok], j[ok]
+        leaf = (points, n, n)
+        ok = _may(leaf, i, leaf, j, percent)
+        out.append((i[ok], j[ok]))
+    for b, m in zip(begin[size > LEAF], size[size > LEAF]):
+        rows = np.arange(b, b + m)
+        rows = rows[np.argsort(n[rows], kind="stable")]
+        x, y = rows[side[rows] == 0], rows[side[rows] == 1]
+        for p, q in ([(x, x)] if own[b : b + m].any() and len(x) else []) + ([(x, y)] if len(x) and len(y) else []):
+            i, j = tree_pairs(Tree(n[p], points[p]), Tree(n[q], points[q]), percent)
+            out.append((p[i], q[j]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def _tree_candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components from rows (grp, side, own, node, comp, n, point)."""
     schema = "src bigint, dst bigint"
     arrow = arrow_schema(schema)
-    order = ["key", "tile", "side", "n", "node"]
+    columns = ["grp", "side", "own", "node", "comp", "n", "point"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(rows: list) -> tuple[np.ndarray, np.ndarray]:
-            node, comp, n = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
-            points = np.stack([np.frombuffer(r[4], np.int32) for r in rows])
-            side = np.array([r[0] for r in rows])
-            own = any(r[5] for r in rows)
-            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            out = []
-            for x, y in ([(a, a)] if own else []) + ([(a, b)] if len(b) else []):
-                i, j = tree_pairs(Tree(n[x], points[x]), Tree(n[y], points[y]), percent)
-                out.append((x[i], y[j]))
-            if not out:
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            i, j = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+        def close(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table_ = pa.Table.from_batches(held)
+            grp, side, own, node, comp, n = (table_.column(c).to_numpy() for c in columns[:-1])
+            points = np.frombuffer(b"".join(table_.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
+            i, j = pairs_within(grp, side, own, n.astype(np.int64), points, percent)
             ok = comp[i] != comp[j]
-            i, j = node[i[ok]], node[j[ok]]
-            both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
-            return both[0], both[1]
+            a, b = node[i[ok]], node[j[ok]]
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in both], schema=arrow)
 
-        now, held = None, []
+        held: list[pa.RecordBatch] = []
+        rows_held = 0
         for batch in batches:
-            r = [batch.column(c).to_pylist() for c in ("key", "tile", "side", "node", "comp", "n", "point", "own")]
-            for key, tile, *rest in zip(*r):
-                if (key, tile) != now:
-                    if held:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in close(held)], schema=arrow)
-                    now, held = (key, tile), []
-                held.append(rest)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in close(held)], schema=arrow)
-
-    return (rows.repartition(parts(rows.sparkSession), "key", "tile").sortWithinPartitions(*order)
+            held.append(batch)
+            rows_held += batch.num_rows
+            if rows_held >= 4 * TILE:
+                # All but the last group is complete.
+                whole = pa.Table.from_batches(held).combine_chunks()
+                grp = whole.column("grp").to_numpy()
+                last = int(np.flatnonzero(grp != grp[-1])[-1]) + 1 if (grp != grp[-1]).any() else 0
+                if last:
+                    yield close(whole.slice(0, last).to_batches())
+                held = whole.slice(last).to_batches()
+                rows_held = whole.num_rows - last
+        if rows_held:
+            yield close(held)
+
+    return (rows.select(*columns).repartition(parts(rows.sparkSession), "grp").sortWithinPartitions("grp")
             .mapInArrow(search, schema).distinct())
 
 
@@ -245,14 +289,11 @@ def links(texts: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     def pack(batch: pa.RecordBatch):
         for words in words_of(batch.column(1), True):
             text, sh = words.shingles(size)
-            points = group_counts(text, sh, words.texts)
-            bounds = np.searchsorted(text, np.arange(words.texts + 1))
-            yield [batch.column(0).slice(words.first, words.texts), [sh[i:j].tobytes() for i, j in zip(bounds, bounds[1:])],
-                   [p.tobytes() for p in points]]
+            yield [batch.column(0).slice(words.first, words.texts), *([p.tobytes() for p in group_counts(text, sh, words.texts, g)] for g in (GROUPS, FINE))]
 
     met = shared.select("node").distinct()
-    sets = staged(in_arrays(texts.join(met, "node", "left_semi").select("node", "text"), pack,
-                             "node bigint, sh binary, point binary").dropDuplicates(["node"]))
+    points = staged(in_arrays(texts.join(met, "node", "left_semi").select("node", "text"), pack,
+                              "node bigint, point binary, fine binary").dropDuplicates(["node"]))
 
     # Neighbours by size. Other tiles on every route mix the tiles of a large group.
     tiles = F.ceil(F.col("m") / TILE)
@@ -261,7 +302,7 @@ def links(texts: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
              .withColumn("prev", F.lag("node").over(near)).withColumn("prev_n", F.lag("n").over(near))
              .where((F.col("prev") != F.col("node")) & (100 * F.col("prev_n") >= percent * F.col("n")))
              .select(F.least("prev", "node").alias("src"), F.greatest("prev", "node").alias("dst")).distinct())
-    found = _verify(chain, sets, percent)
+    found = _verify(chain, points, texts, size, percent)
     comp = components(found)
 
     # What is left: routes on which several components meet. The largest component of a route is side 1, all
@@ -283,8 +324,9 @@ def links(texts: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     inner = inner.select("key", "node", "n", "comp", (F.col("at") > F.col("other")).cast("int").alias("side"),
                          (F.col("at") == F.col("other")).alias("own"),
                          F.concat_ws(" ", F.lit("s"), F.least("at", "other"), F.greatest("at", "other")).alias("tile"))
-    both = cross.unionByName(inner).join(sets.select("node", "point"), "node")
-    more = _verify(_tree_candidates(both, percent), sets, percent)
+    # Two tiles whose names had one hash would only be compared in vain.
+    both = cross.unionByName(inner).withColumn("grp", F.xxhash64("key", "tile")).drop("key", "tile").join(points.select("node", "point"), "node")
+    more = _verify(_tree_candidates(both, percent), points, texts, size, percent)
     return staged(found.unionByName(more))
 
 

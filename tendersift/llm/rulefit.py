@@ -3,7 +3,8 @@
 Statistics of a text are Spark expressions. On a bounded sample of labelled rows shallow regression trees are boosted on
 the statistics; every path from a root is a rule, a conjunction of comparisons. Rules are the 0/1 inputs of a logistic
 regression under a lasso penalty, which sets most weights to zero. What is left is one Spark expression: the
-logistic function of a sum of weighted conditions. The penalty is the one with the least loss on a fifth of the sample.
+logistic function of a sum of weighted conditions. The penalty is the largest whose loss on a fifth of the sample is within
+one standard error of the least.
 
 Bound: ``most`` labelled rows are used for training, those with the smallest hash of the id; only their statistics come to
 the driver. Every text is scored, on the executors, from whole texts.
@@ -147,14 +148,14 @@ class RuleFit:
         test = np.arange(len(y)) % 5 == 0
         rules = extract_rules(x[~test], y[~test])
         z = np.stack([holds(x, r) for r in rules], axis=1).astype(np.float64)
-        best, start = None, None
+        tried, start = [], None
         for penalty in (0.03, 0.01, 0.003, 0.001, 0.0003):
             start = lasso_logistic(z[~test], y[~test], penalty, start)
             p = np.clip(1 / (1 + np.exp(-np.clip(z[test] @ start[:-1] + start[-1], -500, 500))), 1e-9, 1 - 1e-9)
-            loss = -np.mean(y[test] * np.log(p) + (1 - y[test]) * np.log(1 - p))
-            if best is None or loss < best[0]:
-                best = (loss, penalty)
-        w = lasso_logistic(z, y, best[1])
+            loss = -(y[test] * np.log(p) + (1 - y[test]) * np.log(1 - p))
+            tried.append((float(loss.mean()), float(loss.std() / np.sqrt(len(loss))), penalty))
+        least, error, _ = min(tried)
+        w = lasso_logistic(z, y, max(penalty for loss, _, penalty in tried if loss <= least + error))
         self.rules = [r for r, c in zip(rules, w) if c != 0]
         self.weights, self.intercept = w[:-1][w[:-1] != 0], float(w[-1])
 
