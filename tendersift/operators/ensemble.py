@@ -30,12 +30,14 @@ def scale_by_max(df: DataFrame, score: str) -> DataFrame:
     return df.withColumn(score, F.col(score).cast("double") / F.when(top > 1, top).otherwise(1.0))
 
 
-def average_rank(df: DataFrame, column: str, parts: int = 64) -> DataFrame:
+def average_rank(df: DataFrame, column: str, parts: int | None = None) -> DataFrame:
     """Percentile rank with average ties, as (column, rank) rows of the distinct values.
 
     Distinct values are ranked inside ranges cut at sketched quantiles and then shifted by the counts of
-    the ranges before, so no task orders the whole column. Cuts only spread the work, ranks are exact.
+    the ranges before, so no task orders the whole column. Cuts only spread the work, ranks are exact; there are as
+    many ranges as shuffle partitions unless ``parts`` says otherwise.
     """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
     cuts = one_row(counts.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10_000).alias("q")), "q")["q"]
     placed = counts.withColumn("_q", cuts).select(

@@ -46,9 +46,9 @@ def clustering(edges: DataFrame) -> DataFrame:
     return degrees(edges).join(counts, "node", "left").select("node", "degree", share.alias("clustering"))
 
 
-def directed_rings(edges: DataFrame, limit: int | None = 100) -> DataFrame:
+def directed_rings(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """Cycles a -> b -> c -> a with a the smallest id. Only triangles of the undirected graph can hold one,
-    so they are listed first and the directions are checked on them."""
+    so they are listed first and the directions are checked on them. ``limit`` asks for a top of the list."""
     arcs = edges.select(F.col("winner_id").alias("u"), F.col("loser_id").alias("v"))
     support = arcs.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).distinct()
     tri = triangles(support).select(F.array_sort(F.array("a", "b", "c")).alias("t"))
@@ -87,27 +87,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where(F.col("src") != F.col("dst")).distinct()
         )
         pairs = cut_lineage(small)
-        state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("src", "dst") % 1_000_003)).first())
-        if state == seen:
+        if seen is not None and pairs.exceptAll(seen).isEmpty() and seen.exceptAll(pairs).isEmpty():
             break
-        seen = state
+        seen = pairs
     else:
         raise RuntimeError("components did not settle, raise max_rounds")
     labels = pairs.groupBy("dst").agg(F.min("src").alias("component")).withColumnRenamed("dst", "node")
     return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def betweenness(edges: DataFrame, hops: int = 3, pivots: int | None = 500, seed: int = 42) -> DataFrame:
+def betweenness(edges: DataFrame, hops: int = 3, fraction: float = 1.0, seed: int = 42) -> DataFrame:
     """Betweenness from shortest paths of at most ``hops`` unweighted steps, normalised by (n-1)(n-2)/2.
 
-    Paths start at ``pivots`` nodes with the smallest hash (all nodes when None or fewer) and the sums are
-    scaled up. One table row is one (source, node) pair, so the work is pivots times nodes per step.
+    Paths start at the share ``fraction`` of the nodes, chosen by hash, at every size; with less than 1 the sums are
+    scaled up by nodes over starts, an unbiased estimate. One table row is one (source, node) pair, so the work is
+    starts times nodes per step.
     """
     arcs = cut_lineage(both_ways(edges.withColumn("weight", F.lit(1))).select("src", "dst").distinct())
     nodes = arcs.select(F.col("src").alias("node")).distinct()
     n = nodes.count()
-    sources = nodes if pivots is None or pivots >= n else nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(pivots)
-    used = min(n, pivots) if pivots else n
+    unit = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    sources = nodes if fraction >= 1 else cut_lineage(nodes.where(unit < fraction))
+    used = n if fraction >= 1 else max(1, sources.count())
     levels = [cut_lineage(sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("sigma")))]
     visited = levels[0].select("s", "node")
     for _ in range(hops):

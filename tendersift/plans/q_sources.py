@@ -94,10 +94,9 @@ def _(d):
     return out.agg(F.count("*").alias("n"))
 
 
-@query("src_year_tag", "SELECT tender_id, year FROM tenders WHERE month = 12")
+@query("src_year_tag", "SELECT tender_id, year FROM tenders")
 def _(d):
-    december = d.tenders.where("month = 12")
-    frames = {y: december.where(F.col("year") == y).select("tender_id") for y in _years(d)}
+    frames = {y: d.tenders.where(F.col("year") == y).select("tender_id") for y in _years(d)}
     return readers.tag_year(frames)
 
 
@@ -106,12 +105,16 @@ def _(d):
     return readers.overview(d.spark, _exported(d))
 
 
-@query("profile_validate", """SELECT 'tenders' AS name, count(*) AS rows,
-round((avg(CASE WHEN supplier_id IS NULL THEN 1.0 ELSE 0 END) + avg(CASE WHEN award_criteria IS NULL THEN 1.0 ELSE 0 END)
- + avg(CASE WHEN award_value IS NULL THEN 1.0 ELSE 0 END) + 0.0) / 4, 6) AS mean_null_rate FROM tenders""")
+_MAPPED = ("tender_id buyer_id supplier_id procurement_method award_criteria main_cpv_2_digit tender_value award_value published_date "
+           "award_date year month quarter day_of_week is_weekend is_q4 is_december number_of_bids number_of_tenderers "
+           "has_unsuccessful_awards has_cancelled_awards has_enquiries number_of_documents is_single_bidder is_competitive "
+           "is_cross_region is_buyer_masked is_supplier_masked price_change_pct discount_percentage_avg").split()
+_NULLS = " + ".join(f"avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0 END)" for c in _MAPPED)
+
+
+@query("profile_validate", f"SELECT 'tenders' AS name, count(*) AS rows, round(({_NULLS}) / {len(_MAPPED)}, 6) AS mean_null_rate FROM tenders")
 def _(d):
-    part = d.tenders.select("tender_id", "supplier_id", "award_criteria", "award_value")
-    return rounded(readers.validate(part, ["tender_id", "supplier_id"], "tenders"), mean_null_rate=6)
+    return rounded(readers.validate(d.tenders.select(*_MAPPED), ["tender_id", "supplier_id"], "tenders"), mean_null_rate=6)
 
 
 @query("src_require", "SELECT count(*) AS n FROM bids")
@@ -183,9 +186,9 @@ def _(d):
 
 
 @query("sc_first_digit", """SELECT bid_id, cast(left(cast(cast(floor(bid_amount) AS BIGINT) AS VARCHAR), 1) AS INT) AS digit
-FROM bids WHERE bid_amount >= 1""")
+FROM bids""")
 def _(d):
-    return d.bids.where("bid_amount >= 1").select("bid_id", E.first_digit(F.col("bid_amount")).alias("digit"))
+    return d.bids.select("bid_id", E.first_digit(F.col("bid_amount")).alias("digit"))
 
 
 @query("sc_abs_pow_clip", """SELECT tender_id, round(abs(price_change_pct), 4) AS a, round(pow(price_change_pct, 2), 2) AS sq,
@@ -253,13 +256,13 @@ def _(d):
 
 
 @query("sc_string_fmt", """SELECT tender_id, concat_ws(', ', 'B_' || buyer_id, 'S_' || supplier_id) AS nodes,
-printf('%.0f%%', number_of_documents * 100.0 / 8) AS share, left(procurement_method, 3) AS short,
-replace('B_' || buyer_id, 'B_', '') AS bare FROM tenders WHERE number_of_documents IN (0, 2, 4, 6, 8)""")
+printf('%.1f%%', number_of_documents * 100.0 / 8) AS share, left(procurement_method, 3) AS short,
+replace('B_' || buyer_id, 'B_', '') AS bare FROM tenders""")
 def _(d):
     node = F.concat(F.lit("B_"), F.col("buyer_id"))
-    return d.tenders.where(F.col("number_of_documents").isin(0, 2, 4, 6, 8)).select(
+    return d.tenders.select(
         "tender_id", F.concat_ws(", ", node, F.concat(F.lit("S_"), F.col("supplier_id"))).alias("nodes"),
-        F.format_string("%.0f%%", F.col("number_of_documents") * 100.0 / 8).alias("share"),
+        F.format_string("%.1f%%", F.col("number_of_documents") * 100.0 / 8).alias("share"),
         F.substring("procurement_method", 1, 3).alias("short"),
         F.regexp_replace(node, "^B_", "").alias("bare"))
 

@@ -67,11 +67,6 @@ class Data:
     def cobid(self) -> DataFrame:
         return self.staged("cobid", lambda: edges.cobid_edges(self.tenders, self.bids, 3))
 
-    @cached_property
-    def cobid_dense(self) -> DataFrame:
-        """Co-bidding edges of frequent partners only, where the tables are too dense at 3."""
-        return self.cobid.where("weight >= 15")
-
     @cached_property
     def winlose(self) -> DataFrame:
         return self.staged("winlose", lambda: edges.winlose_edges(self.tenders, self.bids, 3))

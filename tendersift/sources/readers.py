@@ -6,6 +6,7 @@ are lazy: method and year filters and the column list reach the scan.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tendersift import schemas as S
 from tendersift.functions import expr as E
 
+log = logging.getLogger(__name__)
+
 
 def _paths(spark: SparkSession, candidates: Iterable[str]) -> list[str]:
     """Those of the paths that exist in their file system, checked on the driver without reading them."""
@@ -36,9 +39,12 @@ def _read(spark: SparkSession, paths: list[str], columns: dict[str, T.DataType],
           base: str | None = None) -> DataFrame:
     reader = spark.read.option("basePath", base) if base else spark.read
     if fmt == "parquet":
-        return reader.parquet(*paths)
-    # Columns are matched by header name: the files carry more columns than the typed ones.
-    raw = reader.option("header", True).option("mode", "PERMISSIVE").csv(paths)
+        return reader.option("mergeSchema", True).parquet(*paths)
+    # Spark takes the header of one file for all of them, so every path is read with its own and united by name.
+    raw = None
+    for path in paths:
+        one = reader.option("header", True).option("mode", "PERMISSIVE").csv(path)
+        raw = one if raw is None else raw.unionByName(one, allowMissingColumns=True)
     typed = [
         (F.col(c).try_cast(kind) if not isinstance(kind, T.StringType) else F.col(c)).alias(c)
         for c, kind in columns.items() if c in raw.columns
@@ -80,18 +86,22 @@ def load_yearly(
 ) -> DataFrame:
     """Yearly files ``<table>_<year>.<fmt>`` or partitions ``<table>/year=<year>`` as one table.
 
-    Absent years are skipped, no year at all is an error.
+    A year may be a file or a partition, also side by side; if it is both, the file is read. Absent years are skipped
+    with a warning, no year at all is an error.
     """
     wanted = S.YEARS if years is None else [years] if isinstance(years, int) else list(years)
     schema = S.TENDER_COLUMNS if table == "tenders" else S.BID_COLUMNS
-    files = _paths(spark, [f"{root}/{table}_{y}.{fmt}" for y in wanted])
-    parts = _paths(spark, [f"{root}/{table}/year={y}" for y in wanted])
-    if files:
-        df = _read(spark, files, schema, fmt)
-    elif parts:
-        df = _read(spark, parts, schema, fmt, base=f"{root}/{table}")
-    else:
+    file_of = {y: f"{root}/{table}_{y}.{fmt}" for y in wanted}
+    part_of = {y: f"{root}/{table}/year={y}" for y in wanted}
+    files = _paths(spark, file_of.values())
+    parts = _paths(spark, [part_of[y] for y in wanted if file_of[y] not in files])
+    absent = [y for y in wanted if file_of[y] not in files and part_of[y] not in parts]
+    if not files and not parts:
         raise ValueError("No data found. Check years and file paths.")
+    if absent:
+        log.warning("%s: no data for %s", table, ", ".join(map(str, absent)))
+    found = ([_read(spark, files, schema, fmt)] if files else []) + ([_read(spark, parts, schema, fmt, base=f"{root}/{table}")] if parts else [])
+    df = found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
     if procurement_method:
         df = df.where(F.col("procurement_method") == procurement_method)
     return sample_rows(_dates(pick(df, columns)), sample_frac, seed)

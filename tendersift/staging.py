@@ -32,10 +32,3 @@ def stage_folder(spark: SparkSession, scope: str, name: str, fill: Callable[[str
         fill(path)
         _WRITTEN[key] = path
     return _WRITTEN[key]
-
-
-def forget(spark: SparkSession, scope: str) -> None:
-    """Let the next use of ``scope`` write its tables again (used by the bench)."""
-    app = spark.sparkContext.applicationId
-    for key in [k for k in _WRITTEN if k[:2] == (app, scope)]:
-        del _WRITTEN[key]
