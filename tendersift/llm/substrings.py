@@ -8,8 +8,8 @@ the same wherever the window occurs. The first two symbols (or the only one) of
 the window's anchor.
 
 1. Anchors are counted over the corpus in Spark; anchors found once end the matter for their windows.
-2. Windows with a shared anchor are compared by (anchor, hash of the window): 128 bits that do not depend on each
-   other. The first occurrence of each, by id and start, stays; all words of later ones are removed.
+2. Windows with a shared anchor are compared by 32 bits of the anchor and 64 of a hash of the window, which do not depend
+   on each other: a pair of different windows is taken for equal with a chance of 2^-96. The first occurrence of each, by id and start, stays; all words of later ones are removed.
 
 Documents with equal word sequences are worked on once; their later copies are removed whole.
 
@@ -122,8 +122,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
             yield [names[begin].view(np.int64), node[words.first + text[begin]], np.diff(np.append(begin, len(names))) > 1]
 
     named = in_arrays(long.select("node", "text"), name, "anchor bigint, node bigint, twice boolean")
-    shared = (named.groupBy("anchor").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("twice").alias("twice"))
-              .where("a < b or twice").select("anchor"))
+    # Both sides of the joins below are exchanges of their own, so that a hot key can be split.
+    shared = staged(named.groupBy("anchor").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("twice").alias("twice"))
+                    .where("a < b or twice").select("anchor"))
     # A list of anchors of one document: bounded by its length.
     hits = staged(named.join(shared, "anchor").groupBy("node").agg(F.collect_list("anchor").alias("anchors")))
 
@@ -140,15 +141,15 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
             hit = np.flatnonzero(np.concatenate(hit))
             at, text = at[hit], text[hit]
             content = slices(sums(words.hashes, SECOND), SECOND, at, at + window)
-            yield [names[hit].view(np.int64), content.view(np.int64), base[words.first + text], at - words.bounds[text]]
+            yield [names[hit].astype(np.uint32).view(np.int32), content.view(np.int64), base[words.first + text], at - words.bounds[text]]
 
     order = _ordered(nodes)
     rows = in_arrays(long.join(hits, "node").join(order, "node").select("base", "text", "anchors"), compare,
-                     "anchor bigint, content bigint, base bigint, start bigint").withColumn("start", F.col("start").cast("int"))
+                     "anchor int, content bigint, base bigint, start bigint").withColumn("start", F.col("start").cast("int"))
     windows = staged(rows)
     place = F.col("base") + F.col("start")
-    first = windows.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    later = (windows.join(first.select("anchor", "content", "first"), ["anchor", "content"]).where(place > F.col("first"))
+    first = staged(windows.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"))
+    later = (windows.join(first, ["anchor", "content"]).where(place > F.col("first"))
              .groupBy("base").agg(F.collect_set("start").alias("starts")))
     later = staged(later.join(order, "base").select("node", "starts"))
     return info, nodes, texts, later
