@@ -165,6 +165,54 @@ RULES: tuple[Rule, ...] = (
          & _c("supplier_id").cast("string").isin(*MASKED_SUPPLIERS)),
 )
 BY_ID = {r.id: r for r in RULES}
+# What each rule says when it fires.
+DESCRIPTIONS = {
+    "R005": "Key tender information and documents are not available",
+    "R013": "Buyer has high use of non-competitive methods",
+    "R039": "Open tender without any bidder questions",
+    "R018": "Single bid received in competitive tender",
+    "R019": "Low number of bidders compared to category average",
+    "R040": "Supplier wins high share of buyer's contracts",
+    "R050": "Supplier has high market share in CPV category",
+    "R051": "High market concentration (HHI) in CPV category",
+    "R017": "Tender value is unreasonably low or high for category",
+    "R022": "Wide disparity in bid prices within tender",
+    "R023": "Bid prices are suspiciously round numbers",
+    "R024": "Second bid price very close to winning bid",
+    "R025": "Bidder has excessively low win rate (professional loser)",
+    "R027": "Regular bidders in category are missing from tender",
+    "R028": "Multiple bidders submitted identical bid prices",
+    "R034": "Bids consistently submitted in same order across tenders",
+    "R053": "Co-bidding pairs always have same winner",
+    "R057": "Suppliers rotate winning in same CPV category",
+    "R058": "Winning bid has unusually high discount (>50%)",
+    "R002": "Tender value suspiciously close to threshold",
+    "R011": "Multiple tenders split to avoid competitive threshold",
+    "R016": "Tender value significantly deviates from CPV average",
+    "R021": "Use of discretionary evaluation criteria instead of lowest cost",
+    "R029": "Bid prices deviate from Benford's Law distribution",
+    "R031": "Winning bid very close to or higher than estimated price",
+    "R035": "All bids except winner were disqualified",
+    "R036": "Lowest bid was disqualified",
+    "R038": "Buyer or bidder has excessive disqualification rate",
+    "R049": "Pattern of direct awards just below threshold",
+    "R052": "Small initial purchase followed by much larger purchases",
+    "R055": "Multiple direct awards near competitive threshold",
+    "R059": "Large difference between award value and contract amount",
+    "R048": "Supplier operates in many unrelated CPV categories",
+    "R069": "Contract amendments increased price above tender value",
+    "X001": "Tender published on weekend (reduced visibility)",
+    "X002": "High-value tender in Q4 (budget spending pressure)",
+    "X003": "High-value tender in December (year-end pressure)",
+    "X004": "Single bidder from different region",
+    "X005": "Buyer or supplier data is masked",
+    "X006": "Has unsuccessful or cancelled awards",
+    "X007": "New supplier immediately wins large contract",
+    "X008": "Supplier wins only from one buyer",
+    "X009": "Single bidder with discount less than 2%",
+    "X010": "Multiple awards to same supplier on same day",
+    "X011": "Direct contract >10M UAH with masked supplier identity",
+}
 # Rules that stay 0 when the shared statistics are switched off.
 NEED_STATISTICS = frozenset(
     {"R011", "R013", "R016", "R017", "R019", "R040", "R048", "R050", "X007", "X008"})
@@ -186,11 +234,11 @@ def select_rules(enabled: Sequence[str] | None = None, disabled: Sequence[str] |
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    rows = [(r.id, r.name, r.title, r.category, r.severity, r.weight, r.requires_bids, r.requires_aggregation)
+    rows = [(r.id, r.name, r.title, r.category, r.severity, r.weight, r.requires_bids, r.requires_aggregation, DESCRIPTIONS[r.id])
             for r in RULES]
     return spark.createDataFrame(
         rows, "id string, name string, name_ua string, category string, severity string, weight int, "
-              "requires_bids boolean, requires_aggregation boolean")
+              "requires_bids boolean, requires_aggregation boolean, description string")
 
 
 # --- grains ---------------------------------------------------------------------------------------------
@@ -517,7 +565,7 @@ def explain(results: DataFrame) -> DataFrame:
     entries = [
         F.when(F.col(r.column) == 1, F.struct(
             F.lit(r.id).alias("id"), F.lit(r.title).alias("name"), F.lit(r.severity).alias("severity"),
-            F.lit(r.name.replace("_", " ")).alias("description")))
+            F.lit(DESCRIPTIONS[r.id]).alias("description")))
         for r in rules
     ]
     return results.select(

@@ -62,16 +62,21 @@ def _(d):
     return d.ruled.select("tender_id", E.rule_level(F.col("rule_risk_score")).alias("rule_risk_level"))
 
 
+_CATALOG = ", ".join("('{}', {}, {}, {}, '{}')".format(r.name, r.weight, r.requires_bids, r.requires_aggregation, rules.DESCRIPTIONS[r.id].replace("'", "''"))
+                     for r in rules.RULES)
+
+
 @query("rule_catalog", f"""{RULED}
 , up AS (UNPIVOT (SELECT {', '.join('flag_' + n for n in FLAGS)} FROM ruled) ON COLUMNS(*) INTO NAME flag VALUE v)
-, rw(name, weight) AS (VALUES {', '.join(f"('{n}', {w})" for n, w in WEIGHTS.items())})
-SELECT substring(flag, 6) AS name, rw.weight, cast(sum(v) AS BIGINT) AS fired, cast(sum(v) * rw.weight AS BIGINT) AS points
-FROM up JOIN rw ON rw.name = substring(flag, 6) GROUP BY 1, 2""")
+, rw(name, weight, needs_bids, needs_groups, description) AS (VALUES {_CATALOG})
+SELECT substring(flag, 6) AS name, rw.weight, rw.needs_bids AS requires_bids, rw.needs_groups AS requires_aggregation, rw.description,
+cast(sum(v) AS BIGINT) AS fired, cast(sum(v) * rw.weight AS BIGINT) AS points
+FROM up JOIN rw ON rw.name = substring(flag, 6) GROUP BY ALL""")
 def _(d):
     counts = rules.unpivot_sums(d.ruled, rules.flag_columns(d.ruled)).select(
         F.expr("substring(flag, 6)").alias("name"), F.col("count").alias("fired"))
-    return counts.join(rules.catalog(d.spark).select("name", "weight"), "name").select(
-        "name", "weight", "fired", (F.col("fired") * F.col("weight")).alias("points"))
+    return counts.join(rules.catalog(d.spark), "name").select(
+        "name", "weight", "requires_bids", "requires_aggregation", "description", "fired", (F.col("fired") * F.col("weight")).alias("points"))
 
 
 _META = ", ".join(
@@ -126,14 +131,15 @@ def _(d):
 
 
 _BY_NAME = {r.name: r for r in rules.RULES}
-_FIRED = " || ".join(f"CASE WHEN flag_{n} = 1 THEN '{_BY_NAME[n].id}:{_BY_NAME[n].severity};' ELSE '' END" for n in FLAGS)
+_QUOTED = {n: rules.DESCRIPTIONS[r.id].replace("'", "''") for n, r in _BY_NAME.items()}
+_FIRED = " || ".join(f"CASE WHEN flag_{n} = 1 THEN '{_BY_NAME[n].id}:{_BY_NAME[n].severity}:{_QUOTED[n]};' ELSE '' END" for n in FLAGS)
 
 
 @query("rule_explain", f"""{RULED} SELECT tender_id, rule_risk_score AS risk_score, rule_risk_level AS risk_level,
 rule_flags_count AS flags_count, {_FIRED} AS fired FROM ruled""")
 def _(d):
     out = rules.explain(d.ruled)
-    text = F.transform("flags", lambda s: F.concat(s["id"], F.lit(":"), s["severity"], F.lit(";")))
+    text = F.transform("flags", lambda s: F.concat(s["id"], F.lit(":"), s["severity"], F.lit(":"), s["description"], F.lit(";")))
     return out.select("tender_id", "risk_score", "risk_level", "flags_count", F.array_join(text, "").alias("fired"))
 
 
