@@ -71,7 +71,7 @@ _CATALOG = ", ".join("('{}', {}, {}, {}, '{}')".format(r.name, r.weight, r.requi
 , rw(name, weight, needs_bids, needs_groups, description) AS (VALUES {_CATALOG})
 SELECT substring(flag, 6) AS name, rw.weight, rw.needs_bids AS requires_bids, rw.needs_groups AS requires_aggregation, rw.description,
 cast(sum(v) AS BIGINT) AS fired, cast(sum(v) * rw.weight AS BIGINT) AS points
-FROM up JOIN rw ON rw.name = substring(flag, 6) GROUP BY ALL""")
+FROM up JOIN rw ON rw.name = substring(flag, 6) GROUP BY 1, 2, 3, 4, 5""")
 def _(d):
     counts = rules.unpivot_sums(d.ruled, rules.flag_columns(d.ruled)).select(
         F.expr("substring(flag, 6)").alias("name"), F.col("count").alias("fired"))

@@ -10,7 +10,8 @@ QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 CHECKED = [
     "r019_low_bidders_for_cpv", "r024_close_to_winner", "r025_low_win_rate", "r052_small_then_large", "r057_bid_rotation",
     "rule_quick_scan", "rule_summary", "agg_buyer_portrait", "agg_pair_portrait", "agg_global_quantile", "stat_bid_ks",
-    "stat_benford_test", "net_cobid_edges", "net_clustering", "net_components", "net_rings", "ens_lof_rank", "eda_summary",
+    "stat_benford_test", "net_cobid_edges", "net_clustering", "net_components", "net_rings", "ens_lof_rank", "eda_summary", "src_year_tag", "sc_first_digit", "sc_string_fmt",
+    "profile_validate", "rule_catalog", "rule_explain", "net_degree", "net_buyer_supplier_edges", "net_collusion_edges",
 ]
 
 
