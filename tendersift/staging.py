@@ -16,6 +16,20 @@ from tendersift.session import shared_dir
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
+def _state(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of the files of a folder, two levels deep, so that changed inputs are staged anew."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return ""
+    found = []
+    for entry in fs.listStatus(root):
+        inner = fs.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+        found += [f"{x.getPath().toString()} {x.getLen()} {x.getModificationTime()}" for x in inner]
+    return "\n".join(sorted(found))
+
+
 def stage(spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Write ``build()`` to the shared folder at first use and read it back afterwards."""
     path = stage_folder(spark, scope, name, lambda path: build().write.mode("overwrite").parquet(path))
@@ -25,9 +39,9 @@ def stage(spark: SparkSession, scope: str, name: str, build: Callable[[], DataFr
 def stage_folder(spark: SparkSession, scope: str, name: str, fill: Callable[[str], None]) -> str:
     """A folder of the shared one that ``fill`` writes several tables to at first use."""
     app = spark.sparkContext.applicationId
-    key = (app, scope, name)
+    folder = hashlib.sha256(f"{scope}\n{_state(spark, scope)}".encode()).hexdigest()[:12]
+    key = (app, folder, name)
     if key not in _WRITTEN:
-        folder = hashlib.sha256(scope.encode()).hexdigest()[:12]
         path = f"{shared_dir(spark).rstrip('/')}/tendersift/{app}/{folder}/{name}"
         fill(path)
         _WRITTEN[key] = path

@@ -51,3 +51,16 @@ def test_components_and_rings_are_complete(spark):
     assert {found[i] for i in range(41)} == {0} and found[101] == 100
     wins = spark.createDataFrame([(3 * k + i, 3 * k + (i + 1) % 3) for k in range(120) for i in range(3)], "winner_id bigint, loser_id bigint")
     assert graph.directed_rings(wins).count() == 120
+
+
+def test_changed_inputs_are_staged_anew(spark, tmp_path):
+    from tendersift.staging import stage
+
+    folder = str(tmp_path / "in")
+    def build():
+        return spark.read.parquet(folder)
+
+    spark.range(3).write.parquet(folder)
+    assert stage(spark, folder, "t", build).count() == 3
+    spark.range(2).write.mode("append").parquet(folder)
+    assert stage(spark, folder, "t", build).count() == 5
