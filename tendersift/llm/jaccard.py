@@ -11,8 +11,9 @@ the first n - ceil(t n) + 1 shingles of each in common (otherwise too few are le
 of these. Routes with one document end at once.
 
 Equal sets are one point. On each route first only neighbours by size are verified, which joins groups of near copies in
-linear work. Then the trees are asked for pairs of documents that are not yet in one component, and these are verified: no
-link between components is lost, and the links inside a component are not listed. Routes with many documents are dealt
+linear work. Then the trees are asked for pairs of documents that are not yet in one component: first for a forest, the
+likeliest pairs that would join the components of a route, then, after these are verified and components merged, for
+all that are left. No link between components is lost, and the links inside a component are not listed. Routes with many documents are dealt
 into tiles of ``TILE``, and pairs of tiles are tasks of their own.
 
 Defined cases: fewer words than a shingle give one shingle of all words; documents without words or with null text have
@@ -42,6 +43,26 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def fine_point(text: np.ndarray, sh: np.ndarray, texts: int) -> np.ndarray:
+    """``FINE`` group counts in a byte each. A row of only 255 stands for a set with a fuller group: it bounds nothing."""
+    out = group_counts(text, sh, texts, FINE)
+    out[out.max(axis=1, initial=0) >= 255] = 255
+    return out.astype(np.uint8)
+
+
+def fine_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of coordinate minima of byte points; no bound where both sets are too full."""
+    open_ = (a[:, 0] == 255) & (b[:, 0] == 255) & (a.min(axis=1) == 255) & (b.min(axis=1) == 255)
+    return np.where(open_, np.iinfo(np.int64).max, np.minimum(a, b).sum(axis=1, dtype=np.int64))
+
+
+def coarse_point(fine: np.ndarray) -> np.ndarray:
+    """``GROUPS`` counts from the byte points; as good as unbounded for sets that are too full."""
+    out = fine.reshape(len(fine), GROUPS, FINE // GROUPS).sum(axis=2, dtype=np.int32)
+    out[fine.min(axis=1, initial=255) == 255] = 1 << 24
+    return out
+
+
 def group_counts(text: np.ndarray, sh: np.ndarray, texts: int, groups: int = GROUPS) -> np.ndarray:
     """One row of group counts per text; ``groups`` is a power of two."""
     place = text * groups + (sh >> np.uint64(65 - groups.bit_length())).astype(np.int64)
@@ -165,15 +186,15 @@ def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 def _verify(pairs: DataFrame, points: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs whose sets reach the threshold: first by the bound over ``FINE`` groups, what is left by the sets."""
     def bound(batch: pa.RecordBatch):
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int32).reshape(-1, FINE) for i in (2, 3))
-        keep = pa.array(np.minimum(a, b).sum(axis=1) >= needed(a.sum(axis=1, dtype=np.int64), b.sum(axis=1, dtype=np.int64), percent))
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, FINE) for i in (2, 3))
+        keep = pa.array(fine_bound(a, b) >= needed(batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent))
         yield [batch.column(0).filter(keep), batch.column(1).filter(keep)]
 
-    def ends(rows: DataFrame, column: str) -> list[DataFrame]:
-        return [rows.select(F.col("node").alias(k), F.col(column).alias(f"{column}_{k}")) for k in ("src", "dst")]
+    def ends(rows: DataFrame, *columns: str) -> list[DataFrame]:
+        return [rows.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns]) for k in ("src", "dst")]
 
-    left, right = ends(points, "fine")
-    near = staged(in_arrays(pairs.join(left, "src").join(right, "dst").select("src", "dst", "fine_src", "fine_dst"), bound,
+    left, right = ends(points, "fine", "n")
+    near = staged(in_arrays(pairs.join(left, "src").join(right, "dst").select("src", "dst", "fine_src", "fine_dst", "n_src", "n_dst"), bound,
                             "src bigint, dst bigint").distinct())
     some = near.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
@@ -230,20 +251,48 @@ def pairs_within(grp: np.ndarray, side: np.ndarray, own: np.ndarray, n: np.ndarr
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
-def _tree_candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components from rows (grp, side, own, node, comp, n, point)."""
+def forest_of(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs that join components, the likeliest first: at most one less than there are components."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    kept = []
+    for k in np.argsort(-score, kind="stable").tolist():
+        x, y = root(int(a[k])), root(int(b[k]))
+        if x != y:
+            parent[x] = y
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def _tree_candidates(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs of different components from rows (grp, side, own, node, comp, n, fine), or a forest of them per group."""
     schema = "src bigint, dst bigint"
     arrow = arrow_schema(schema)
-    columns = ["grp", "side", "own", "node", "comp", "n", "point"]
+    columns = ["grp", "side", "own", "node", "comp", "n", "fine"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             table_ = pa.Table.from_batches(held)
             grp, side, own, node, comp, n = (table_.column(c).to_numpy() for c in columns[:-1])
-            points = np.frombuffer(b"".join(table_.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
-            i, j = pairs_within(grp, side, own, n.astype(np.int64), points, percent)
+            fine, n = np.frombuffer(b"".join(table_.column("fine").to_pylist()), np.uint8).reshape(-1, FINE), n.astype(np.int64)
+            i, j = pairs_within(grp, side, own, n, coarse_point(fine), percent)
             ok = comp[i] != comp[j]
-            a, b = node[i[ok]], node[j[ok]]
+            i, j = i[ok], j[ok]
+            bound = np.concatenate([np.zeros(0, np.int64)] + [fine_bound(fine[i[c : c + 65536]], fine[j[c : c + 65536]]) for c in range(0, len(i), 65536)])
+            least = needed(n[i], n[j], percent)
+            ok = bound >= least
+            i, j, score = i[ok], j[ok], bound[ok] / least[ok]
+            if forest and len(i):
+                order = np.argsort(grp[i], kind="stable")
+                cuts = np.flatnonzero(np.diff(grp[i][order])) + 1
+                keep = np.concatenate([part[forest_of(comp[i[part]], comp[j[part]], score[part])] for part in np.split(order, cuts)])
+                i, j = i[keep], j[keep]
+            a, b = node[i], node[j]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(c) for c in both], schema=arrow)
 
@@ -289,11 +338,12 @@ def links(texts: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     def pack(batch: pa.RecordBatch):
         for words in words_of(batch.column(1), True):
             text, sh = words.shingles(size)
-            yield [batch.column(0).slice(words.first, words.texts), *([p.tobytes() for p in group_counts(text, sh, words.texts, g)] for g in (GROUPS, FINE))]
+            yield [batch.column(0).slice(words.first, words.texts), [p.tobytes() for p in fine_point(text, sh, words.texts)],
+                   np.bincount(text, minlength=words.texts)]
 
     met = shared.select("node").distinct()
     points = staged(in_arrays(texts.join(met, "node", "left_semi").select("node", "text"), pack,
-                              "node bigint, point binary, fine binary").dropDuplicates(["node"]))
+                              "node bigint, fine binary, n bigint").dropDuplicates(["node"]))
 
     # Neighbours by size. Other tiles on every route mix the tiles of a large group.
     tiles = F.ceil(F.col("m") / TILE)
@@ -303,10 +353,17 @@ def links(texts: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
              .where((F.col("prev") != F.col("node")) & (100 * F.col("prev_n") >= percent * F.col("n")))
              .select(F.least("prev", "node").alias("src"), F.greatest("prev", "node").alias("dst")).distinct())
     found = _verify(chain, points, texts, size, percent)
-    comp = components(found)
+    for forest in (True, False):
+        rows = _open_routes(shared, components(found)).join(points.select("node", "fine"), "node")
+        found = staged(found.unionByName(_verify(_tree_candidates(rows, percent, forest), points, texts, size, percent)))
+    return found
 
-    # What is left: routes on which several components meet. The largest component of a route is side 1, all
-    # others are side 0 and are compared with it and with one another.
+
+def _open_routes(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows (grp, side, own, node, comp, n) of the routes on which several components meet, dealt into tiles.
+
+    The largest component of a route is side 1, all others are side 0 and are compared with it and with one another.
+    """
     placed = staged(shared.join(comp, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp")))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     lead = (sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"))
@@ -325,9 +382,7 @@ def links(texts: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
                          (F.col("at") == F.col("other")).alias("own"),
                          F.concat_ws(" ", F.lit("s"), F.least("at", "other"), F.greatest("at", "other")).alias("tile"))
     # Two tiles whose names had one hash would only be compared in vain.
-    both = cross.unionByName(inner).withColumn("grp", F.xxhash64("key", "tile")).drop("key", "tile").join(points.select("node", "point"), "node")
-    more = _verify(_tree_candidates(both, percent), points, texts, size, percent)
-    return staged(found.unionByName(more))
+    return cross.unionByName(inner).withColumn("grp", F.xxhash64("key", "tile")).drop("key", "tile")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
