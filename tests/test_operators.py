@@ -77,7 +77,7 @@ def _edges(spark, pairs):
 
 
 def test_betweenness_of_a_path(spark):
-    got = {r.node: r.betweenness for r in graph.betweenness(_edges(spark, [(1, 2), (2, 3), (3, 4)]), hops=3, pivots=None).collect()}
+    got = {r.node: r.betweenness for r in graph.betweenness(_edges(spark, [(1, 2), (2, 3), (3, 4)]), hops=3).collect()}
     assert {k: round(v, 6) for k, v in got.items()} == {1: 0.0, 2: round(2 / 3, 6), 3: round(2 / 3, 6), 4: 0.0}
 
 
