@@ -92,7 +92,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
         return (rows.groupBy("skey", c, "lacks", start.alias("start")).agg(F.sum("size").alias("words"))
                 .withColumn("to", F.sum("words").over(w) + F.col("start"))
                 .withColumn("start", F.col("to") - F.col("words"))
-                .where("start < lacks and lacks < to").select("skey", c, F.col("start").alias(f"{c}_start"))
+                .where("start < lacks and lacks <= to").select("skey", c, F.col("start").alias(f"{c}_start"))
                 .withColumnsRenamed({c: f"{c}_end"}))
 
     first = staged(end_of(asked, "c1", F.lit(0)))
@@ -103,8 +103,8 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     last = (inside.join(second, "skey").where("c2 = c2_end")
             .withColumn("picked", (2 * seen + F.col("size") <= 2 * F.col("lacks")).cast("int")))
     columns = ["doc_id", "skey", "source", "size", "certain", "picked"]
-    # Classes before the end are taken whole, classes after it not at all. Without an end the words of the
-    # ranked documents meet what is lacking exactly: all of them or none.
+    # Classes before the end are taken whole, classes after it not at all; an end on a border belongs to the class
+    # before it. Without an end nothing is lacking, or more than all ranked documents have: none of them or all.
     where = full.join(first, "skey", "left").join(second, "skey", "left").join(
         asked.groupBy("skey").agg(F.sum("size").alias("ranked")), "skey", "left")
     sure = (F.when(F.col("rank").isNull(), 0).when(F.col("c1_end").isNull(), (F.col("ranked") <= F.col("lacks")).cast("int"))

@@ -213,6 +213,25 @@ def test_a_ranking_over_many_documents_ends_at_its_target(spark):
     assert all(abs(r[2] - r[1]) <= 25 for r in got)
 
 
+def test_an_end_on_a_class_border_matches_sql(spark, tmp_path):
+    from oracle import compare, connect
+
+    from tendersift.llm import queries
+
+    # Sources whose documents all have one size: what they lack is a multiple of it, so the end is often a border.
+    rows = [(1, "w " * 100, "only"), (2, "w " * 100, "only")]
+    many = [(i, "w " * 8, f"s{i % 3}") for i in range(3000)]
+    for name, data, end in (("two", rows, 300), ("many", many, 36000)):
+        folder = tmp_path / name
+        docs = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+        docs.write.parquet(str(folder / "documents.parquet"))
+        assert mixing.mix_sources(docs).agg({"taken": "sum"}).first()[0] == end
+        con = connect(TINY)
+        con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+        verdict, _, _ = compare(spark, con, "op3_mixing", queries.QUERIES["op3_mixing"], queries.ORACLES["op3_mixing"], str(folder))
+        assert verdict == "ok"
+
+
 # --- 4 quality classifier
 
 
