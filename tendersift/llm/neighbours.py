@@ -1,18 +1,21 @@
 """Toxicity from the nearest labelled examples.
 
-Texts are vectors of TF-IDF weights over the terms that tell the labels apart (chi-squared test on the training rows),
-scaled to length 1. The examples lie in an inverted index whose postings are stored in blocks of examples with the
-largest weight of each block. For a query text the block maxima give an upper bound of every block's cosines; blocks
-are scored from the highest bound down until no bound can reach the k nearest found so far, so the neighbours are
-exact. Neighbours vote with their similarity as weight, beside a prior of the base rate, and a logistic curve fitted
-on the training rows (each without itself) turns votes into probabilities. Near copies among the examples count once.
+Texts are vectors of TF-IDF weights over all their terms, scaled to length 1; document frequencies are counted over all
+documents. Terms that tell the labels apart (chi-squared test on the training rows) weigh more, none is left out. Every
+text is compared with every example that shares a term with it, by postings and, for common terms, by one matrix product
+for a batch of texts, so the neighbours are exact. Neighbours vote
+with their similarity as weight, beside a prior of the base rate, and a logistic curve fitted on the training rows (each
+without itself) turns votes into probabilities. Near copies among the examples count once.
+
+The length of a vector needs the frequency of every term. Those of the examples' terms and of terms in a thousandth of
+the documents are broadcast; the few other terms of a text leave the task and are joined with the frequencies.
 
 Bound: ``most`` labelled rows are used for training, those with the smallest hash of the id. The index, at most
-``most`` examples over ``terms`` terms, is broadcast. Every text is scored.
+``most`` examples, is broadcast. Every text is scored. ``terms`` bounds the terms that weigh more.
 
-Defined cases: null and empty texts, and texts without any of the terms, have no neighbours and get the score of the
-base rate among such training texts; equal similarities go to the smaller example number; rows of the labels table
-that repeat or have a null id or label are left out of training; without training rows the score is 0.5.
+Defined cases: null and empty texts, and texts that share no term with an example, have no neighbours and get the score
+of the base rate among such training texts; equal similarities go to the smaller example number; rows of the labels
+table that repeat or have a null id or label are left out of training; without training rows the score is 0.5.
 """
 
 from __future__ import annotations
@@ -21,14 +24,21 @@ import functools
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tendersift.llm.common import in_batches, prepare, table
+from tendersift.llm.common import BATCH_ROWS, arrow_schema, in_batches, prepare, staged, table
 
 TERM = re.compile(r"[^\W\d_]+")
-BLOCK = 64
+#: Terms of more than one in so many examples are rows of the matrix.
+COMMON = 8
+#: Cosine from which two examples with the same smallest term hashes are copies.
+COPY = 0.9
+#: Distinct terms a task counts before it hands them on.
+COUNTED = 200_000
 
 
 def term_counts(text: str | None) -> Counter:
@@ -44,111 +54,140 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
 
 
 class Index:
-    """Examples as unit vectors in blocks: the largest weight of each term per block, and the weights themselves.
-
-    Postings of a term are aligned with the slots of a block, so that a block is scored by one matrix product.
-    """
-
-    def __init__(self, weights: dict[str, float], vectors: list[dict[str, float]], labels: list[int], names: list[int]):
-        # Alike examples share a block, which keeps the maxima of the other blocks low.
-        order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i], key=vectors[i].get, reverse=True), i))
-        self.weights, self.number = weights, {t: k for k, t in enumerate(weights)}
-        self.labels = np.array([labels[i] for i in order], np.float64)
-        self.names = [names[i] for i in order]
-        entries = [(slot, self.number[t], w) for slot, i in enumerate(order) for t, w in vectors[i].items()]
-        self.entries = tuple(np.array(c) for c in zip(*entries)) if entries else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    """Examples as unit vectors, in postings by term; the terms of many examples also as rows of a matrix."""
+
+    def __init__(self, weights: dict[str, float], vectors: list, labels: list[int], names: list[int]):
+        self.number = {t: k for k, t in enumerate(weights)}
+        pairs = [v if isinstance(v, tuple) else arrays(v, self.number) for v in vectors]
+        self.labels, self.names = np.array(labels, np.float64), list(names)
+        term = np.concatenate([np.zeros(0, np.int32), *[p[0] for p in pairs]])
+        slot = np.repeat(np.arange(len(pairs), dtype=np.int32), [len(p[0]) for p in pairs])
+        w = np.concatenate([np.zeros(0), *[p[1] for p in pairs]])
+        by_term = np.argsort(term, kind="stable")
+        self.slot, self.w = slot[by_term], w[by_term]
+        self.first = np.searchsorted(term[by_term], np.arange(len(weights) + 1))
+        common = np.flatnonzero(np.diff(self.first) * COMMON > len(pairs))
+        self.row = {int(t): i for i, t in enumerate(common)}
 
     @functools.cached_property
-    def postings(self) -> np.ndarray:
-        """(block, term, slot) weights; made where they are used, only the entries travel."""
-        out = np.zeros((-(-len(self.labels) // BLOCK), len(self.weights), BLOCK))
-        slot, term, w = self.entries
-        out[slot // BLOCK, term, slot % BLOCK] = w
+    def matrix(self) -> np.ndarray:
+        """(common term, example) weights; made where they are used, only the postings travel."""
+        out = np.zeros((len(self.row), len(self.labels)))
+        for t, i in self.row.items():
+            out[i, self.slot[self.first[t] : self.first[t + 1]]] = self.w[self.first[t] : self.first[t + 1]]
         return out
 
-    @functools.cached_property
-    def maxima(self) -> np.ndarray:
-        return self.postings.max(axis=2).T.copy()
-
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("postings", "maxima")}
+        return {k: v for k, v in self.__dict__.items() if k != "matrix"}
 
-    def vector(self, counts: Counter) -> dict[str, float]:
-        return unit(counts, self.weights)
-
-    def nearest(self, query: dict[str, float], k: int, step: int = 8) -> list[tuple[float, int]]:
+    def nearest(self, query: dict[str, float], k: int) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine above 0, best first."""
-        terms = np.array([self.number[t] for t in query if t in self.number], np.intp)
-        if not len(terms):
-            return []
-        w = np.array([x for t, x in query.items() if t in self.number])
-        bound = w @ self.maxima[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores, places, least = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for at in range(0, len(order), step):
-            blocks = order[at : at + step]
-            # A hair of slack, because bound and cosine are rounded sums.
-            if len(scores) == k and bound[blocks[0]] + 1e-9 < least:
-                break
-            found = (w @ self.postings[blocks][:, terms]).ravel()
-            where = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            hit = found > 0
-            scores, places = np.concatenate([scores, found[hit]]), np.concatenate([places, where[hit]])
-            best = np.lexsort((places, -scores))[:k]
-            scores, places = scores[best], places[best]
-            least = scores[-1] if len(scores) else 0.0
-        return list(zip(scores.tolist(), places.tolist()))
+        return self.nearest_of([query], k)[0]
+
+    def nearest_of(self, queries: list[dict[str, float]], k: int) -> list[list[tuple[float, int]]]:
+        """The same for many queries: every example is compared, common terms by one matrix product."""
+        known = [{self.number[t]: x for t, x in q.items() if t in self.number} for q in queries]
+        dense = np.zeros((len(queries), len(self.row)))
+        for i, q in enumerate(known):
+            for t in q.keys() & self.row.keys():
+                dense[i, self.row[t]] = q[t]
+        products, out = dense @ self.matrix, []
+        for q, found in zip(known, products):
+            terms = np.array([t for t in q if t not in self.row], np.intp)
+            start, end = self.first[terms], self.first[terms + 1]
+            entry = ranges(start, end)
+            w = self.w[entry] * np.repeat(np.array([q[t] for t in terms.tolist()], np.float64), end - start)
+            # Rounded, so that equal examples tie whatever the order of their sums.
+            found = np.round(found + np.bincount(self.slot[entry], w, len(found)), 12)
+            hit = np.flatnonzero(found > 0)
+            if len(hit) > k:
+                hit = hit[found[hit] >= np.partition(found[hit], len(hit) - k)[len(hit) - k]]
+            best = hit[np.lexsort((hit, -found[hit]))][:k]
+            out.append(list(zip(found[best].tolist(), best.tolist())))
+        return out
+
+
+def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, end), one after the other."""
+    size = end - start
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
 def unit(counts: Counter, weights: dict[str, float]) -> dict[str, float]:
-    """TF-IDF weights of the chosen terms, scaled to length 1."""
+    """TF-IDF weights of the terms that have one, scaled to length 1."""
     raw = {t: (1.0 + np.log(counts[t])) * weights[t] for t in counts.keys() & weights.keys()}
-    norm = np.sqrt(sum(w * w for w in raw.values()))
+    norm = np.sqrt(sum(raw[t] * raw[t] for t in sorted(raw)))
     return {t: float(raw[t] / norm) for t in sorted(raw)}
 
 
-def one_of_near_copies(texts: list[str | None], labels: list[int], keep: int = 4) -> list[int]:
-    """Rows that differ in label or in the smallest hashes of their terms: copies would outvote everything else."""
-    seen, rows = set(), []
-    for i, (text, y) in enumerate(zip(texts, labels)):
-        terms = set(TERM.findall((text or "").lower()))
-        mark = (y, *sorted(zlib.crc32(t.encode()) for t in terms)[:keep])
-        if mark not in seen:
-            seen.add(mark)
+def arrays(vector: dict[str, float], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers and values: dictionaries of all terms of 10,000 examples do not fit into a small driver."""
+    return np.array([number[t] for t in vector], np.int32), np.array(list(vector.values()), np.float64)
+
+
+def scaled(tf: tuple[np.ndarray, np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Term frequency weights times term weights, as a vector of length 1."""
+    w = tf[1] * weight[tf[0]]
+    return tf[0], w / np.sqrt((w * w).sum()) if len(w) else w
+
+
+def one_of_near_copies(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], hashes: np.ndarray, keep: int = 4) -> list[int]:
+    """Rows without those that are near copies of a row before: copies would outvote everything else.
+
+    Rows of one label with the same smallest hashes of their terms are compared; a cosine of ``COPY`` makes a copy.
+    """
+    seen: dict[tuple, list[int]] = {}
+    rows, dense = [], np.zeros(len(hashes))
+    for i, ((terms, w), y) in enumerate(zip(vectors, labels)):
+        others = seen.setdefault((y, *np.sort(hashes[terms])[:keep].tolist()), [])
+        dense[terms] = w
+        if not any((not len(w) and not len(vectors[j][1])) or dense[vectors[j][0]] @ vectors[j][1] >= COPY for j in others):
+            others.append(i)
             rows.append(i)
+        dense[terms] = 0.0
     return rows
 
 
-class Model:
-    """A fitted index with the calibration of its votes."""
+def idf(n: int, total: int) -> float:
+    return float(np.log((total + 1) / (n + 1)) + 1)
+
 
-    def __init__(self, texts: list[str | None], labels: list[int], names: list[int], terms: int = 512, k: int = 25):
-        rows = one_of_near_copies(texts, labels)
-        texts, labels, names = ([x[i] for i in rows] for x in (texts, labels, names))
-        self.k, n = k, len(texts)
+class Model:
+    """A fitted index with the calibration of its votes. ``df`` has the number of documents of each example term, of
+    ``total`` documents, and may have it for other terms."""
+
+    def __init__(self, texts: list[str | None], labels: list[int], names: list[int], df: dict[str, int], total: int,
+                 terms: int = 512, k: int = 25):
+        self.idf = {t: idf(n, total) for t, n in sorted(df.items())}
+        number, names_of = {t: k for k, t in enumerate(self.idf)}, list(self.idf)
+        tf = []
+        for text in texts:
+            c = term_counts(text)
+            tf.append(arrays({t: 1.0 + np.log(c[t]) for t in sorted(c)}, number))
+        weight = np.array(list(self.idf.values()), np.float64)
+        hashes = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in names_of], np.int64)
+        rows = one_of_near_copies([scaled(x, weight) for x in tf], labels, hashes)
+        tf, labels, names = ([x[i] for i in rows] for x in (tf, labels, names))
+        self.k, n = k, len(tf)
         self.rate = float(np.mean(labels)) if n else 0.5
         self.index, self.slope, self.shift, self.empty = None, 1.0, 0.0, self.rate
         if not n or len(set(labels)) < 2:
             return
-        df: tuple[Counter, Counter] = (Counter(), Counter())
-        for t, y in zip(texts, labels):
-            if y:
-                df[1].update(term_counts(t).keys())
-        # Terms that speak for label 1 stand in some of its texts; the others need not be counted.
-        wanted = {t for t, c in df[1].items() if c >= 3}
-        for t, y in zip(texts, labels):
-            if not y:
-                df[0].update(term_counts(t).keys() & wanted)
-        weights = {t: np.log((n + 1) / (df[0][t] + df[1][t] + 1)) + 1 for t in chosen_terms(df, wanted, labels, terms)}
-        vectors = [unit(term_counts(t), weights) for t in texts]
-        self.index = Index(weights, vectors, labels, names)
-        place = {name: i for i, name in enumerate(self.index.names)}
+        of = lambda y: np.bincount(np.concatenate([x[0] for x, z in zip(tf, labels) if z == y]), minlength=len(number))
+        # The weights of a query and of an example both have the factor.
+        for t, chi in telling_terms(of(0), of(1), labels, names_of, terms).items():
+            self.idf[t] *= float(1 + np.sqrt(chi))
+        weight = np.array(list(self.idf.values()), np.float64)
+        vectors = [scaled(x, weight) for x in tf]
+        del tf
+        self.index = Index(self.idf, vectors, labels, names)
         votes = np.full(n, np.nan)
-        for i, v in enumerate(vectors):
-            if v:
-                found = [x for x in self.index.nearest(v, k + 1) if x[1] != place[names[i]]][:k]
-                votes[i] = self._vote(found)
+        for at in range(0, n, BATCH_ROWS):
+            part = [dict(zip([names_of[t] for t in v[0]], v[1].tolist())) for v in vectors[at : at + BATCH_ROWS]]
+            for i, near in enumerate(self.index.nearest_of(part, k + 1), at):
+                found = [x for x in near if x[1] != i][:k]
+                if found:
+                    votes[i] = self._vote(found)
         y = np.array(labels, float)
         bare = np.isnan(votes)
         self.empty = float((y[bare].sum() + self.rate) / (bare.sum() + 1))
@@ -158,29 +197,27 @@ class Model:
         near = sum(s * self.index.labels[i] for s, i in found)
         return (near + self.rate) / (sum(s for s, _ in found) + 1.0)
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        if self.index is None:
-            return self.rate, []
-        v = self.index.vector(term_counts(text))
-        found = self.index.nearest(v, self.k) if v else []
-        if not found:
-            return self.empty, []
-        vote = min(max(self._vote(found), 1e-6), 1 - 1e-6)
-        return float(1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.shift)))), found
+    def look_up(self, texts: list[str | None]) -> list[tuple[list[tuple[float, int]], float, dict[str, float]]]:
+        """Products of each text's weights with its nearest examples, the squared length of the weights known here,
+        and the term frequency weights of the other terms. Products divided by the whole length are cosines."""
+        tf = [{t: 1.0 + float(np.log(c)) for t, c in sorted(term_counts(text).items())} for text in texts]
+        own = [{t: w * self.idf[t] for t, w in x.items() if t in self.idf} for x in tf]
+        found = self.index.nearest_of(own, self.k) if self.index else [[] for _ in texts]
+        return [(f, sum(w * w for w in o.values()), {t: w for t, w in x.items() if t not in o} if f else {}) for f, o, x in zip(found, own, tf)]
 
 
-def chosen_terms(df: tuple[Counter, Counter], wanted: set[str], labels: list[int], terms: int, least: float = 30.0) -> list[str]:
-    """Terms that speak for label 1 with a chi-squared value over ``least``, at most ``terms``, the best first."""
+def telling_terms(zero: np.ndarray, one: np.ndarray, labels: list[int], names: list[str], terms: int, least: float = 30.0) -> dict[str, float]:
+    """Terms that speak for label 1 and their chi-squared value, if over ``least``; at most ``terms``, the best."""
     ones, n = sum(labels), len(labels)
     zeros = n - ones
     scored = []
-    for t in wanted:
-        a, b = df[1][t], df[0][t]
+    for t in np.flatnonzero(one >= 3).tolist():
+        a, b = int(one[t]), int(zero[t])
         if a + b >= 5 and a + b < n and a * zeros > b * ones:
             chi = n * (a * (zeros - b) - b * (ones - a)) ** 2 / ((a + b) * (n - a - b) * ones * zeros)
             if chi > least:
-                scored.append((-chi, t))
-    return [t for _, t in sorted(scored)[:terms]]
+                scored.append((-chi, names[t]))
+    return {t: -chi for chi, t in sorted(scored)[:terms]}
 
 
 def fit_curve(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -200,22 +237,63 @@ def fit_curve(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.0), float(w[1])
 
 
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """term, n: the number of documents of every term."""
+    schema = "term string, n bigint"
+    arrow = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), "string"), pa.array(list(seen.values()), "int64")], schema=arrow)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(set(TERM.findall((text or "").lower())))
+            if len(seen) > COUNTED:
+                yield out()
+                seen.clear()
+        yield out()
+
+    return docs.select("text").mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 10000, terms: int = 512, k: int = 25) -> DataFrame:
     """doc_id, score, and the evidence: ids and cosines of the three nearest examples."""
     spark = prepare(docs.sparkSession)
     rows = training_rows(docs, labels, label, most).orderBy("doc_id").collect()  # at most ``most`` texts
     rows = list({r.doc_id: r for r in rows}.values())
-    model = spark.sparkContext.broadcast(Model([r.text for r in rows], [int(r.label) for r in rows], [r.doc_id for r in rows], terms, k))
+    frequencies, total = staged(document_frequencies(docs)), docs.count()
+    # The terms of the examples, and at most a thousand times the mean number of terms in a text.
+    own = spark.createDataFrame(pa.table({"term": pa.array(sorted({t for r in rows for t in term_counts(r.text)}), "string")}))
+    sent = frequencies.join(own, "term", "left_semi").union(frequencies.where(F.col("n") * 1000 >= total)).toArrow().to_pydict()
+    frequency = dict(zip(sent["term"], sent["n"]))
+    del own, sent
+    model = Model([r.text for r in rows], [int(r.label) for r in rows], [r.doc_id for r in rows], frequency, total, terms, k)
+    del rows, frequency
+    shared = spark.sparkContext.broadcast(model)
 
     def run(r: dict[str, list]) -> dict[str, list]:
-        m = model.value
-        got = [m.score(t) for t in r["text"]]
-        names = m.index.names if m.index else []
-        return {"doc_id": r["doc_id"], "score": [g[0] for g in got],
-                "evidence": [[{"doc_id": names[i], "cosine": s} for s, i in g[1][:3]] for g in got]}
-
-    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
-                      "doc_id bigint, score double, evidence array<struct<doc_id: bigint, cosine: double>>")
+        m = shared.value
+        got = m.look_up(r["text"])
+        return {"row": r["row"], "doc_id": r["doc_id"], "near": [sum(s * m.index.labels[i] for s, i in g[0]) for g in got],
+                "all": [sum(s for s, _ in g[0]) for g in got], "known": [g[1] for g in got],
+                "three": [[{"doc_id": m.index.names[i], "cosine": s} for s, i in g[0][:3]] for g in got],
+                "others": [[{"term": t, "tf": w} for t, w in g[2].items()] for g in got]}
+
+    found = staged(in_batches(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
+                              "row bigint, doc_id bigint, near double, all double, known double, "
+                              "three array<struct<doc_id: bigint, cosine: double>>, others array<struct<term: string, tf: double>>"))
+    weight = F.col("tf") * (F.log((F.lit(total) + 1) / (F.col("n") + 1)) + 1)
+    # Added in order, so that reruns agree in the last digit.
+    rest = (found.select("row", F.inline("others")).join(frequencies, "term").groupBy("row")
+            .agg(F.array_sort(F.collect_list(weight * weight)).alias("squares"))
+            .select("row", F.aggregate("squares", F.lit(0.0), lambda a, x: a + x).alias("rest")))
+    length = F.sqrt(F.col("known") + F.coalesce("rest", F.lit(0.0)))
+    vote = (F.col("near") / F.col("length") + F.lit(model.rate)) / (F.col("all") / F.col("length") + 1)
+    vote = F.least(F.greatest(vote, F.lit(1e-6)), F.lit(1 - 1e-6))
+    score = 1 / (1 + F.exp(-(F.log(vote / (1 - vote)) * model.slope + model.shift)))
+    return found.drop("others").join(rest, "row", "left").withColumn("length", length).select(
+        "doc_id", F.when(F.col("all") > 0, score).otherwise(F.lit(model.empty)).alias("score"),
+        F.transform("three", lambda x: F.struct(x["doc_id"].alias("doc_id"), (x["cosine"] / F.col("length")).alias("cosine"))).alias("evidence"))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

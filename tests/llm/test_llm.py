@@ -171,6 +171,32 @@ def test_toxicity_on_held_out_rows(spark, nothing):
     assert neighbours.score_toxicity(nothing.select("doc_id", "text"), labels).count() == 0
 
 
+def test_neighbours_use_all_terms_and_frequencies_of_all_documents(spark):
+    """Words without any tie to the labels still find the nearest example; cosines by definition."""
+    rnd = random.Random(8)
+    w = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(300)]
+    texts = [" ".join(rnd.choices(w, k=12)) + (f" only{'x' * (i % 7)}" if i % 3 else "") for i in range(2500)]
+    labels = {i: int(i % 9 == 0) for i in range(400)}
+    got = neighbours.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4),
+                                    spark.createDataFrame(list(labels.items()), "doc_id bigint, toxic int")).collect()
+    df = collections.Counter(t for x in texts for t in neighbours.term_counts(x))
+    vec = [neighbours.unit(neighbours.term_counts(x), {t: neighbours.idf(n, len(texts)) for t, n in df.items()}) for x in texts]
+    train = [i for i in labels if zlib.crc32(str(i).encode()) % 5]
+    assert len(got) == len(texts) and all(r.evidence for r in got)
+    for r in got[::50]:
+        best = sorted((sum(x * vec[j].get(t, 0.0) for t, x in vec[r.doc_id].items()) for j in train), reverse=True)[:3]
+        assert [e.cosine for e in r.evidence] == pytest.approx(best)
+
+
+def test_copies_are_confirmed_by_their_cosine():
+    number = {t: i for i, t in enumerate("abcdefgh")}
+    texts = ("abcdefgh", "abcdefgh", "abcdefgg", "a" * 90 + "bcdefgh", "", "")
+    vectors = [neighbours.arrays(neighbours.unit(collections.Counter(x), dict.fromkeys(number, 1.0)), number) for x in texts]
+    hashes = np.arange(8)
+    assert neighbours.one_of_near_copies(vectors, [1] * 6, hashes) == [0, 3, 4]
+    assert neighbours.one_of_near_copies(vectors[:2], [1, 0], hashes) == [0, 1]
+
+
 # --- 3 mixing
 
 
