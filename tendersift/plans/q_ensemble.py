@@ -209,6 +209,36 @@ def _(d):
                       "buyer_name", "supplier_name", "procurement_method", "published_date")
 
 
+# --- the same with the vote of all five methods; the forest has no SQL ---------------------------------------
+
+def _five_explained(d):
+    return V.explanations(combined_all(d), d.tenders, d.ruled, d.networked, d.buyers)
+
+
+def _five_risky(d, side: str):
+    names = getattr(d, f"{side}s").select(f"{side}_id", f"{side}_name")
+    return R.top_risky(combined_all(d), d.tenders, f"{side}_id", names)
+
+
+for _name, _build in {
+    "ens_method_stats": lambda d: V.method_stats(combined_all(d)),
+    "ens_consensus_filter": lambda d: V.consensus(combined_all(d), 2).select("tender_id", "consensus_count"),
+    "ens_critical": lambda d: V.critical(combined_all(d)).select("tender_id", "consensus_count"),
+    "ens_correlation": lambda d: V.correlation(combined_all(d), [f"{m}_score" for m in V.METHODS]),
+    "ens_agreement": lambda d: V.agreement(combined_all(d)),
+    "ens_summary": lambda d: V.summary(combined_all(d)),
+    "ens_explanations": _five_explained,
+    "rep_critical_vs_normal": lambda d: R.critical_vs_normal(combined_all(d), d.tenders),
+    "rep_consensus_dist": lambda d: R.value_counts(combined_all(d), "consensus_count").select(
+        "consensus_count", F.col("n").alias("tenders"), F.round(F.col("share") * 100, 4).alias("pct")),
+    "rep_critical_by_year": lambda d: R.critical_by_year(combined_all(d), d.tenders),
+    "rep_top_risky_entities": lambda d: _five_risky(d, "buyer"),
+    "rep_top_risky_suppliers": lambda d: _five_risky(d, "supplier"),
+    "rep_critical_export": lambda d: R.critical_export(combined_all(d), _five_explained(d), d.tenders, d.buyers, d.suppliers),
+}.items():
+    query(f"{_name}_five")(_build)
+
+
 # --- comparisons of methods on entity sets ------------------------------------------------------------------
 
 def _entity_sets(d) -> dict:

@@ -134,3 +134,25 @@ def test_quick_scan_needs_no_shuffle(spark):
     t = mapping.tenders(spark, "/root/testdata/sf0.001")
     plan = rules.quick_scan(t).select("tender_id", "rule_risk_score")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_reports_on_the_vote_of_five_methods(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from tendersift.plans import q_ensemble
+
+    votes = {1: "11110", 2: "00110", 3: "00100", 4: "11111", 5: "00000"}
+    column = {"rule": "rule_risk_score double, rule_risk_level string"}
+    frames = {}
+    for k, m in enumerate(ensemble.METHODS):
+        on = {t: int(v[k]) for t, v in votes.items()}
+        rows = [(t, float(v), "high" if v else "low") if m == "rule" else (t, float(v), v) for t, v in on.items()]
+        frames[m] = spark.createDataFrame(rows, "tender_id long, " + column.get(m, f"{m}_score double, {m}_anomaly int"))
+    monkeypatch.setattr(q_ensemble, "combined_all", lambda d: ensemble.combine(frames))
+    run = lambda name: entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    got = {r.metric: r.value for r in run("ens_summary_five")}
+    want = {f"consensus_{i}_methods": sum(v.count("1") == i for v in votes.values()) for i in range(6)}
+    assert {k: v for k, v in got.items() if k.startswith("consensus")} == want
+    assert sorted(r.tender_id for r in run("ens_critical_five")) == [1, 4]
+    assert sorted(r.tender_id for r in run("ens_consensus_filter_five")) == [1, 2, 4]
+    assert {r.method: r.anomalies for r in run("ens_method_stats_five")} == {m: sum(int(v[k]) for v in votes.values()) for k, m in enumerate(ensemble.METHODS)}
+    assert {r.consensus_count: r.tenders for r in run("rep_consensus_dist_five")} == {0: 1, 1: 1, 2: 1, 4: 1, 5: 1}
