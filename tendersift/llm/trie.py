@@ -25,10 +25,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tendersift.llm.common import arrow_schema, parts, prepare, staged, table
 
@@ -65,17 +64,8 @@ def numbered(conversations: DataFrame) -> DataFrame:
                   .select("conv_id", (F.col("start") + F.col("own")).alias("pos"), "a", "b", "bytes"))
 
 
-def _fold(start: str, salt: int, last: int) -> Column:
-    """Name after the first ``last`` columns of a block, from the name before it."""
-    def step(name: Column, i: int) -> Column:
-        a, b, pos = F.col(f"a{i}"), F.col(f"b{i}"), F.col("block") * WIDTH + (i - 1)
-        return name.bitwiseXOR(F.when(a.isNull(), F.lit(0)).otherwise(_turn_hash(a, b, pos, salt)))
-
-    return reduce(step, range(1, last + 1), F.col(start))
-
-
-def _turn_hash(a: Column, b: Column, pos: Column, salt: int) -> Column:
-    return F.xxhash64(F.lit(salt).cast("long"), a, b, pos.cast("long"))
+def _turn_hash(salt: int, a: str = "a", b: str = "b", pos: str = "pos") -> str:
+    return f"xxhash64({salt}L, {a}, {b}, {pos})"
 
 
 def blocks_of(turns: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,9 +74,8 @@ def blocks_of(turns: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFrame]
     ``convs`` (conv_id) may hold conversations without turns: they end in the root.
     """
     at = turns.withColumn("block", F.floor(F.col("pos") / WIDTH)).withColumn("i", F.col("pos") % WIDTH + 1)
-    hashes = [F.bit_xor(_turn_hash(F.col("a"), F.col("b"), F.col("pos"), s)).alias(f"x{s}") for s in (1, 2)]
-    picks = [F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{p}{i}")
-             for i in range(1, WIDTH + 1) for c, p in (("a", "a"), ("b", "b"), ("bytes", "l"))]
+    hashes = [F.bit_xor(F.expr(_turn_hash(s))).alias(f"x{s}") for s in (1, 2)]
+    picks = [F.expr(f"max({c}) FILTER (WHERE i = {i}) AS {p}{i}") for i in range(1, WIDTH + 1) for c, p in (("a", "a"), ("b", "b"), ("bytes", "l"))]
     flat = staged(at.groupBy("conv_id", "block").agg(*picks, *hashes, F.sum("bytes").alias("s"), F.count("*").alias("k"))
                   .withColumn("chunk", F.floor(F.col("block") / CHUNK)))
     totals = {"z1": F.bit_xor("x1"), "z2": F.bit_xor("x2"), "before": F.sum("s")}
@@ -118,24 +107,20 @@ def _rollup(blocks: DataFrame, values: str) -> DataFrame:
     found = blocks.sparkSession.sql(
         f"SELECT block, z1, z2, before, {columns}, {level} AS level, {values} "
         f"FROM {{blocks}} GROUP BY block, z1, z2, before, ROLLUP({groups})", blocks=blocks)
-    turns = sum(F.col(f"a{i}").isNotNull().cast("int") for i in range(1, WIDTH + 1))
+    turns = " + ".join(f"int(a{i} IS NOT NULL)" for i in range(1, WIDTH + 1))
     # A shorter conversation has no turn where the group ends; a later block's own key is the prior block's node.
-    found = found.where((turns == F.col("level")) & ((F.col("level") > 0) | (F.col("block") == 0)))
-
-    def named(prefix: str, shorter: int) -> list[Column]:
-        out = []
-        for salt in (1, 2):
-            name = F.col(f"z{salt}")
-            for i in range(1, WIDTH + 1 - shorter):
-                name = F.when(F.col("level") >= i + shorter, _fold(f"z{salt}", salt, i)).otherwise(name)
-            out.append(name.alias(f"{prefix}{salt}"))
-        return out
-
-    sizes = [F.coalesce(F.when(F.col("level") > i, F.col(f"l{i}")), F.lit(0)) for i in range(1, WIDTH + 1)]
+    found = found.where(f"{turns} = level AND (level > 0 OR block = 0)")
+
+    def name(salt: int, shorter: int) -> str:
+        # Columns past the end of the group are null and change nothing.
+        turn = [f"if(level >= {i + shorter}, {_turn_hash(salt, f'a{i}', f'b{i}', f'block * {WIDTH} + {i - 1}')}, 0L)" for i in range(1, WIDTH + 1)]
+        return f"{' ^ '.join([f'z{salt}', *turn])} AS {'np'[shorter]}{salt}"
+
+    names = [name(salt, shorter) for shorter in (0, 1) for salt in (1, 2)]
+    sizes = " + ".join(f"if(level > {i}, l{i}, 0L)" for i in range(1, WIDTH + 1))
     given = ["block", "z1", "z2", "level", "before", *columns.split(", ")]
     rest = [c for c in found.columns if c not in given]
-    return found.select(*named("n", 0), *named("p", 1), (F.col("block") * WIDTH + F.col("level")).alias("depth"),
-                        (F.col("before") + sum(sizes)).alias("above"), *rest)
+    return found.selectExpr(*names, f"block * {WIDTH} + level AS depth", f"before + {sizes} AS above", *rest)
 
 
 def trie(turns: DataFrame, convs: DataFrame) -> Trie:
