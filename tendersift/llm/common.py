@@ -34,6 +34,19 @@ def staged(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Delete staged tables that no later step reads, to give their disk back before the job ends."""
+    for df in frames:
+        spark = df.sparkSession
+        mark = f"/tendersift/{spark.sparkContext.applicationId}/steps/"
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        if any(mark not in f for f in folders):
+            raise ValueError("only staged tables can be deleted")
+        for folder in folders:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
