@@ -11,8 +11,10 @@ Pairs whose signatures agree in too few slots are dropped (chance under 1e-12 fo
 their full sets of 64-bit shingle hashes. No bucket is capped:
 
 1. In each bucket, dealt into tiles of ``TILE``, neighbours by set size are verified: linear work that joins groups of near copies.
-2. Buckets that still hold several components: those of up to ``SMALL`` members list their pairs of different components; larger ones
-   are compared tile by tile inside tasks that hold both tiles, verify there and give out no more links than a forest.
+2. Buckets that still hold several components: those of up to ``SMALL`` members list their likely pairs of different components.
+   In larger ones the tiles of the largest component meet the tiles of all others, and these one another. A task bounds the
+   overlap of two sets by the minima of their counts in ``FINE`` groups, which leaves few pairs that are no links; it first gives out
+   a forest of the likeliest pairs, and after these are verified and joined all that are left between components.
 
 Links are grouped by union-find: each task first reduces its links to a forest, then stars are contracted to the least node.
 
@@ -37,6 +39,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tendersift.llm.collapse import NO_ID
 from tendersift.llm.common import arrow_schema, forget, in_arrays, in_batches, mix, parts, prepare, staged, table
 from tendersift.llm.hashing import words_of
+from tendersift.llm.jaccard import FINE, fine_bound, fine_point, needed
 from tendersift.operators.graph import components
 
 SLOTS, TILE, SMALL, MISS = 128, 256, 16, 1e-9
@@ -129,13 +132,13 @@ def _described(docs: DataFrame, size: int, rows: int, slots: int) -> DataFrame:
     return in_arrays(docs, tell, "id bigint, k1 bigint, k2 bigint, n bigint, marks binary, bands array<bigint>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int, unique: bool) -> DataFrame:
-    """(node, sh): sorted shingle hashes of the nodes in ``wanted`` (node, id, k1, k2, n)."""
+def _contents(docs: DataFrame, wanted: DataFrame, size: int, unique: bool, fine: bool = False) -> DataFrame:
+    """(node, sh) of the nodes in ``wanted`` (node, id, k1, k2, n): sorted shingle hashes, or with ``fine`` their group counts."""
     def pack(batch: pa.RecordBatch):
         for words in words_of(batch.column(1), True):
             text, sh = words.shingles(size)
             bounds = np.searchsorted(text, np.arange(words.texts + 1))
-            sets = [sh[i:j].tobytes() for i, j in zip(bounds, bounds[1:])]
+            sets = [p.tobytes() for p in (fine_point(text, sh, words.texts) if fine else (sh[i:j] for i, j in zip(bounds, bounds[1:])))]
             given = batch.column(0).slice(words.first, words.texts)
             yield [given, sets] if unique else [given, *_set_names(text, sh, words.texts), sets]
 
@@ -213,14 +216,15 @@ class Join:
         rows = pairs.join(left, "src").join(right, "dst").select("src", "dst", "marks_src", "marks_dst", "n_src", "n_dst")
         return in_arrays(rows, close, "src bigint, dst bigint")
 
-    def sets(self, some: DataFrame) -> DataFrame:
-        return _sets(self.docs, self.nodes.join(some, "node", "left_semi").select("node", "id", "k1", "k2", "n"), self.size, self.unique)
+    def contents(self, some: DataFrame, fine: bool = False) -> DataFrame:
+        wanted = self.nodes.join(some, "node", "left_semi").select("node", "id", "k1", "k2", "n")
+        return _contents(self.docs, wanted, self.size, self.unique, fine)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (src, dst) that are links, written."""
         percent = self.percent
         near = staged(self.likely(pairs))
-        sets = self.sets(near.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+        sets = self.contents(near.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
         left, right = _ends(sets, "sh")
 
         def check(r: dict[str, list]) -> dict[str, list]:
@@ -262,33 +266,34 @@ def _small_pairs(rows: DataFrame, slots: int, least: int) -> DataFrame:
     return placed.mapInArrow(pairs, schema).distinct()
 
 
-def _tile_links(rows: DataFrame, slots: int, least: int, percent: int) -> DataFrame:
-    """Links between components from rows (key, tile, side, own, node, comp, n, marks, sh): verified in the task, a forest a tile."""
+def _tile_pairs(rows: DataFrame, slots: int, least: int, percent: int, forest: bool) -> DataFrame:
+    """Pairs of components that may link, from rows (key, tile, side, own, node, comp, n, marks, sh); at most a forest a tile if asked."""
     schema = "src bigint, dst bigint"
     arrow = arrow_schema(schema)
     columns = ["key", "tile", "side", "own", "node", "comp", "n", "marks", "sh"]
 
     def close(held: pa.Table) -> pa.RecordBatch:
-        side, node, comp, n = (held.column(c).to_numpy() for c in ("side", "node", "comp", "n"))
-        sets = held.column("sh").to_pylist()
-        marks = np.frombuffer(b"".join(held.column("marks").to_pylist()), np.uint8).reshape(-1, slots)
+        side, node, comp, n = (held.column(c).to_numpy().astype(np.int64) for c in ("side", "node", "comp", "n"))
+        marks, fine = (np.frombuffer(b"".join(held.column(c).to_pylist()), np.uint8).reshape(len(n), -1) for c in ("marks", "sh"))
         a = np.flatnonzero(side == 0)
         b = a if held.column("own")[0].as_py() else np.flatnonzero(side == 1)
-        forest, out = Forest(), []
+        pairs, scores = [], []
         for x in a.tolist():
             y = b[b > x] if b is a else b
             y = y[(comp[y] != comp[x]) & (100 * n[y] >= percent * n[x]) & (100 * n[x] >= percent * n[y])]
             same = (marks[y] == marks[x]).sum(axis=1)
-            for k in np.argsort(-same, kind="stable").tolist():
-                if same[k] < least:
-                    break
-                z = int(y[k])
-                if forest.root(int(comp[x])) != forest.root(int(comp[z])) and _alike(sets[x], sets[z], percent):
-                    forest.join(int(comp[x]), int(comp[z]))
-                    out.append((min(node[x], node[z]), max(node[x], node[z])))
+            y, same = y[same >= least], same[same >= least]
+            fit = fine_bound(np.broadcast_to(fine[x], (len(y), fine.shape[1])), fine[y]) >= needed(n[x], n[y], percent)
+            pairs += [(x, int(z)) for z in y[fit]]
+            scores += same[fit].tolist()
+        if forest:
+            joined = Forest()
+            pairs = [pairs[k] for k in np.argsort(-np.array(scores, np.int64), kind="stable").tolist()
+                     if joined.join(int(comp[pairs[k][0]]), int(comp[pairs[k][1]]))]
+        out = [(min(node[x], node[z]), max(node[x], node[z])) for x, z in pairs]
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], schema=arrow)
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         now = None
         for batch in batches:
@@ -307,17 +312,29 @@ def _tile_links(rows: DataFrame, slots: int, least: int, percent: int) -> DataFr
             yield close(pa.concat_tables(held).combine_chunks())
 
     placed = rows.select(*columns).repartition(parts(rows.sparkSession), "key", "tile").sortWithinPartitions("key", "tile")
-    return placed.mapInArrow(links, schema).distinct()
+    return placed.mapInArrow(found, schema).distinct()
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """Rows (key, node, comp, n, m) dealt so that any two of a key meet in one (key, tile): i with j, or i with itself."""
-    count = F.ceil(F.col("m") / TILE)
-    at = rows.withColumn("at", F.pmod(F.xxhash64("node", "key"), count)).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-    low, high = F.least("at", "other"), F.greatest("at", "other")
-    return at.select("key", (low * count + high).alias("tile"), (F.col("at") > F.col("other")).cast("int").alias("side"),
-                     (F.col("at") == F.col("other")).alias("own"), "node", "comp", "n")
+    """Rows (key, node, comp, n) of keys with several components, dealt into (key, tile).
+
+    The largest component of a key is side 1 and is not compared with itself; any other two rows meet in one tile.
+    """
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    lead = (sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+            .select("key", F.col("top.comp").alias("lead"), F.ceil(F.col("top.c") / TILE).alias("many"), F.ceil((F.col("m") - F.col("top.c")) / TILE).alias("few")))
+    first = F.lit(0).cast("long")
+    at = rows.join(lead, "key").withColumn("lead", F.col("comp") == F.col("lead"))
+    at = at.withColumn("at", F.pmod(F.xxhash64("node", "key"), F.when(F.col("lead"), F.col("many")).otherwise(F.col("few"))))
+    kept = ["key", "node", "comp", "n", "at", "few", "many"]
+    # Tiles (few i, many j) have the numbers i * many + j; tiles (few i, few j) follow as -1 - (i * few + j), i up to j.
+    cross = at.select(*kept, "lead", F.explode(F.when(F.col("lead"), F.sequence(first, F.col("few") - 1)).otherwise(F.sequence(first, F.col("many") - 1))).alias("other"))
+    cross = cross.select("key", "node", "comp", "n", F.col("lead").cast("int").alias("side"), F.lit(False).alias("own"), F.when(
+        F.col("lead"), F.col("other") * F.col("many") + F.col("at")).otherwise(F.col("at") * F.col("many") + F.col("other")).alias("tile"))
+    inner = at.where(~F.col("lead")).select(*kept, F.explode(F.sequence(first, F.col("few") - 1)).alias("other"))
+    inner = inner.select("key", "node", "comp", "n", (F.col("at") > F.col("other")).cast("int").alias("side"), (F.col("at") == F.col("other")).alias("own"),
+                         (-1 - F.least("at", "other") * F.col("few") - F.greatest("at", "other")).alias("tile"))
+    return cross.unionByName(inner)
 
 
 def links(join: Join) -> DataFrame:
@@ -336,15 +353,18 @@ def links(join: Join) -> DataFrame:
     open_ = staged(placed.join(several, "key", "left_semi"))
     marks = join.nodes.select("node", "marks")
     small = _small_pairs(open_.where(F.col("m") <= SMALL).join(marks, "node"), join.slots, join.least)
-    more = join.verified(small.join(chain, ["src", "dst"], "left_anti"))
-    large = open_.where(F.col("m") > SMALL)
-    out = found.unionByName(more)
+    found = staged(found.unionByName(join.verified(small.join(chain, ["src", "dst"], "left_anti"))))
+    large = open_.where(F.col("m") > SMALL).select("key", "node", "n")
+    forget(shared, placed)
     if not large.isEmpty():
-        sets = join.sets(large.select("node").distinct())
-        dealt = _tiles(large).join(marks.join(sets, "node"), "node")
-        out = out.unionByName(staged(_tile_links(dealt, join.slots, join.least, join.percent)))
-    forget(shared, placed, chain)
-    return out
+        points = marks.join(join.contents(large.select("node").distinct(), True), "node")
+        for forest in (True, False):
+            named = staged(large.join(grouped(found), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp")))
+            dealt = _tiles(named).join(points, "node")
+            found = staged(found.unionByName(join.verified(_tile_pairs(dealt, join.slots, join.least, join.percent, forest))))
+            forget(named)
+    forget(chain, open_)
+    return found
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, slots: int = SLOTS) -> DataFrame:
