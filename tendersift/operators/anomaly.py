@@ -24,11 +24,12 @@ def _detect(df: DataFrame, features: Sequence[str], keys: Sequence[str], algorit
 
 
 def detect_tenders(tenders: DataFrame, buyers: DataFrame | None = None, suppliers: DataFrame | None = None,
-                   sample_size: int | None = None, contamination: float = CONTAMINATION) -> DataFrame:
-    """Isolation forest on tender features; with ``sample_size`` on that many rows chosen by hash."""
+                   sample_size: int | None = None, contamination: float = CONTAMINATION, raw: bool = False) -> DataFrame:
+    """Isolation forest on tender features; with ``sample_size`` on that many rows chosen by hash, with ``raw`` also the unscaled score."""
     rows = sample_exact(tenders, sample_size, "tender_id") if sample_size else tenders
     wide, features = scaling.tender_features(rows, buyers, suppliers)
-    return _detect(wide, features, ["tender_id"], "iforest", contamination).drop("raw_score")
+    scored = _detect(wide, features, ["tender_id"], "iforest", contamination)
+    return scored if raw else scored.drop("raw_score")
 
 
 def _portrait_result(portrait: DataFrame, level: str, keys: list[str], algorithm: str, contamination: float) -> DataFrame:

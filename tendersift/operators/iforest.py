@@ -1,18 +1,45 @@
-"""Isolation forest (Liu, Ting, Zhou 2008): small trees from hashed samples, scored in Arrow batches."""
+"""Isolation forest (Liu, Ting, Zhou 2008) grown level by level with window aggregates, scored in Arrow batches.
+
+Draws, features and cuts come from arithmetic on a number of the key and from MD5 of (tree, node), so a forest depends on the rows and
+the seed only, and SQL can grow the same one. One sampling law holds at all sizes: every tree takes the ``sample`` rows with the
+smallest hash of (key, tree). Rows meet a tree only if that hash is below a bound that lets about six times the sample
+through, so no more than that is shuffled.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tendersift.schemas import SEED
 from tendersift.session import cut_lineage
 
-SPACE = 1 << 31
-TREE = "t int, feature array<int>, threshold array<double>, left array<int>, right array<int>, size array<int>"
+#: A prime below 2^31: products of two remainders fit a long.
+PRIME = 2147483647
+#: Targets and cuts are fractions of these, exact in binary.
+Y_STEPS, CUT_STEPS, FIXED = 1 << 20, 1 << 30, 1 << 32
+
+
+def key_number(keys: Sequence[str]) -> Column:
+    """60 bits of the MD5 of the keys joined by bars."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def draw(k: Column, t: Column | int, seed: int) -> Column:
+    """A number below PRIME from a row's number and a tree's."""
+    x = (k % PRIME * 48271 + t * 69621 + seed) % PRIME
+    x = (x * x + k % 1000003 + 7) % PRIME
+    x = (x * 16807 + t * 31 + 11) % PRIME
+    return (x * x + x) % PRIME
+
+
+def _node_number(t: Column, node: Column, use: str, seed: int) -> Column:
+    text = F.concat_ws("|", F.lit(seed), t, node, F.lit(use)).cast("binary")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def _path_rest(n: np.ndarray) -> np.ndarray:
@@ -25,102 +52,107 @@ def _path_rest(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, height: int) -> dict[str, list]:
-    tree = {c: [] for c in ("feature", "threshold", "left", "right", "size")}
-
-    def node(rows: np.ndarray, depth: int) -> int:
-        i = len(tree["size"])
-        for c, v in (("feature", -1), ("threshold", 0.0), ("left", -1), ("right", -1), ("size", len(rows))):
-            tree[c].append(v)
-        low, high = (x[rows].min(axis=0), x[rows].max(axis=0)) if len(rows) else (None, None)
-        if depth >= height or len(rows) < 2 or not (high > low).any():
-            return i
-        f = int(rng.choice(np.flatnonzero(high > low)))
-        cut = float(rng.uniform(low[f], high[f]))
-        below = x[rows, f] <= cut
-        tree["feature"][i], tree["threshold"][i] = f, cut
-        tree["left"][i] = node(rows[below], depth + 1)
-        tree["right"][i] = node(rows[~below], depth + 1)
-        return i
-
-    node(np.arange(len(x)), 0)
-    return tree
+def height_of(sample: int) -> int:
+    return int(np.ceil(np.log2(max(sample, 2))))
 
 
 def fit(df: DataFrame, key: str, n_trees: int = 100, sample: int = 256, seed: int = SEED) -> DataFrame:
-    """One row per tree. Each tree sees the ``sample`` rows with the smallest hash of (key, tree).
+    """Nodes (t, node, depth, n, variance, feature, cut) of a forest on (key number, features).
 
-    A row is a candidate for a tree with a chance that gives six times the sample; on large tables, where a row is
-    seldom a candidate for two trees, one hash names the tree, so rows are not multiplied by the number of trees.
+    Node i has the children 2 i (up to the cut) and 2 i + 1; leaves have no feature. ``variance`` is that of a target drawn per row, the
+    measure by which the importance of a feature is taken. All levels are one job: a tree's rows are shuffled once.
     """
-    n = df.count()
+    head = df.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("m")).first()
+    n, m = head["n"], head["m"] or 0
     sample = min(sample, max(n, 1))
-    hashed = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(SPACE))
-    rows = df.select(F.col(key).alias("k"), "features")
+    height = height_of(sample)
     chance = min(1.0, 6 * sample / max(n, 1))
-    if chance * n_trees < 1:
-        drawn = rows.where(hashed(F.col("k")) < SPACE * chance * n_trees).withColumn(
-            "t", F.pmod(F.xxhash64("k", F.lit(seed + 1)), F.lit(n_trees)).cast("int")).withColumn("h", hashed(F.col("k"), F.col("t")))
-    else:
-        drawn = rows.select("k", "features", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("t")).withColumn(
-            "h", hashed(F.col("k"), F.col("t"))).where(F.col("h") < SPACE * chance)
+    rows = df.select(F.col(key).alias("k"), "features").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    drawn = rows.withColumn("h", draw(F.col("k"), F.col("t"), seed)).where(F.col("h") < int(PRIME * chance))
     picked = drawn.withColumn("rn", F.row_number().over(Window.partitionBy("t").orderBy("h", "k"))).where(F.col("rn") <= sample)
-    height = int(np.ceil(np.log2(max(sample, 2))))
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        t = int(pdf["t"].iloc[0])
-        tree = _grow(np.stack(pdf["features"].to_numpy()), np.random.default_rng([seed, t]), height)
-        return pd.DataFrame({"t": [t], **{c: [v] for c, v in tree.items()}})
-
-    return picked.select("t", "rn", "features").groupBy("t").applyInPandas(build, TREE)
-
-
-def score(df: DataFrame, trees: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``raw_score`` = 2^(-mean path / expected path). The trees have at most a few hundred nodes each."""
-    forest = [
-        tuple(np.array(r[c]) for c in ("feature", "threshold", "left", "right", "size")) for r in trees.orderBy("t").collect()
-    ]
-    if not forest:
+    target = (draw(F.col("k"), n_trees, seed) % Y_STEPS) / float(Y_STEPS)
+    level = picked.select("t", target.alias("y"), *[F.col("features")[i].alias(f"f{i}") for i in range(m)], F.lit(1).cast("long").alias("node"))
+    level = level.withColumn("path", F.array().cast("array<struct<node:bigint,depth:int,n:bigint,variance:double,feature:int,cut:double>>"))
+    each = [f"f{i}" for i in range(m)]
+    for depth in range(height + 1):
+        own = Window.partitionBy("t", "node")
+        level = level.withColumns({
+            "n": F.count("*").over(own), "sy": F.sum("y").over(own), "syy": F.sum(F.col("y") * F.col("y")).over(own),
+            "lo": F.array(*[F.min(c).over(own) for c in each]), "hi": F.array(*[F.max(c).over(own) for c in each])})
+        open_ = F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.get("hi", i) > F.get("lo", i)) if m else F.array().cast("array<int>")
+        level = level.withColumn("open", open_).withColumn("feature", F.when(
+            (F.lit(depth) < height) & (F.col("n") >= 2) & (F.size("open") > 0),
+            F.get("open", (_node_number(F.col("t"), F.col("node"), "f", seed) % F.greatest(F.size("open"), F.lit(1))).cast("int"))))
+        share = (_node_number(F.col("t"), F.col("node"), "u", seed) % CUT_STEPS) / float(CUT_STEPS)
+        low, high = F.get("lo", "feature"), F.get("hi", "feature")
+        level = level.withColumn("cut", low + (high - low) * share)
+        mean = F.col("sy") / F.col("n")
+        entry = F.struct("node", F.lit(depth).alias("depth"), "n", (F.col("syy") / F.col("n") - mean * mean).alias("variance"), "feature", "cut")
+        value = F.get(F.array(*[F.col(c) for c in each]), F.col("feature")) if m else F.lit(0.0)
+        child = F.when(F.col("feature").isNotNull(), 2 * F.col("node") + (value > F.col("cut")).cast("long"))
+        path = F.when(F.col("node").isNotNull(), F.concat("path", F.array(entry))).otherwise(F.col("path"))
+        level = level.select("t", "y", *each, child.alias("node"), path.alias("path"))
+    nodes = level.select("t", F.inline("path"))
+    return nodes.groupBy("t", "node").agg(*[F.first(c).alias(c) for c in ("depth", "n", "variance", "feature", "cut")])
+
+
+def score(df: DataFrame, trees: DataFrame, keys: Sequence[str], n_trees: int = 100) -> DataFrame:
+    """``raw_score`` = 2^(-mean path / expected path). The nodes are at most ``n_trees`` times twice the sample.
+
+    Path lengths are summed in fixed point, so equal rows have equal scores whatever the order of the trees.
+    """
+    nodes = trees.toPandas()
+    if not len(nodes):
         return df.select(*keys, F.lit(None).cast("double").alias("raw_score"))
-    shared = df.sparkSession.sparkContext.broadcast(forest)
-    sample = int(max(t[4][0] for t in forest))
+    sample = int(nodes.loc[nodes["node"] == 1, "n"].max())
     norm = float(_path_rest(np.array([sample]))[0]) or 1.0
+    width = int(nodes["node"].max()) + 1
+    shape = (int(nodes["t"].max()) + 1, width)
+    feature, cut, rest = np.full(shape, -1, np.int16), np.zeros(shape), np.zeros(shape, np.int64)
+    at = nodes["t"].to_numpy(), nodes["node"].to_numpy()
+    feature[at] = nodes["feature"].fillna(-1).to_numpy(np.int16)
+    cut[at] = nodes["cut"].fillna(0.0).to_numpy()
+    rest[at] = nodes["depth"].to_numpy(np.int64) * FIXED + np.round(_path_rest(nodes["n"].to_numpy()) * FIXED).astype(np.int64)
+    shared = df.sparkSession.sparkContext.broadcast((feature, cut, rest))
+    used = shape[0]
 
     @F.pandas_udf("double")
     def isolation(features: pd.Series) -> pd.Series:
+        feature, cut, rest = shared.value
         x = np.stack(features.to_numpy())
-        total, rows = np.zeros(len(x)), np.arange(len(x))
-        for feature, threshold, left, right, size in shared.value:
-            at, depth = np.zeros(len(x), dtype=int), np.zeros(len(x))
-            rest = _path_rest(size)
+        total, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        for t in range(used):
+            node = np.ones(len(x), np.int64)
             while True:
-                inner = feature[at] >= 0
+                f = feature[t, node]
+                inner = f >= 0
                 if not inner.any():
                     break
-                below = x[rows, np.maximum(feature[at], 0)] <= threshold[at]
-                at = np.where(inner, np.where(below, left[at], right[at]), at)
-                depth += inner
-            total += depth + rest[at]
-        return pd.Series(np.power(2.0, -total / len(shared.value) / norm))
+                node = np.where(inner, 2 * node + (x[rows, np.maximum(f, 0)] > cut[t, node]), node)
+            total += rest[t, node]
+        return pd.Series(np.power(2.0, -total / float(FIXED) / used / norm))
 
     return df.select(*keys, isolation("features").alias("raw_score"))
 
 
-def feature_usage(trees: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Share of split rows per feature: how many sampled rows are divided by it, over all trees.
-
-    Split gain is not defined for random cuts, so usage weighted by node size stands for importance.
-    """
-    nodes = trees.select("t", F.explode(F.arrays_zip("feature", "size")).alias("n")).select("t", "n.feature", "n.size").where("feature >= 0")
-    used = nodes.groupBy("feature").agg(F.sum("size").alias("rows"))
-    total = used.agg(F.sum("rows")).scalar()
-    names = F.array(*[F.lit(f) for f in features])
-    return used.select(F.element_at(names, F.col("feature") + 1).alias("feature"), (F.col("rows") / total).alias("importance")).orderBy(F.desc("importance"), "feature")
+def importances(trees: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Mean over the trees of a feature's share of the variance that a tree's splits take away."""
+    child = trees.select("t", F.floor(F.col("node") / 2).alias("node"), (F.col("n") * F.col("variance")).alias("left_over"))
+    below = child.groupBy("t", "node").agg(F.sum("left_over").alias("below"))
+    gains = trees.where("feature IS NOT NULL").join(below, ["t", "node"]).select(
+        "t", "feature", (F.col("n") * F.col("variance") - F.col("below")).alias("gain"))
+    per = gains.groupBy("t", "feature").agg(F.sum("gain").alias("gain"))
+    share = F.try_divide(F.col("gain"), F.sum("gain").over(Window.partitionBy("t")))
+    total = trees.agg(F.count_distinct("t")).scalar()
+    mean = per.withColumn("share", share).groupBy("feature").agg(F.sum("share").alias("s"))
+    names = reduce(lambda a, b: a.unionByName(b), [trees.sparkSession.range(1).select(F.lit(i).alias("feature"), F.lit(f).alias("name"))
+                                                  for i, f in enumerate(features)])
+    return names.join(mean, "feature", "left").select(F.col("name").alias("feature"), (F.coalesce("s", F.lit(0.0)) / total).alias("importance")).orderBy(
+        F.desc("importance"), "feature")
 
 
 def fit_score(df: DataFrame, keys: Sequence[str], **options) -> tuple[DataFrame, DataFrame]:
-    """Raw scores and the trees they come from."""
-    base = cut_lineage(df.withColumn("_key", F.xxhash64(*keys)))
+    """Raw scores and the nodes they come from."""
+    base = cut_lineage(df.withColumn("_key", key_number(keys)))
     trees = cut_lineage(fit(base, "_key", **options))
     return score(base, trees, keys), trees

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from tendersift.functions import expr as E
 from tendersift.operators import anomaly, iforest, scaling
 from tendersift.operators.lof import lof_scores
-from tendersift.plans.ml_sql import BUYER_Z, LOF
+from tendersift.plans.ml_sql import BUYER_FOREST, BUYER_Z, FOREST, LOF, PAIR_FOREST, PAIR_LOF, SUPPLIER_FOREST, SUPPLIER_LOF, WIDE_FOREST, importance_sql
 from tendersift.plans.registry import query, rounded
-from tendersift.plans.rules_sql import level_sql
 from tendersift.schemas import ML_FEATURES
-from tendersift.session import cut_lineage
 
 
 @query("ml_value_vs_cpv_median", """, m AS (SELECT main_cpv_2_digit AS cpv, median(award_value) AS md FROM tenders WHERE main_cpv_2_digit IS NOT NULL GROUP BY 1)
@@ -30,7 +28,7 @@ def _(d):
     return rounded(out, value_vs_cpv_median=6, single_bidder_rate=6)
 
 
-@query("ml_preprocess", BUYER_Z + ", e AS (SELECT buyer_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM z) SELECT buyer_id, cast(pos AS INT) AS pos, round(x, 6) AS x FROM e")
+@query("ml_preprocess", BUYER_Z + ", e AS (SELECT buyer_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM z_buyer) SELECT buyer_id, cast(pos AS INT) AS pos, round(x, 6) AS x FROM e")
 def _(d):
     ready = scaling.preprocess(d.buyers, ML_FEATURES["buyer"], ["buyer_id"])
     return ready.select("buyer_id", F.posexplode("features").alias("pos", "x")).withColumn("x", F.round("x", 6))
@@ -60,49 +58,45 @@ def _(d):
     return rounded(_lof(d).select("buyer_id", "score"), score=5)
 
 
-@query("ml_label", """, q AS (SELECT quantile_cont(tender_value, 0.95) AS lim FROM tenders)
-SELECT tender_id, cast(tender_value > lim AS INT) AS anomaly FROM tenders, q""")
+@query("ml_label", FOREST + "SELECT tender_id, anomaly FROM if_tender")
 def _(d):
-    return scaling.finish(d.tenders.select("tender_id", F.col("tender_value").alias("raw_score"))).select("tender_id", "anomaly")
+    return _iforest(d).select("tender_id", "anomaly")
 
 
-@query("ml_risk_level", """, s AS (SELECT tender_id, number_of_documents / 10.0::DOUBLE AS score FROM tenders)
-SELECT tender_id, """ + level_sql("score", (0, 0.5, 0.75, 0.9, 1.01)) + " AS risk_level FROM s")
+@query("ml_risk_level", FOREST + "SELECT tender_id, risk_level FROM if_tender")
 def _(d):
-    return d.tenders.select("tender_id", E.ml_level(F.col("number_of_documents") / 10.0).alias("risk_level"))
+    return _iforest(d).select("tender_id", E.ml_level(F.col("score")).alias("risk_level"))
 
 
-@query("ml_iforest")
+@query("ml_iforest", FOREST + "SELECT tender_id, round(raw, 6) AS raw_score, round(score, 5) AS score, anomaly FROM if_tender")
 def _(d):
-    return _iforest(d).select("tender_id", "score", "anomaly")
+    scored = d.staged("iforest_raw", lambda: anomaly.detect_tenders(d.tenders, raw=True))
+    return rounded(scored.select("tender_id", "raw_score", "score", "anomaly"), raw_score=6, score=5)
 
 
-@query("ml_detect_tenders")
+@query("ml_detect_tenders", WIDE_FOREST + "SELECT tender_id, round(score, 5) AS score, anomaly, risk_level FROM if_wide")
 def _(d):
-    return anomaly.detect_tenders(d.tenders, d.buyers, d.suppliers)
+    return rounded(anomaly.detect_tenders(d.tenders, d.buyers, d.suppliers).select("tender_id", "score", "anomaly", "risk_level"), score=5)
 
 
-@query("ml_detect_suppliers")
-def _(d):
-    return d.staged("lof_suppliers", lambda: anomaly.detect_suppliers(d.tenders))
-
+def _portrait_query(name: str, sql: str, keys: str, staged: str, build) -> None:
+    @query(name, sql + f"SELECT {keys}, round(score, 5) AS score, anomaly, risk_level FROM {'if' if 'iforest' in staged else 'lof'}_{staged.split('_')[1][:-1]}")
+    def _(d):
+        return rounded(d.staged(staged, lambda: build(d)).select(*keys.split(", "), "score", "anomaly", "risk_level"), score=5)
 
-@query("ml_detect_pairs")
-def _(d):
-    return d.staged("lof_pairs", lambda: anomaly.detect_pairs(d.tenders))
 
-
-@query("ml_detect_buyers_iforest")
-def _(d):
-    return d.staged("iforest_buyers", lambda: anomaly.detect_buyers(d.tenders, d.buyers, "iforest"))
+_portrait_query("ml_detect_suppliers", SUPPLIER_LOF, "supplier_id", "lof_suppliers", lambda d: anomaly.detect_suppliers(d.tenders))
+_portrait_query("ml_detect_pairs", PAIR_LOF, "buyer_id, supplier_id", "lof_pairs", lambda d: anomaly.detect_pairs(d.tenders))
+_portrait_query("ml_detect_buyers_iforest", BUYER_FOREST, "buyer_id", "iforest_buyers", lambda d: anomaly.detect_buyers(d.tenders, d.buyers, "iforest"))
+_portrait_query("ml_detect_suppliers_iforest", SUPPLIER_FOREST, "supplier_id", "iforest_suppliers", lambda d: anomaly.detect_suppliers(d.tenders, "iforest"))
+_portrait_query("ml_detect_pairs_iforest", PAIR_FOREST, "buyer_id, supplier_id", "iforest_pairs", lambda d: anomaly.detect_pairs(d.tenders, algorithm="iforest"))
 
 
-@query("ml_feature_importances")
+@query("ml_feature_importances", FOREST + importance_sql("tender"))
 def _(d):
     wide, features = scaling.tender_features(d.tenders)
-    ready = cut_lineage(scaling.preprocess(wide, features, ["tender_id"]))
-    trees = cut_lineage(iforest.fit(ready, "tender_id"))
-    return iforest.feature_usage(trees, features)
+    _, trees = iforest.fit_score(scaling.preprocess(wide, features, ["tender_id"]), ["tender_id"])
+    return rounded(iforest.importances(trees, features), importance=6)
 
 
 @query("ml_summary", LOF + """SELECT 'lof' AS algorithm, 'total' AS metric, count(*)::DOUBLE AS value FROM lof
