@@ -13,8 +13,7 @@ their full sets of 64-bit shingle hashes. No bucket is capped:
 1. In each bucket, dealt into tiles of ``TILE``, neighbours by set size are verified: linear work that joins groups of near copies.
 2. Buckets that still hold several components: those of up to ``SMALL`` members list their likely pairs of different components.
    In larger ones the tiles of the largest component meet the tiles of all others, and these one another. A task bounds the
-   overlap of two sets by the minima of their counts in ``FINE`` groups, which leaves few pairs that are no links; it first gives out
-   a forest of the likeliest pairs, and after these are verified and joined all that are left between components.
+   overlap of two sets by the minima of their counts in ``FINE`` groups, which leaves few pairs that are no links.
 
 Links are grouped by union-find: each task first reduces its links to a forest, then stars are contracted to the least node.
 
@@ -42,7 +41,7 @@ from tendersift.llm.hashing import words_of
 from tendersift.llm.jaccard import FINE, fine_bound, fine_point, needed
 from tendersift.operators.graph import components
 
-SLOTS, TILE, SMALL, MISS = 128, 256, 16, 1e-9
+SLOTS, TILE, SMALL, MISS = 128, 1024, 16, 1e-9
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -266,8 +265,8 @@ def _small_pairs(rows: DataFrame, slots: int, least: int) -> DataFrame:
     return placed.mapInArrow(pairs, schema).distinct()
 
 
-def _tile_pairs(rows: DataFrame, slots: int, least: int, percent: int, forest: bool) -> DataFrame:
-    """Pairs of components that may link, from rows (key, tile, side, own, node, comp, n, marks, sh); at most a forest a tile if asked."""
+def _tile_pairs(rows: DataFrame, least: int, percent: int) -> DataFrame:
+    """Pairs of components that may link, from rows (key, tile, side, own, node, comp, n, marks, sh)."""
     schema = "src bigint, dst bigint"
     arrow = arrow_schema(schema)
     columns = ["key", "tile", "side", "own", "node", "comp", "n", "marks", "sh"]
@@ -277,20 +276,14 @@ def _tile_pairs(rows: DataFrame, slots: int, least: int, percent: int, forest: b
         marks, fine = (np.frombuffer(b"".join(held.column(c).to_pylist()), np.uint8).reshape(len(n), -1) for c in ("marks", "sh"))
         a = np.flatnonzero(side == 0)
         b = a if held.column("own")[0].as_py() else np.flatnonzero(side == 1)
-        pairs, scores = [], []
+        out = []
         for x in a.tolist():
             y = b[b > x] if b is a else b
             y = y[(comp[y] != comp[x]) & (100 * n[y] >= percent * n[x]) & (100 * n[x] >= percent * n[y])]
             same = (marks[y] == marks[x]).sum(axis=1)
-            y, same = y[same >= least], same[same >= least]
-            fit = fine_bound(np.broadcast_to(fine[x], (len(y), fine.shape[1])), fine[y]) >= needed(n[x], n[y], percent)
-            pairs += [(x, int(z)) for z in y[fit]]
-            scores += same[fit].tolist()
-        if forest:
-            joined = Forest()
-            pairs = [pairs[k] for k in np.argsort(-np.array(scores, np.int64), kind="stable").tolist()
-                     if joined.join(int(comp[pairs[k][0]]), int(comp[pairs[k][1]]))]
-        out = [(min(node[x], node[z]), max(node[x], node[z])) for x, z in pairs]
+            y = y[same >= least]
+            y = y[fine_bound(np.broadcast_to(fine[x], (len(y), fine.shape[1])), fine[y]) >= needed(n[x], n[y], percent)]
+            out += [(min(node[x], z), max(node[x], z)) for z in node[y].tolist()]
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], schema=arrow)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,19 +345,15 @@ def links(join: Join) -> DataFrame:
     several = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
     open_ = staged(placed.join(several, "key", "left_semi"))
     marks = join.nodes.select("node", "marks")
-    small = _small_pairs(open_.where(F.col("m") <= SMALL).join(marks, "node"), join.slots, join.least)
-    found = staged(found.unionByName(join.verified(small.join(chain, ["src", "dst"], "left_anti"))))
-    large = open_.where(F.col("m") > SMALL).select("key", "node", "n")
-    forget(shared, placed)
+    pairs = _small_pairs(open_.where(F.col("m") <= SMALL).join(marks, "node"), join.slots, join.least)
+    large = open_.where(F.col("m") > SMALL)
     if not large.isEmpty():
         points = marks.join(join.contents(large.select("node").distinct(), True), "node")
-        for forest in (True, False):
-            named = staged(large.join(grouped(found), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp")))
-            dealt = _tiles(named).join(points, "node")
-            found = staged(found.unionByName(join.verified(_tile_pairs(dealt, join.slots, join.least, join.percent, forest))))
-            forget(named)
-    forget(chain, open_)
-    return found
+        dealt = _tiles(large.select("key", "node", "comp", "n")).join(points, "node")
+        pairs = pairs.unionByName(_tile_pairs(dealt, join.least, join.percent)).distinct()
+    more = join.verified(pairs.join(chain, ["src", "dst"], "left_anti"))
+    forget(shared, placed, chain, open_)
+    return found.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, slots: int = SLOTS) -> DataFrame:
