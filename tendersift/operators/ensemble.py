@@ -211,7 +211,8 @@ def explanations(ensemble: DataFrame, tenders: DataFrame | None = None, rule_res
     """Text per tender: agreeing methods, fired rules, network signs and buyer portrait; empty below two votes."""
     rows = consensus(ensemble, 2)
     shown = [
-        F.when(F.col(f"{m}_anomaly") == 1, F.format_string(f"{METHOD_NAMES[m]}(%.2f)", F.col(f"{m}_score")))
+        # Half up, also where the last bit of a score leaves it just below the half.
+        F.when(F.col(f"{m}_anomaly") == 1, F.format_string(f"{METHOD_NAMES[m]}(%.2f)", F.floor(F.col(f"{m}_score") * 100 + 0.5 + 1e-7) / 100))
         for m in methods_of(ensemble)
     ]
     present = lambda items: F.filter(F.array(*items), lambda x: x.isNotNull())

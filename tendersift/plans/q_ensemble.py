@@ -1,33 +1,35 @@
-"""Queries of the vote. The checked ones use the four methods that SQL can express."""
+"""Queries of the vote of all five methods and of the comparisons of methods."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tendersift.functions import expr as E
-from tendersift.operators import ensemble as V
+from tendersift.operators import anomaly, ensemble as V, portraits
 from tendersift.plans import reports as R
-from tendersift.plans.ml_sql import LOF
+from tendersift.plans.ml_sql import BUYER_Z, FOREST, LOF, PAIR_SQL, SUPPLIER_SQL, forest_sql, lof_sql, scaled_sql
 from tendersift.plans.network_sql import NETWORKED
 from tendersift.plans.q_ml import _iforest, _lof
-from tendersift.plans.registry import query, rounded
+from tendersift.plans.registry import also, query, rounded
 from tendersift.plans.rules_sql import FLAGS, RULED
 from tendersift.plans.screens_sql import SCREENED
 from tendersift.operators.anomaly import map_to_tenders
 
-_M = ("rule", "stat", "lof", "network")
-_W = {"rule": 1.0, "stat": 0.8, "lof": 0.8, "network": 1.0}
+_M = V.METHODS
 _VOTES = " + ".join(f"{m}_anomaly" for m in _M)
-COMBINED = RULED + SCREENED + NETWORKED + LOF + f"""
+_RANKED = """
 , lt AS (SELECT tender_id, coalesce(score, 0) AS s, coalesce(anomaly, 0) AS lof_anomaly FROM tenders LEFT JOIN lof USING (buyer_id))
 , lr AS (SELECT tender_id, (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE) / count(*) OVER () AS lof_score, lof_anomaly FROM lt)
+"""
+COMBINED = RULED + SCREENED + NETWORKED + LOF + _RANKED + FOREST + f"""
 , e0 AS (SELECT tender_id, rule_risk_score::DOUBLE / greatest((SELECT max(rule_risk_score) FROM ruled), 1) AS rule_score,
   cast(rule_risk_level IN ('high', 'critical') AS INT) AS rule_anomaly, stat_score / greatest((SELECT max(stat_score) FROM screened), 1) AS stat_score, stat_anomaly,
-  lof_score, lof_anomaly, network_score, network_anomaly
+  if_score, if_anomaly, lof_score, lof_anomaly, network_score, network_anomaly
   FROM ruled JOIN (SELECT tender_id, stat_score, stat_anomaly FROM screened) USING (tender_id) JOIN lr USING (tender_id)
+  JOIN (SELECT tender_id, score AS if_score, anomaly AS if_anomaly FROM if_tender) USING (tender_id)
   JOIN (SELECT tender_id, network_score, network_anomaly FROM networked) USING (tender_id))
-, e1 AS (SELECT *, (rule_score + 0.8 * stat_score + 0.8 * lof_score + network_score) / 3.6 AS ensemble_score, {_VOTES} AS consensus_count,
-  ({_VOTES}) / 4.0::DOUBLE AS consensus_pct FROM e0)
+, e1 AS (SELECT *, (rule_score + 0.8 * stat_score + if_score + 0.8 * lof_score + network_score) / 4.6 AS ensemble_score, {_VOTES} AS consensus_count,
+  ({_VOTES}) / 5.0::DOUBLE AS consensus_pct FROM e0)
 , ens AS (SELECT *, cast(consensus_count >= 2 AS INT) AS ensemble_anomaly, CASE WHEN consensus_pct >= 0.75 THEN 'critical' WHEN consensus_pct >= 0.5 THEN 'high'
   WHEN consensus_pct >= 0.25 THEN 'medium' ELSE 'low' END AS ensemble_risk_level FROM e1)
 """
@@ -35,17 +37,13 @@ COMBINED = RULED + SCREENED + NETWORKED + LOF + f"""
 
 def _results(d) -> dict:
     lof = map_to_tenders(d.tenders, _lof(d))
-    return {"rule": d.ruled, "stat": d.screened, "lof": lof, "network": d.networked}
+    return {"rule": d.ruled, "stat": d.screened, "if": _iforest(d), "lof": lof, "network": d.networked}
 
 
 def combined(d):
     return d.staged("ensemble", lambda: V.combine(_results(d)))
 
 
-def combined_all(d):
-    return d.staged("ensemble_all", lambda: V.combine({**_results(d), "if": _iforest(d)}))
-
-
 @query("ens_norm_max", RULED + "SELECT tender_id, round(rule_risk_score::DOUBLE / greatest((SELECT max(rule_risk_score) FROM ruled), 1), 6) AS rule_score FROM ruled")
 def _(d):
     return rounded(V.scale_by_max(d.ruled.select("tender_id", F.col("rule_risk_score").alias("rule_score")), "rule_score"), rule_score=6)
@@ -69,15 +67,15 @@ def _(d):
     return own.join(flags, "tender_id")
 
 
-@query("ens_if_vote", "SELECT tender_id, number_of_documents / 10.0::DOUBLE AS if_score, is_weekend AS if_anomaly FROM tenders")
+@query("ens_if_vote", FOREST + "SELECT tender_id, round(score, 5) AS if_score, anomaly AS if_anomaly FROM if_tender")
 def _(d):
-    return V.if_vote(d.tenders.select("tender_id", (F.col("number_of_documents") / 10.0).alias("score"), F.col("is_weekend").alias("anomaly")))
+    return rounded(V.if_vote(_iforest(d)), if_score=5)
 
 
-@query("ens_lof_rank", """SELECT tender_id, round((rank() OVER (ORDER BY number_of_documents) + (count(*) OVER (PARTITION BY number_of_documents) - 1) / 2.0::DOUBLE) / count(*) OVER (), 6) AS pct_rank FROM tenders""")
+@query("ens_lof_rank", LOF + _RANKED + "SELECT tender_id, round(lof_score, 6) AS pct_rank FROM lr")
 def _(d):
-    scores = d.tenders.select("tender_id", F.col("number_of_documents").cast("double").alias("s"))
-    return rounded(scores.join(V.average_rank(scores, "s"), "s").select("tender_id", "pct_rank"), pct_rank=6)
+    scores = map_to_tenders(d.tenders, _lof(d)).select("tender_id", "lof_score")
+    return rounded(scores.join(V.average_rank(scores, "lof_score"), "lof_score").select("tender_id", "pct_rank"), pct_rank=6)
 
 
 _COLS = [f"{m}_{k}" for m in _M for k in ("score", "anomaly")]
@@ -90,15 +88,9 @@ def _(d):
     return rounded(out, ensemble_score=9, **{c: 9 for c in _COLS if c.endswith("score")})
 
 
-@query("ens_combine_five")
+@query("ens_risk_level", COMBINED + "SELECT tender_id, ensemble_risk_level AS level FROM ens")
 def _(d):
-    return combined_all(d)
-
-
-@query("ens_risk_level", """SELECT tender_id, CASE WHEN number_of_documents % 5 / 4.0 >= 0.75 THEN 'critical' WHEN number_of_documents % 5 / 4.0 >= 0.5 THEN 'high'
-WHEN number_of_documents % 5 / 4.0 >= 0.25 THEN 'medium' ELSE 'low' END AS level FROM tenders""")
-def _(d):
-    return d.tenders.select("tender_id", E.consensus_level((F.col("number_of_documents") % 5) / 4.0).alias("level"))
+    return combined(d).select("tender_id", E.consensus_level(F.col("consensus_pct")).alias("level"))
 
 
 @query("ens_method_stats", COMBINED + " UNION ALL ".join(
@@ -132,7 +124,7 @@ def _(d):
 
 
 _SUMMARY = [("total_tenders", "true"), *[(f"risk_{r}", f"ensemble_risk_level = '{r}'") for r in ("critical", "high", "medium", "low")],
-            *[(f"consensus_{i}_methods", f"consensus_count = {i}") for i in range(5)]]
+            *[(f"consensus_{i}_methods", f"consensus_count = {i}") for i in range(6)]]
 
 
 @query("ens_summary", COMBINED + " UNION ALL ".join(
@@ -141,16 +133,15 @@ def _(d):
     return V.summary(combined(d))
 
 
-_NAMES = {m: n for m, n in V.METHOD_NAMES.items() if m != "if"}
-_SHOWN = ", ".join(f"CASE WHEN {m}_anomaly = 1 THEN printf('{n}(%.2f)', {m}_score) END" for m, n in _NAMES.items())
+_SHOWN = ", ".join(f"CASE WHEN {m}_anomaly = 1 THEN printf('{n}(%.2f)', floor({m}_score * 100 + 0.5 + 1e-7) / 100) END" for m, n in V.METHOD_NAMES.items())
 _FIRED = "list_filter([" + ", ".join(f"CASE WHEN flag_{n} = 1 THEN '{n}' END" for n in FLAGS) + "], lambda x: x IS NOT NULL)"
+_SIGNS = ", ".join(f"CASE WHEN {c} = 1 THEN {{}} END".format("'" + n.replace("'", "''") + "'") for c, n in V.NETWORK_LABELS.items())
 EXPLAINED = COMBINED + f""", ex0 AS (SELECT e.*, r.fired, n.network_rotation, n.network_monopolistic, n.network_suspicious_supplier, p.single_bidder_rate AS sbr, p.supplier_diversity_index AS div, p.competitive_rate AS cr
   FROM ens e JOIN (SELECT tender_id, buyer_id, {_FIRED} AS fired FROM ruled) r USING (tender_id) JOIN net_0 n USING (tender_id) LEFT JOIN buyer_p p ON p.buyer_id = r.buyer_id)
 , explained AS (SELECT tender_id, consensus_count, CASE WHEN consensus_count < 2 THEN '' ELSE concat_ws(' | ',
    'Консенсус: ' || consensus_count || '/5 (' || concat_ws(', ', {_SHOWN}) || ')',
    CASE WHEN len(fired) > 0 THEN 'Правила: ' || array_to_string(fired[1:8], ', ') || CASE WHEN len(fired) > 8 THEN ' (+' || (len(fired) - 8) || ')' ELSE '' END END,
-   CASE WHEN network_rotation + network_monopolistic + network_suspicious_supplier > 0 THEN 'Мережа: ' || concat_ws(', ', CASE WHEN network_rotation = 1 THEN 'ротація перемог' END,
-     CASE WHEN network_monopolistic = 1 THEN 'монополія' END, CASE WHEN network_suspicious_supplier = 1 THEN 'підозріла зв''язність' END) END,
+   CASE WHEN network_rotation + network_monopolistic + network_suspicious_supplier > 0 THEN 'Мережа: ' || concat_ws(', ', {_SIGNS}) END,
    CASE WHEN sbr > 0.5 OR div < 0.3 OR cr < 0.1 THEN 'Портрет: ' || concat_ws(', ', CASE WHEN sbr > 0.5 THEN printf('single_bidder=%.0f%%', sbr * 100) END,
      CASE WHEN div < 0.3 THEN printf('diversity=%.2f', div) END, CASE WHEN cr < 0.1 THEN printf('competitive=%.0f%%', cr * 100) END) END) END AS explanation FROM ex0)
 """
@@ -160,10 +151,9 @@ def _explained(d):
     return V.explanations(combined(d), d.tenders, d.ruled, d.networked, d.buyers)
 
 
-@query("ens_explanations", EXPLAINED + r"SELECT tender_id, consensus_count, regexp_replace(explanation, '\(\d\.\d\d\)', '', 'g') AS explanation FROM explained")
+@query("ens_explanations", EXPLAINED + "SELECT tender_id, consensus_count, explanation FROM explained")
 def _(d):
-    # Printed scores are cut to two digits, which two engines may round differently.
-    return _explained(d).withColumn("explanation", F.regexp_replace("explanation", r"\(\d\.\d\d\)", ""))
+    return _explained(d)
 
 
 # --- reports on the vote ------------------------------------------------------------------------------------
@@ -201,89 +191,77 @@ for _side in ("buyer", "supplier"):
     _risky(_side)
 
 
-@query("rep_critical_export", EXPLAINED + r"""SELECT tender_id, consensus_count, regexp_replace(explanation, '\(\d\.\d\d\)', '', 'g') AS explanation, 'buyer ' || t.buyer_id AS buyer_name,
+@query("rep_critical_export", EXPLAINED + """SELECT tender_id, consensus_count, explanation, 'buyer ' || t.buyer_id AS buyer_name,
 'supplier ' || t.supplier_id AS supplier_name, procurement_method, published_date FROM explained JOIN ens USING (tender_id, consensus_count) JOIN tenders t USING (tender_id) WHERE ensemble_risk_level = 'critical'""")
 def _(d):
     out = R.critical_export(combined(d), _explained(d), d.tenders, d.buyers, d.suppliers)
-    return out.select("tender_id", "consensus_count", F.regexp_replace("explanation", r"\(\d\.\d\d\)", "").alias("explanation"),
-                      "buyer_name", "supplier_name", "procurement_method", "published_date")
-
+    return out.select("tender_id", "consensus_count", "explanation", "buyer_name", "supplier_name", "procurement_method", "published_date")
 
-# --- the same with the vote of all five methods; the forest has no SQL ---------------------------------------
 
-def _five_explained(d):
-    return V.explanations(combined_all(d), d.tenders, d.ruled, d.networked, d.buyers)
+# Names under which the vote of five was first registered.
+for _name in ("ens_combine", "ens_method_stats", "ens_consensus_filter", "ens_critical", "ens_correlation", "ens_agreement", "ens_summary", "ens_explanations",
+              "rep_critical_vs_normal", "rep_consensus_dist", "rep_critical_by_year", "rep_top_risky_entities", "rep_top_risky_suppliers", "rep_critical_export"):
+    also(f"{_name}_five", _name)
 
 
-def _five_risky(d, side: str):
-    names = getattr(d, f"{side}s").select(f"{side}_id", f"{side}_name")
-    return R.top_risky(combined_all(d), d.tenders, f"{side}_id", names)
-
-
-for _name, _build in {
-    "ens_method_stats": lambda d: V.method_stats(combined_all(d)),
-    "ens_consensus_filter": lambda d: V.consensus(combined_all(d), 2).select("tender_id", "consensus_count"),
-    "ens_critical": lambda d: V.critical(combined_all(d)).select("tender_id", "consensus_count"),
-    "ens_correlation": lambda d: V.correlation(combined_all(d), [f"{m}_score" for m in V.METHODS]),
-    "ens_agreement": lambda d: V.agreement(combined_all(d)),
-    "ens_summary": lambda d: V.summary(combined_all(d)),
-    "ens_explanations": _five_explained,
-    "rep_critical_vs_normal": lambda d: R.critical_vs_normal(combined_all(d), d.tenders),
-    "rep_consensus_dist": lambda d: R.value_counts(combined_all(d), "consensus_count").select(
-        "consensus_count", F.col("n").alias("tenders"), F.round(F.col("share") * 100, 4).alias("pct")),
-    "rep_critical_by_year": lambda d: R.critical_by_year(combined_all(d), d.tenders),
-    "rep_top_risky_entities": lambda d: _five_risky(d, "buyer"),
-    "rep_top_risky_suppliers": lambda d: _five_risky(d, "supplier"),
-    "rep_critical_export": lambda d: R.critical_export(combined_all(d), _five_explained(d), d.tenders, d.buyers, d.suppliers),
-}.items():
-    query(f"{_name}_five")(_build)
+# --- comparisons of methods on entity sets ------------------------------------------------------------------
 
+_LEVELS = {"buyer": ("buyer_id",), "supplier": ("supplier_id",), "pair": ("buyer_id", "supplier_id")}
+_ML = BUYER_Z + lof_sql("buyer") + forest_sql("buyer") + "".join(
+    base + scaled_sql(level) + lof_sql(level) + forest_sql(level) for base, level in ((SUPPLIER_SQL, "supplier"), (PAIR_SQL, "pair")))
+_ENTITY = {level: f"concat_ws('|', {', '.join(keys)})" for level, keys in _LEVELS.items()}
+_NET = {"buyer": "network_monopolistic", "supplier": "network_suspicious_supplier", "pair": "network_monopolistic"}
+_SETS = NETWORKED + _ML + ", named AS (" + " UNION ALL ".join(
+    f"SELECT '{level}' AS level, {bit} AS bit, {_ENTITY[level]} AS entity FROM {table}_{level} WHERE anomaly = 1"
+    for level in _LEVELS for bit, table in ((1, "if"), (2, "lof"))) + "".join(
+    f" UNION SELECT DISTINCT '{level}', 4, {_ENTITY[level]} FROM networked JOIN (SELECT tender_id, buyer_id, supplier_id FROM tenders) USING (tender_id) WHERE {flag} = 1"
+    for level, flag in _NET.items()) + """)
+, marked AS (SELECT level, entity, bit_or(bit) AS mask, count(DISTINCT bit) AS methods FROM named GROUP BY 1, 2)
+"""
 
-# --- comparisons of methods on entity sets ------------------------------------------------------------------
 
-def _entity_sets(d) -> dict:
-    """Buyers named by LOF, by the network, and by a high share of high-risk tenders."""
-    rule = d.ruled.groupBy("buyer_id").agg(F.avg("rule_risk_score").alias("r")).where("r >= 7").select("buyer_id")
-    lof = _lof(d).where("anomaly = 1 OR score >= 0.3").select("buyer_id")
-    net = d.networked.join(d.tenders.select("tender_id", "buyer_id"), "tender_id").where("network_monopolistic = 1").select("buyer_id").distinct()
-    return {"lof": lof, "network": net, "rule": rule}
+def _models(d) -> dict:
+    """Results by (level, algorithm) for both models at all three levels."""
+    run = {"buyer": lambda a: anomaly.detect_buyers(d.tenders, d.buyers, a), "supplier": lambda a: anomaly.detect_suppliers(d.tenders, a),
+           "pair": lambda a: anomaly.detect_pairs(d.tenders, algorithm=a)}
+    return {(level, a): d.staged(f"{a}_{level}s", lambda level=level, a=a: run[level](a)) for level in run for a in ("iforest", "lof")}
 
 
-_SETS = RULED + NETWORKED + LOF + """, s_rule AS (SELECT buyer_id FROM ruled GROUP BY 1 HAVING avg(rule_risk_score) >= 7)
-, s_lof AS (SELECT buyer_id FROM lof WHERE anomaly = 1 OR score >= 0.3)
-, s_network AS (SELECT DISTINCT buyer_id FROM networked JOIN tenders USING (tender_id) WHERE network_monopolistic = 1)
-, named AS (SELECT buyer_id, 'lof' AS m FROM s_lof UNION ALL SELECT buyer_id, 'network' FROM s_network UNION ALL SELECT buyer_id, 'rule' FROM s_rule)
-, cnt AS (SELECT cast(buyer_id AS VARCHAR) AS entity, count(*) AS methods, string_agg(m, ',' ORDER BY m) AS named_by FROM named GROUP BY buyer_id)
-"""
+def _marked(d):
+    """(level, entity, mask, methods): bit 1 forest, 2 LOF, 4 network."""
+    named = {key: df.where("anomaly = 1") for key, df in _models(d).items()}
+    flagged = d.networked.join(d.tenders.select("tender_id", "buyer_id", "supplier_id"), "tender_id")
+    named |= {(level, "network"): flagged.where(f"{flag} = 1").dropna(subset=list(_LEVELS[level])) for level, flag in _NET.items()}
+    return d.staged("marked", lambda: R.method_masks(named, _LEVELS))
 
 
-@query("rep_algo_sets", _SETS + """SELECT (SELECT count(*) FROM (FROM s_lof EXCEPT FROM s_rule)) AS a_only, (SELECT count(*) FROM (FROM s_rule EXCEPT FROM s_lof)) AS b_only,
-(SELECT count(*) FROM (FROM s_lof INTERSECT FROM s_rule)) AS both, round(coalesce((SELECT count(*) FROM (FROM s_lof INTERSECT FROM s_rule))::DOUBLE / nullif((SELECT count(*) FROM (FROM s_lof UNION FROM s_rule)), 0), 0), 6) AS jaccard""")
+@query("rep_algo_sets", _SETS + """SELECT level, count(*) FILTER (mask & 3 = 1) AS iforest_only, count(*) FILTER (mask & 3 = 2) AS lof_only, count(*) FILTER (mask & 3 = 3) AS both,
+round(coalesce(count(*) FILTER (mask & 3 = 3)::DOUBLE / nullif(count(*) FILTER (mask & 3 > 0), 0), 0), 6) AS jaccard
+FROM (VALUES ('buyer'), ('supplier'), ('pair')) l(level) LEFT JOIN marked USING (level) GROUP BY 1""")
 def _(d):
-    sets = _entity_sets(d)
-    return rounded(R.set_comparison(sets["lof"], sets["rule"], "buyer_id"), jaccard=6)
+    return rounded(R.algorithm_sets(_marked(d)), jaccard=6)
 
 
-@query("rep_high_consensus", _SETS + """SELECT entity, methods, named_by, round(total_value, 2) AS total_value FROM cnt JOIN buyer_p ON cast(buyer_id AS VARCHAR) = entity WHERE methods >= 2""")
+@query("rep_high_consensus", _SETS + """SELECT level, entity, methods, concat_ws(',', CASE WHEN mask & 1 > 0 THEN 'iforest' END, CASE WHEN mask & 2 > 0 THEN 'lof' END, CASE WHEN mask & 4 > 0 THEN 'network' END) AS named_by,
+round(coalesce(b.total_value, s.total_value, p.total_value), 2) AS total_value, CASE WHEN level <> 'supplier' THEN 'buyer ' || split_part(entity, '|', 1) END AS buyer_name,
+CASE WHEN level <> 'buyer' THEN 'supplier ' || split_part(entity, '|', -1) END AS supplier_name
+FROM marked LEFT JOIN buyer_p b ON level = 'buyer' AND entity = b.buyer_id::VARCHAR LEFT JOIN supplier_p s ON level = 'supplier' AND entity = s.supplier_id::VARCHAR
+LEFT JOIN pair_p p ON level = 'pair' AND entity = p.buyer_id || '|' || p.supplier_id WHERE methods >= 2""")
 def _(d):
-    counts = R.method_counts(_entity_sets(d), "buyer_id").where("methods >= 2")
-    values = d.buyers.select(F.col("buyer_id").cast("string").alias("entity"), "total_value")
-    return rounded(counts.join(values, "entity").orderBy(F.desc("total_value"), "entity"), total_value=2)
+    return rounded(R.high_consensus(_marked(d), d.buyers, d.suppliers, portraits.pair_portrait(d.tenders)), total_value=2)
 
 
-_CELLS = [("lof", "named_by LIKE '%lof%'"), ("network", "named_by LIKE '%network%'"), ("rule", "named_by LIKE '%rule%'"),
-          ("lof&network", "named_by LIKE '%lof%' AND named_by LIKE '%network%'"), ("lof&rule", "named_by LIKE '%lof%' AND named_by LIKE '%rule%'"),
-          ("network&rule", "named_by LIKE '%network%' AND named_by LIKE '%rule%'"), ("two_or_more", "methods >= 2"), ("all", "methods = 3")]
+_METRICS = {"iforest": "mask & 1 > 0", "lof": "mask & 2 > 0", "network": "mask & 4 > 0", "two_or_more": "methods >= 2", "all_three": "methods = 3"}
 
 
-@query("rep_cross_method", _SETS + " UNION ALL ".join(f"SELECT 'buyer' AS level, '{n}' AS metric, count(*) FILTER ({t}) AS value FROM cnt" for n, t in _CELLS))
+@query("rep_cross_method", _SETS + " UNION ALL ".join(
+    f"SELECT '{level}' AS level, '{n}' AS metric, count(*) FILTER ({t}) AS value FROM marked WHERE level = '{level}'" for level in _LEVELS for n, t in _METRICS.items()))
 def _(d):
-    return R.cross_method("buyer", _entity_sets(d), "buyer_id")
+    return R.cross_method(_marked(d))
 
 
-@query("rep_algo_comparison")
+@query("rep_algo_comparison", _ML + " UNION ALL ".join(
+    f"SELECT '{level}' AS level, '{name}' AS algorithm, count(*) AS n, cast(sum(anomaly) AS BIGINT) AS anomalies, round(avg(anomaly) * 100, 6) AS rate_pct, round(avg(score), 5) AS mean_score, round(max(score), 5) AS max_score FROM {table}_{level}"
+    for level in _LEVELS for name, table in (("iforest", "if"), ("lof", "lof"))))
 def _(d):
-    from tendersift.operators import anomaly
-    forest = d.staged("iforest_buyers", lambda: anomaly.detect_buyers(d.tenders, d.buyers, "iforest"))
-    pairs = d.staged("lof_pairs", lambda: anomaly.detect_pairs(d.tenders))
-    return R.algorithm_table({("buyer", "lof"): _lof(d), ("buyer", "iforest"): forest, ("pair", "lof"): pairs})
+    return rounded(R.algorithm_table(_models(d)), rate_pct=6, mean_score=5, max_score=5)

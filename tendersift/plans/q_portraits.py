@@ -28,13 +28,13 @@ SUPPLIER_SQL = """, supplier_p AS (SELECT supplier_id, count(*) AS total_awards,
   avg(number_of_tenderers) AS avg_competitors,
   count(DISTINCT main_cpv_2_digit) + max(CASE WHEN main_cpv_2_digit IS NULL THEN 1 ELSE 0 END) AS cpv_diversity FROM tenders GROUP BY 1)
 """
-PAIR_SQL = """, g AS (SELECT buyer_id, supplier_id, trunc((epoch(award_date) - epoch(lag(award_date) OVER (PARTITION BY buyer_id, supplier_id ORDER BY award_date NULLS FIRST, tender_id))) / 86400) AS gap FROM tenders)
-, tc AS (SELECT buyer_id, supplier_id, stddev_samp(gap) AS temporal_concentration FROM g GROUP BY 1, 2)
-, bt AS (SELECT buyer_id, count(*) AS b FROM tenders GROUP BY 1), st AS (SELECT supplier_id, count(*) AS s FROM tenders GROUP BY 1)
+PAIR_SQL = """, pair_gaps AS (SELECT buyer_id, supplier_id, trunc((epoch(award_date) - epoch(lag(award_date) OVER (PARTITION BY buyer_id, supplier_id ORDER BY award_date NULLS FIRST, tender_id))) / 86400) AS gap FROM tenders)
+, pair_tc AS (SELECT buyer_id, supplier_id, stddev_samp(gap) AS temporal_concentration FROM pair_gaps GROUP BY 1, 2)
+, pair_b AS (SELECT buyer_id, count(*) AS b FROM tenders GROUP BY 1), pair_s AS (SELECT supplier_id, count(*) AS s FROM tenders GROUP BY 1)
 , pair_0 AS (SELECT buyer_id, supplier_id, count(*) AS contracts_count, sum(tender_value) AS total_value, avg(tender_value) AS avg_value,
   avg(is_single_bidder) AS single_bidder_rate FROM tenders GROUP BY 1, 2)
 , pair_p AS (SELECT pair_0.*, contracts_count::DOUBLE / b AS exclusivity_buyer, contracts_count::DOUBLE / s AS exclusivity_supplier, temporal_concentration
-FROM pair_0 LEFT JOIN bt USING (buyer_id) LEFT JOIN st USING (supplier_id) LEFT JOIN tc USING (buyer_id, supplier_id))
+FROM pair_0 LEFT JOIN pair_b USING (buyer_id) LEFT JOIN pair_s USING (supplier_id) LEFT JOIN pair_tc USING (buyer_id, supplier_id))
 """
 
 
@@ -83,7 +83,7 @@ def _(d):
     return _pick(portraits.pair_portrait(d.tenders, 1), _PAIR)
 
 
-@query("agg_temporal_concentration", PAIR_SQL + "SELECT buyer_id, supplier_id, round(temporal_concentration, 6) AS temporal_concentration FROM tc WHERE temporal_concentration IS NOT NULL")
+@query("agg_temporal_concentration", PAIR_SQL + "SELECT buyer_id, supplier_id, round(temporal_concentration, 6) AS temporal_concentration FROM pair_tc WHERE temporal_concentration IS NOT NULL")
 def _(d):
     return rounded(portraits.award_gap_spread(d.tenders).where("temporal_concentration IS NOT NULL"), temporal_concentration=6)
 

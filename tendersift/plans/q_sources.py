@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from tendersift import schemas as S
 from tendersift.functions import expr as E
+from tendersift.plans.network_sql import NETWORKED
 from tendersift.plans.registry import Data, query, rounded
+from tendersift.plans.rules_sql import RULED
+from tendersift.plans.screens_sql import SCREENED
 from tendersift.sources import readers
 from tendersift.staging import stage_folder
 
@@ -351,17 +354,16 @@ def _(d):
     return out.select("bidder_1", "bidder_2", F.col("wins_1_over_2").alias("n12"), F.col("wins_2_over_1").alias("n21"))
 
 
-@query("join_outer_methods", """, a AS (SELECT tender_id, 1 AS rule_anomaly FROM tenders WHERE is_weekend = 1)
-, s AS (SELECT tender_id, 1 AS stat_anomaly FROM tenders WHERE tender_value % 1000 = 0)
-, n AS (SELECT tender_id, 1 AS network_anomaly FROM tenders WHERE buyer_id = 7)
-SELECT tender_id, coalesce(rule_anomaly, 0) AS rule_anomaly, coalesce(stat_anomaly, 0) AS stat_anomaly, coalesce(network_anomaly, 0) AS network_anomaly
-FROM a FULL OUTER JOIN s USING (tender_id) FULL OUTER JOIN n USING (tender_id)""")
+@query("join_outer_methods", RULED + SCREENED + NETWORKED + """, a AS (SELECT tender_id, rule_risk_score AS rule_score FROM ruled WHERE rule_risk_score >= 6)
+, s AS (SELECT tender_id, stat_score FROM screened WHERE stat_anomaly = 1), n AS (SELECT tender_id, network_score FROM networked WHERE network_anomaly = 1)
+SELECT tender_id, coalesce(rule_score, 0)::DOUBLE AS rule_score, (rule_score IS NOT NULL)::INT AS rule_anomaly, round(coalesce(stat_score, 0)::DOUBLE, 6) AS stat_score, (stat_score IS NOT NULL)::INT AS stat_anomaly,
+round(coalesce(network_score, 0)::DOUBLE, 6) AS network_score, (network_score IS NOT NULL)::INT AS network_anomaly FROM a FULL OUTER JOIN s USING (tender_id) FULL OUTER JOIN n USING (tender_id)""")
 def _(d):
     from tendersift.operators.ensemble import union_methods
-    t = d.tenders
-    parts = {"rule": t.where("is_weekend = 1"), "stat": t.where(E.divisible(F.col("tender_value"), 1000)), "network": t.where("buyer_id = 7")}
-    frames = {m: df.select("tender_id", F.lit(0.0).alias(f"{m}_score"), F.lit(1).alias(f"{m}_anomaly")) for m, df in parts.items()}
-    return union_methods(frames).select("tender_id", *[f"{m}_anomaly" for m in parts])
+    found = {"rule": d.ruled.where("rule_risk_score >= 6").withColumnRenamed("rule_risk_score", "rule_score"),
+             "stat": d.screened.where("stat_anomaly = 1"), "network": d.networked.where("network_anomaly = 1")}
+    frames = {m: df.select("tender_id", F.col(f"{m}_score").cast("double").alias(f"{m}_score"), F.lit(1).alias(f"{m}_anomaly")) for m, df in found.items()}
+    return rounded(union_methods(frames), stat_score=6, network_score=6)
 
 
 @query("join_report_names", """SELECT buyer_id, 'buyer ' || buyer_id AS buyer_name, supplier_id, 'supplier ' || supplier_id AS supplier_name, count(*) AS n

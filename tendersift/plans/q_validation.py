@@ -5,23 +5,59 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tendersift.operators import validation as V
+from tendersift.plans.ml_sql import BUYER_Z, PAIR_SQL, forest_sql, lof_sql, scaled_sql
 from tendersift.plans.network_sql import NETWORKED
+from tendersift.plans.q_ensemble import _models
 from tendersift.plans.registry import query, rounded
 from tendersift.plans.rules_sql import FLAGS, RULED
 from tendersift.plans.screens_sql import SCREENED
 
-# Scenario labels and the signals that count for each.
-RELEVANT = {
-    "3_weekend_price_manipulator": ("flag_weekend_publication", "flag_extreme_discount", "stat_zscore_discount", "stat_round_price"),
-    "4_contract_splitter": ("flag_contract_splitting", "flag_same_day_same_supplier", "flag_direct_awards_pattern", "network_monopolistic"),
-    "5_exclusive_high_value": ("flag_single_bidder_low_discount", "flag_buyer_supplier_dominance", "stat_zscore_value", "stat_high_concentration"),
-    "6_gradual_capture": ("flag_small_then_large", "flag_buyer_supplier_dominance", "network_rotation"),
+# Scenarios, and the rules, screens and network signs that count for each.
+RULES = {
+    "1a_cartel_naive": ("bid_rotation", "cobidding_same_winner", "close_to_winner", "identical_bids", "low_win_rate"),
+    "1b_cartel_sophisticated": ("bid_rotation", "cobidding_same_winner", "close_to_winner", "identical_bids", "low_win_rate"),
+    "2_monopolist_buyer": ("single_bidder", "buyer_supplier_dominance", "single_bidder_low_discount", "no_enquiries", "high_limited_usage"),
+    "3_weekend_price_manipulator": ("weekend_publication", "extreme_discount", "round_bid_prices"),
+    "4_contract_splitter": ("threshold_manipulation", "contract_splitting", "multiple_near_threshold", "direct_awards_pattern",
+                            "same_day_same_supplier", "high_limited_usage"),
+    "5_exclusive_high_value": ("single_bidder", "single_bidder_low_discount", "buyer_supplier_dominance", "high_market_share",
+                               "price_outlier", "value_zscore_outlier"),
+    "6_gradual_capture": ("single_bidder", "single_bidder_low_discount", "buyer_supplier_dominance", "no_enquiries", "high_limited_usage"),
 }
+SCREENS = {
+    "1a_cartel_naive": ("cv_anomaly", "bid_clustering", "bid_spread_anomaly", "ks_anomaly", "rdnor_anomaly", "skewness_anomaly",
+                        "kurtosis_anomaly", "diffp_anomaly"),
+    "1b_cartel_sophisticated": ("cv_anomaly", "bid_clustering", "bid_spread_anomaly", "ks_anomaly", "rdnor_anomaly", "skewness_anomaly",
+                                "kurtosis_anomaly", "diffp_anomaly"),
+    "2_monopolist_buyer": ("high_concentration", "monopoly"),
+    "3_weekend_price_manipulator": ("zscore_discount", "iqr_discount", "round_price", "very_round_price"),
+    "4_contract_splitter": ("high_concentration", "monopoly"),
+    "5_exclusive_high_value": ("zscore_value", "zscore_value_cpv", "iqr_value_cpv", "high_concentration", "monopoly"),
+    "6_gradual_capture": ("high_concentration", "monopoly"),
+}
+NETWORK = {
+    "1a_cartel_naive": ("network_rotation", "network_suspicious_supplier"),
+    "1b_cartel_sophisticated": ("network_rotation", "network_suspicious_supplier"),
+    "2_monopolist_buyer": ("network_monopolistic",),
+    "3_weekend_price_manipulator": (),
+    "4_contract_splitter": ("network_monopolistic",),
+    "5_exclusive_high_value": ("network_monopolistic",),
+    "6_gradual_capture": ("network_monopolistic",),
+}
+#: Levels at which the outlier models are expected to find a scenario.
+MODELS = {
+    "1a_cartel_naive": ("pair",), "1b_cartel_sophisticated": ("pair",), "2_monopolist_buyer": ("buyer", "pair"), "3_weekend_price_manipulator": (),
+    "4_contract_splitter": ("buyer", "pair"), "5_exclusive_high_value": ("buyer", "pair"), "6_gradual_capture": ("buyer", "pair"),
+}
+#: Given rows that look like a scenario; the first test that holds names a row.
 _TESTS = {
     "4_contract_splitter": "procurement_method = 'limited' AND tender_value >= 40000 AND tender_value < 50000",
     "3_weekend_price_manipulator": "is_weekend = 1 AND price_change_pct > 40",
     "5_exclusive_high_value": "tender_value >= 10000000",
-    "6_gradual_capture": "buyer_id = 7",
+    "2_monopolist_buyer": "supplier_id BETWEEN 900000 AND 900002",
+    "6_gradual_capture": "supplier_id = buyer_id + 200000",
+    "1a_cartel_naive": "number_of_tenderers >= 4 AND supplier_id = buyer_id * 2",
+    "1b_cartel_sophisticated": "number_of_tenderers >= 2 AND supplier_id = buyer_id * 2",
 }
 _CASE = "CASE " + " ".join(f"WHEN {t} THEN '{s}'" for s, t in _TESTS.items()) + " END"
 _LAB = f", lab AS (SELECT * FROM (SELECT *, {_CASE} AS scenario FROM tenders) WHERE scenario IS NOT NULL)"
@@ -65,14 +101,48 @@ def _(d):
     return V.fired_flags(d.ruled, _labelled(d), [c for c in d.ruled.columns if c.startswith("flag_")])
 
 
-_HIT = "CASE lab.scenario " + " ".join(f"WHEN '{s}' THEN greatest({', '.join(c)})" for s, c in RELEVANT.items()) + " END"
+_FAMILIES = {"rule": ("flag_", RULES, "ruled"), "stat": ("stat_", SCREENS, "screened"), "network": ("", NETWORK, "net_0")}
+
+
+def _share(family: str) -> str:
+    """Share of a scenario's rows with a relevant sign; null where none is expected."""
+    prefix, relevant, _ = _FAMILIES[family]
+    hit = " ".join(f"WHEN '{s}' THEN greatest({', '.join(prefix + n for n in names)})" for s, names in relevant.items() if names)
+    return f"round(avg(CASE scenario {hit} END) * 100, 1) AS {family}_pct"
+
+
+def _columns(family: str) -> list[str]:
+    prefix, relevant, _ = _FAMILIES[family]
+    return sorted({prefix + n for names in relevant.values() for n in names})
+
+
+_BY_BUYER = ", ".join(f"'{s}'" for s in ("1a_cartel_naive", "1b_cartel_sophisticated"))
+_FOUND = ", found AS (" + " UNION ALL ".join(
+    f"""SELECT scenario, '{algorithm}' AS algorithm, 'buyer' AS level, max(anomaly) AS hit FROM lab JOIN {table}_buyer USING (buyer_id) GROUP BY 1
+UNION ALL SELECT scenario, '{algorithm}', 'pair', max(p.anomaly) FROM lab JOIN {table}_pair p ON p.buyer_id = lab.buyer_id AND (scenario IN ({_BY_BUYER}) OR p.supplier_id = lab.supplier_id) GROUP BY 1"""
+    for algorithm, table in (("iforest", "if"), ("lof", "lof"))) + ")"
+
+
+def _model(algorithm: str) -> str:
+    """B:Y P:N where a model is expected to find the buyer and the pair, P:Y for the pair only, else null."""
+    def seen(level: str) -> str:
+        return (f"'{level[0].upper()}:' || CASE WHEN coalesce((SELECT max(hit) FROM found f WHERE f.scenario = p.scenario AND f.algorithm = '{algorithm}' "
+                f"AND f.level = '{level}'), 0) = 1 THEN 'Y' ELSE 'N' END")
+    cases = " ".join(f"WHEN '{s}' THEN {' || chr(32) || '.join(seen(x) for x in levels)}" for s, levels in MODELS.items() if levels)
+    return f"CASE scenario {cases} END AS {algorithm}"
+
+
+_PARTS = [*[f"{f}_pct" for f in _FAMILIES], "iforest", "lof"]
+_MODELS_SQL = BUYER_Z + lof_sql("buyer") + forest_sql("buyer") + PAIR_SQL + scaled_sql("pair") + lof_sql("pair") + forest_sql("pair")
 
 
-@query("val_detection_matrix", RULED + SCREENED + NETWORKED + _LAB + f"""SELECT lab.scenario, count(*) AS n, cast(sum({_HIT}) AS BIGINT) AS detected, round(avg({_HIT}) * 100, 6) AS detected_pct
-FROM (SELECT tender_id, scenario FROM lab) lab JOIN ruled USING (tender_id) JOIN (SELECT tender_id, stat_zscore_discount, stat_round_price, stat_zscore_value, stat_high_concentration FROM screened) USING (tender_id)
-JOIN net_0 USING (tender_id) GROUP BY 1""")
+@query("val_detection_matrix", RULED + SCREENED + NETWORKED + _MODELS_SQL + _LAB + _FOUND + f""", per AS (SELECT scenario, count(*) AS n, {', '.join(_share(f) for f in _FAMILIES)}
+FROM (SELECT tender_id, scenario FROM lab) lab """ + " ".join(f"JOIN (SELECT tender_id, {', '.join(_columns(f))} FROM {_FAMILIES[f][2]}) USING (tender_id)" for f in _FAMILIES) + f""" GROUP BY 1)
+, matrix AS (SELECT *, {_model('iforest')}, {_model('lof')} FROM per p)
+SELECT *, {' + '.join(f"coalesce(({c} > 0)::INT, 0)" for c in _PARTS[:3])} + coalesce((iforest LIKE '%Y%')::INT, 0) + coalesce((lof LIKE '%Y%')::INT, 0) AS detected,
+{' + '.join(f"({c} IS NOT NULL)::INT" for c in _PARTS)} AS expected FROM matrix""")
 def _(d):
-    names = sorted({n for group in RELEVANT.values() for n in group})
-    pick = lambda df: df.select("tender_id", *[n for n in names if n in df.columns])
-    signals = pick(d.ruled).join(pick(d.screened), "tender_id").join(pick(d.networked), "tender_id")
-    return rounded(V.detection_matrix(signals, _labelled(d), RELEVANT), detected_pct=6)
+    results = {"rule": d.ruled, "stat": d.screened, "network": d.networked}
+    signals = {f: (results[f], {s: [prefix + n for n in names] for s, names in relevant.items()}) for f, (prefix, relevant, _) in _FAMILIES.items()}
+    models = {key: df for key, df in _models(d).items() if key[0] != "supplier"}
+    return V.detection_matrix(_labelled(d), signals, models, MODELS, ("1a_cartel_naive", "1b_cartel_sophisticated"))

@@ -98,6 +98,12 @@ def query(name: str, sql: str | None = None, mapped: bool = True):
     return wrap
 
 
+def also(name: str, known: str) -> None:
+    """A second name of a registered query."""
+    QUERIES[name] = QUERIES[known]
+    ORACLES[name] = ORACLES[known]
+
+
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
     """Round the named columns so that two engines agree on the last digit."""
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})

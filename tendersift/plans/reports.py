@@ -232,36 +232,55 @@ def critical_export(ensemble: DataFrame, explanations: DataFrame, tenders: DataF
 
 # --- comparison of methods on sets of entities --------------------------------------------------------------
 
-def set_comparison(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Sizes of A only, B only and both, and their Jaccard index."""
-    marks = a.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(key, F.lit(0).alias("a"), F.lit(1).alias("b")))
-    per = marks.groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    both = F.sum(F.col("a") * F.col("b"))
-    return per.agg(
-        F.sum(F.col("a") * (1 - F.col("b"))).alias("a_only"), F.sum(F.col("b") * (1 - F.col("a"))).alias("b_only"),
-        both.alias("both"), F.coalesce(E.ratio(both, F.count("*")), F.lit(0.0)).alias("jaccard"))
-
-
-def method_counts(sets: dict[str, DataFrame], key: str) -> DataFrame:
-    """Number of methods that name each entity."""
+#: Bit of each method in a mask.
+BITS = {"iforest": 1, "lof": 2, "network": 4}
+
+
+def method_masks(named: dict[tuple[str, str], DataFrame], keys: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(level, entity, mask, methods) of all entities that some method names, one union and one aggregate for all levels."""
     union = None
-    for name, df in sets.items():
-        part = df.select(F.col(key).cast("string").alias("entity"), F.lit(name).alias("method")).distinct()
+    for (level, method), df in named.items():
+        part = df.select(F.lit(level).alias("level"), F.lit(BITS[method]).alias("bit"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys[level]]).alias("entity"))
         union = part if union is None else union.unionByName(part)
-    return union.groupBy("entity").agg(F.count("*").alias("methods"), F.array_join(F.array_sort(F.collect_set("method")), ",").alias("named_by"))
-
-
-def cross_method(level: str, sets: dict[str, DataFrame], key: str) -> DataFrame:
-    """Sizes per method, pair overlaps and full agreement at one entity level, as (level, metric, value) rows."""
-    names = list(sets)
-    counts = method_counts(sets, key)
-    has = {n: F.array_contains(F.split("named_by", ","), n) for n in names}
-    entries = [(n, has[n]) for n in names]
-    entries += [(f"{a}&{b}", has[a] & has[b]) for i, a in enumerate(names) for b in names[i + 1:]]
-    entries += [("two_or_more", F.col("methods") >= 2), ("all", F.col("methods") == len(names))]
-    cells = [F.struct(F.lit(level).alias("level"), F.lit(n).alias("metric"),
-                      F.coalesce(F.sum(E.flag(t)), F.lit(0)).cast("long").alias("value")) for n, t in entries]
-    return counts.agg(F.array(*cells).alias("m")).select(F.inline("m"))
+    masks = union.groupBy("level", "entity").agg(F.bit_or("bit").alias("mask"))
+    return masks.withColumn("methods", F.bit_count("mask").cast("long"))
+
+
+def _levels(marked: DataFrame) -> DataFrame:
+    return marked.sparkSession.createDataFrame([("buyer",), ("supplier",), ("pair",)], "level string")
+
+
+def algorithm_sets(marked: DataFrame) -> DataFrame:
+    """Per level the entities that only the forest, only LOF or both name, and their Jaccard index."""
+    both = F.col("mask").bitwiseAND(3)
+    n = lambda test: F.coalesce(F.sum(E.flag(test)), F.lit(0)).cast("long")
+    per = _levels(marked).join(marked, "level", "left").groupBy("level").agg(
+        n(both == 1).alias("iforest_only"), n(both == 2).alias("lof_only"), n(both == 3).alias("both"), n(both > 0).alias("any"))
+    return per.select("level", "iforest_only", "lof_only", "both", F.coalesce(E.ratio(F.col("both"), F.col("any")), F.lit(0.0)).alias("jaccard"))
+
+
+def cross_method(marked: DataFrame) -> DataFrame:
+    """Fifteen rows (level, metric, value): entities named by each method, by two or more, by all three."""
+    tests = {m: F.col("mask").bitwiseAND(bit) > 0 for m, bit in BITS.items()} | {"two_or_more": F.col("methods") >= 2, "all_three": F.col("methods") == 3}
+    cells = [F.struct(F.lit(m).alias("metric"), F.coalesce(F.sum(E.flag(t)), F.lit(0)).cast("long").alias("value")) for m, t in tests.items()]
+    return _levels(marked).join(marked, "level", "left").groupBy("level").agg(F.array(*cells).alias("m")).select("level", F.inline("m"))
+
+
+def high_consensus(marked: DataFrame, buyers: DataFrame, suppliers: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Entities that two or more methods name, with names and value, the most agreed and valuable first."""
+    text = lambda *c: F.concat_ws("|", *[F.col(x).cast("string") for x in c]).alias("entity")
+    values = (buyers.select(F.lit("buyer").alias("level"), text("buyer_id"), "total_value")
+              .unionByName(suppliers.select(F.lit("supplier").alias("level"), text("supplier_id"), "total_value"))
+              .unionByName(pairs.select(F.lit("pair").alias("level"), text("buyer_id", "supplier_id"), "total_value")))
+    ends = F.split("entity", r"\|")
+    some = marked.where("methods >= 2").select(
+        "*", F.when(F.col("level") != "supplier", ends[0]).alias("b"), F.when(F.col("level") != "buyer", F.element_at(ends, -1)).alias("s"),
+        F.concat_ws(",", *[F.when(F.col("mask").bitwiseAND(bit) > 0, F.lit(m)) for m, bit in BITS.items()]).alias("named_by"))
+    return (some.join(values, ["level", "entity"], "left")
+            .join(buyers.select(F.col("buyer_id").cast("string").alias("b"), "buyer_name"), "b", "left")
+            .join(suppliers.select(F.col("supplier_id").cast("string").alias("s"), "supplier_name"), "s", "left")
+            .select("level", "entity", "methods", "named_by", "total_value", "buyer_name", "supplier_name")
+            .orderBy("level", F.desc("methods"), F.desc("total_value"), "entity"))
 
 
 def algorithm_table(results: dict[tuple[str, str], DataFrame]) -> DataFrame:
