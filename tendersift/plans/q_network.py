@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tendersift.operators import communities as C, edges as N, graph, network
 from tendersift.plans.network_sql import COLLUSION, EDGES, METRICS, NETWORKED, metrics
-from tendersift.plans.registry import query, rounded
+from tendersift.plans.registry import exact_round, exact_round_sql, query, rounded
 
 
 @query("net_competitive", "SELECT b.bid_id FROM bids b JOIN tenders t USING (tender_id) WHERE procurement_method IN ('open', 'selective') AND number_of_tenderers >= 2")
@@ -75,9 +75,9 @@ def _(d):
     return graph.directed_rings(d.winlose)
 
 
-@query("net_buyer_supplier_edges", EDGES + "SELECT buyer_id, supplier_id, contract_count AS weight, round(total_value + 0.00000033, 3) AS value FROM contracts")
+@query("net_buyer_supplier_edges", EDGES + "SELECT buyer_id, supplier_id, contract_count AS weight, " + exact_round_sql("total_value", 3, "value") + " FROM contracts")
 def _(d):
-    return rounded(N.buyer_supplier_edges(d.tenders, 3).withColumn("value", F.col("value") + 0.00000033), value=3)
+    return N.buyer_supplier_edges(d.tenders, 3).withColumn("value", exact_round("value", 3))
 
 
 @query("net_monopolistic_pairs", EDGES + "SELECT buyer_id, supplier_id, contract_count, round(total_value, 2) AS total_value, total_contracts, round(dominance_ratio, 6) AS dominance_ratio FROM mono")
@@ -111,9 +111,9 @@ def _collusion_communities(d):
     return d.staged("collusion_communities", lambda: C.communities(_collusion(d)))
 
 
-@query("net_collusion_edges", COLLUSION + "SELECT src, dst, edge_type, weight, cobid_weight, winlose_weight, round(value + 0.00000033, 3) AS value FROM collusion")
+@query("net_collusion_edges", COLLUSION + "SELECT src, dst, edge_type, weight, cobid_weight, winlose_weight, " + exact_round_sql("value", 3) + " FROM collusion")
 def _(d):
-    return rounded(_collusion(d).withColumn("value", F.col("value") + 0.00000033), value=3)
+    return _collusion(d).withColumn("value", exact_round("value", 3))
 
 
 @query("net_collusion_communities")

@@ -8,7 +8,7 @@ from tendersift.functions import expr as E
 from tendersift.operators import ensemble, portraits
 from tendersift.operators.bidstats import tender_bid_stats
 from tendersift.operators.quantiles import exact_quantiles
-from tendersift.plans.registry import query, rounded
+from tendersift.plans.registry import exact_round, exact_round_sql, query, rounded
 
 _DAYS = "cast(trunc((epoch(award_date) - epoch(published_date)) / 86400) AS BIGINT)"
 _HHI = """, cpc AS (SELECT buyer_id, main_cpv_2_digit, count(*) AS c FROM tenders WHERE main_cpv_2_digit IS NOT NULL GROUP BY 1, 2)
@@ -38,18 +38,16 @@ FROM pair_0 LEFT JOIN pair_b USING (buyer_id) LEFT JOIN pair_s USING (supplier_i
 """
 
 
-def _nudge(column: str) -> float:
-    """Moves means of money off the ties of the rounding, where the order of a sum decides the last digit."""
-    return 0.00000033 if column.startswith("avg_") and column.endswith("value") else 0.0
+def _money(column: str) -> bool:
+    return column.endswith("value")
 
 
 def _sql_round(columns: dict[str, int | None]) -> str:
-    return ", ".join(c if n is None else f"round({c} + {_nudge(c)}, {n}) AS {c}" for c, n in columns.items())
+    return ", ".join(c if n is None else exact_round_sql(c, n) if _money(c) else f"round({c}, {n}) AS {c}" for c, n in columns.items())
 
 
 def _pick(df, columns):
-    moved = [F.col(c) if n is None else (F.col(c) + F.lit(_nudge(c))).alias(c) for c, n in columns.items()]
-    return rounded(df.select(*moved), **{c: n for c, n in columns.items() if n is not None})
+    return df.select(*[F.col(c) if n is None else exact_round(c, n) if _money(c) else F.round(c, n).alias(c) for c, n in columns.items()])
 
 
 _BUYER = {
@@ -115,14 +113,15 @@ def _(d):
     return rounded(portraits.pair_stats(d.tenders), pair_value=2)
 
 
-@query("agg_bid_stats", """SELECT tender_id, count(bid_amount) AS bid_count, round(min(bid_amount), 6) AS bid_min, round(max(bid_amount), 6) AS bid_max,
-round(avg(bid_amount) + 0.00000003, 6) AS bid_mean, round(stddev_samp(bid_amount) + 0.00000003, 6) AS bid_std, round(stddev_samp(bid_amount) / nullif(avg(bid_amount), 0), 6) AS bid_cv,
-round(max(bid_amount) / nullif(min(bid_amount), 0), 6) AS bid_spread FROM bids GROUP BY 1""")
+_BID = {"bid_min": 6, "bid_max": 6, "bid_mean": 6, "bid_std": 6, "bid_cv": 6, "bid_spread": 6}
+
+
+@query("agg_bid_stats", """, bs AS (SELECT tender_id, count(bid_amount) AS bid_count, min(bid_amount) AS bid_min, max(bid_amount) AS bid_max,
+avg(bid_amount) AS bid_mean, stddev_samp(bid_amount) AS bid_std, stddev_samp(bid_amount) / nullif(avg(bid_amount), 0) AS bid_cv,
+max(bid_amount) / nullif(min(bid_amount), 0) AS bid_spread FROM bids GROUP BY 1)
+SELECT tender_id, bid_count, """ + ", ".join(exact_round_sql(c, n) for c, n in _BID.items()) + " FROM bs")
 def _(d):
-    # Mean and deviation are moved off exact rounding ties.
-    stats = tender_bid_stats(d.bids).withColumns({c: F.col(c) + 0.00000003 for c in ("bid_mean", "bid_std")})
-    out = stats.select("tender_id", "bid_count", "bid_min", "bid_max", "bid_mean", "bid_std", "bid_cv", "bid_spread")
-    return rounded(out, bid_min=6, bid_max=6, bid_mean=6, bid_std=6, bid_cv=6, bid_spread=6)
+    return tender_bid_stats(d.bids).select("tender_id", "bid_count", *[exact_round(c, n) for c, n in _BID.items()])
 
 
 @query("agg_buyer_hhi", """, v AS (SELECT buyer_id, supplier_id, sum(tender_value) AS v FROM tenders WHERE supplier_id IS NOT NULL GROUP BY 1, 2)

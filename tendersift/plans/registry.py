@@ -107,3 +107,12 @@ def also(name: str, known: str) -> None:
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
     """Round the named columns so that two engines agree on the last digit."""
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+def exact_round(column: str, digits: int):
+    """Round half up on three more decimals, so that the last bits of a sum cannot decide a tie; ``exact_round_sql`` is its SQL."""
+    return F.round(F.col(column).cast(f"decimal(30,{digits + 3})"), digits).cast("double").alias(column)
+
+
+def exact_round_sql(column: str, digits: int, name: str | None = None) -> str:
+    return f"round(CAST({column} AS DECIMAL(30, {digits + 3})), {digits})::DOUBLE AS {name or column}"
