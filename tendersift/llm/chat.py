@@ -7,7 +7,8 @@ that are trained on (what the perspective says and its end mark; null elsewhere)
 
 Defined cases: ``system`` is no participant and stays ``system``; a null role is a speaker called ``unknown``; a
 null text is empty; rows that repeat in all four columns count once; turns go by number (null first), then role,
-then text; a null conv_id is one conversation. ``<|`` in a text or a role becomes ``< |``, so no text can forge a mark. An
+then text; a null conv_id is one conversation. ``<|`` in a text or a role becomes ``< |``, and in a name %, blanks, tabs, line
+ends and = are written as %25, %20, %09, %0A, %0D and %3D, so neither can forge a mark or a header. An
 empty table gives no rows; a conversation of system turns only gives none.
 
 A conversation may hold most of the rows, so none is gathered: participants are distinct (conv_id, role) pairs,
@@ -28,6 +29,16 @@ def _safe(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
+#: What a name may not hold, and how it is written there.
+ESCAPED = {"%": "%25", " ": "%20", "\t": "%09", "\n": "%0A", "\r": "%0D", "=": "%3D", "<|": "%3C%7C"}
+
+
+def _name(speaker: Column) -> Column:
+    for found, written in ESCAPED.items():
+        speaker = F.replace(speaker, F.lit(found), F.lit(written))
+    return speaker
+
+
 def rotate(turns: DataFrame) -> DataFrame:
     prepare(turns.sparkSession)
     said = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"),
@@ -36,7 +47,7 @@ def rotate(turns: DataFrame) -> DataFrame:
               .where("perspective <> 'system'").distinct())
     own = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker") == "system", "system").when(own, "assistant").otherwise("user")
-    name = F.when(F.col("role") == "user", _safe(F.col("speaker")))
+    name = F.when(F.col("role") == "user", _name(F.col("speaker")))
     rows = (said.join(people, said.conv_id.eqNullSafe(people.conv))
             .withColumn("role", role).withColumn("name", name)
             .withColumn("head", F.concat(F.lit(OPEN), "role", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("\n")))
@@ -79,12 +90,15 @@ def op8_chat(spark, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
+_NAME_SQL = "speaker"
+for _found, _written in ESCAPED.items():
+    _NAME_SQL = f"replace({_NAME_SQL}, {' || '.join(f'chr({ord(c)})' for c in _found)}, '{_written}')"
 OP8_SQL = f"""
 WITH said AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said FROM conversations),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
 r0 AS (SELECT s.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
-r1 AS (SELECT *, CASE WHEN role = 'user' THEN replace(speaker, '<|', '< |') END AS name FROM r0),
+r1 AS (SELECT *, CASE WHEN role = 'user' THEN {_NAME_SQL} END AS name FROM r0),
 r2 AS (SELECT *, '{OPEN}' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM r1),
 r3 AS (SELECT *, head || replace(said, '<|', '< |') || '{CLOSE}' || chr(10) AS segment FROM r2),
 r4 AS (SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, said

@@ -37,14 +37,13 @@ def collapse(docs: DataFrame, describe: Describe, lower: bool = False, extra: Ca
 
     info = staged(in_arrays(given, tell, "id bigint, k1 bigint, k2 bigint, n bigint" + (", extra string" if extra else "")))
     nodes = staged(info.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
-    joined = given.join(nodes, "id").select("node", "id", "n", "text", "k1", "k2")
     if info.groupBy("id").count().where("count > 1").isEmpty():
-        return info, nodes, staged(joined.drop("k1", "k2"))
+        return info, nodes, staged(given.join(nodes, "id").select("node", "id", "n", "text"))
 
-    def same(batch: pa.RecordBatch):
-        # Rows share an id and may differ in text: only the text of the class stays.
-        k1, k2, _ = described(batch.column(3), describe, lower)
-        keep = pa.array((k1 == batch.column(4).to_numpy()) & (k2 == batch.column(5).to_numpy()))
-        yield [c.filter(keep) for c in batch.columns[:4]]
+    def name(batch: pa.RecordBatch):
+        yield [batch.column(0), *described(batch.column(1), describe, lower), batch.column(1)]
 
-    return info, nodes, staged(in_arrays(joined, same, "node bigint, id bigint, n bigint, text string"))
+    # Rows share an id (or have none) and may differ in text, so they are joined on what names their text as well.
+    named = in_arrays(given, name, "id bigint, k1 bigint, k2 bigint, n bigint, text string")
+    one = named.join(nodes, ["id", "k1", "k2", "n"]).groupBy("node").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("text").alias("text"))
+    return info, nodes, staged(one)

@@ -5,10 +5,11 @@ point, and two sets share at most the sum of the coordinate minima of their poin
 largest coordinates, so a tree of boxes finds the pairs that may reach the threshold; these are verified on the sets.
 
 A tree over a whole corpus would compare each point with most boxes, because unrelated long texts have similar counts.
-Trees are therefore built per route. Shingles are ordered the same way for all documents: those found in at
-least one of 4096 documents last, by frequency, all others by hash. Two sets that reach the threshold t have one of
-the first n - ceil(t n) + 1 shingles of each in common (otherwise too few are left to share), so documents meet under each
-of these. Routes with one document end at once.
+Trees are therefore built per route. Shingles are ordered the same way for all documents: the ``FREQUENT`` most frequent ones
+last, by frequency, all others by hash. A set of n shingles that reaches the threshold t with another shares one of its
+first n - ceil(t n) + 1 with it, and one of its first n - ceil(2 t n / (1 + t)) + 1 if the other is not smaller (otherwise too
+few are left to share). So documents meet under their first shingles, a larger one only with a smaller one's shorter list.
+Routes with one document end at once.
 
 Equal sets are one point. On each route first only neighbours by size are verified, which joins groups of near copies in
 linear work. Then the trees are asked for pairs of documents that are not yet in one component: first for a forest, the
@@ -31,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tendersift.llm.collapse import NO_ID, collapse
-from tendersift.llm.common import arrow_schema, in_arrays, in_batches, mix, parts, prepare, staged, table
+from tendersift.llm.common import arrow_schema, forget, in_arrays, in_batches, mix, parts, prepare, staged, table, unused
 from tendersift.llm.hashing import Words, words_of
 from tendersift.operators.graph import components
 
-GROUPS, FINE, TILE, LEAF, FREQUENT = 64, 512, 1024, 16, 4096
+GROUPS, FINE, TILE, LEAF, FREQUENT, OF_TASK = 64, 512, 1024, 16, 1 << 20, 1 << 16
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -69,8 +70,8 @@ def group_counts(text: np.ndarray, sh: np.ndarray, texts: int, groups: int = GRO
     return np.bincount(place, minlength=texts * groups).astype(np.int32).reshape(texts, groups)
 
 
-def routes(text: np.ndarray, sh: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text and shingle of the first shingles of each text in the common order.
+def routes(text: np.ndarray, sh: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and shingle of the first shingles of each text in the common order, and whether larger sets are met under it.
 
     ``frequent`` is sorted; ``rank`` is its order by frequency.
     """
@@ -83,8 +84,11 @@ def routes(text: np.ndarray, sh: np.ndarray, percent: int, frequent: np.ndarray,
     # The groups use the high bits of the hash itself, so the order is that of a scrambled one.
     sorted_ = np.lexsort((mix(sh), order, text))
     count = number - -(-percent * number // 100) + 1
-    keep = sorted_[np.arange(len(sh)) - begin[text] < count[text]]
-    return text[keep], sh[keep]
+    few = number - -(-2 * percent * number // (100 + percent)) + 1
+    place = np.arange(len(sh)) - begin[text]
+    first = place < count[text]
+    keep = sorted_[first]
+    return text[keep], sh[keep], (place < few[text])[first]
 
 
 class Tree:
@@ -141,17 +145,16 @@ def tree_pairs(s: Tree, t: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of at least one of ``FREQUENT`` documents and their order by frequency.
+    """At most the ``FREQUENT`` most frequent shingles and their order by frequency, by ids sorted.
 
-    Such a shingle is as frequent in at least one task, so tasks send only what is frequent among their own documents.
-    The result has at most FREQUENT times the mean set size entries, whatever the number of documents.
+    Any order would be right, a good one has few documents meet: a task sends the ``OF_TASK`` most frequent shingles of its own
+    documents, and the sums decide. All shingles of a count are in the list, or none.
     """
-    total = texts.count()
     schema = "shingle bigint, docs bigint"
     arrow = arrow_schema(schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, values, counts = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         found: list[np.ndarray] = []
 
         def merge() -> tuple[np.ndarray, np.ndarray]:
@@ -163,17 +166,27 @@ def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             for words in words_of(batch.column(0), True):
                 found.append(words.shingles(size)[1])
-                docs += words.texts
             if sum(map(len, found)) > max(len(values), 1 << 20):
                 values, counts = merge()
                 found = []
         values, counts = merge()
-        # Among few documents a single one would be frequent; it is not worth a place in the order.
-        keep = (counts * FREQUENT >= docs) & (counts > 1)
+        # What a task has met once is not worth a place in the order.
+        least = max(2, int(np.partition(counts, -OF_TASK)[-OF_TASK]) if len(counts) > OF_TASK else 0)
+        keep = np.flatnonzero(counts >= least)
+        keep = keep[np.argsort(-counts[keep], kind="stable")[:OF_TASK]]
         yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], schema=arrow)
 
-    rows = (texts.select("text").mapInArrow(count, schema).groupBy("shingle").agg(F.sum("docs").alias("docs"))
-            .where(F.col("docs") * FREQUENT >= total).toPandas())
+    sums = staged(texts.select("text").mapInArrow(count, schema).groupBy("shingle").agg(F.sum("docs").alias("docs")))
+    # Lengths of the list by its least count: one row for each power of two.
+    sizes = sums.groupBy(F.floor(F.log2("docs")).alias("bits")).count().orderBy(F.desc("bits")).collect()
+    held, least = 0, 1 << 62
+    for r in sizes:
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = 1 << r["bits"]
+    rows = sums.where(F.col("docs") >= least).toPandas()
+    forget(sums)
     values = rows["shingle"].to_numpy(np.int64).view(np.uint64)
     docs = rows["docs"].to_numpy(np.int64)
     order = np.lexsort((values, docs))
@@ -215,8 +228,10 @@ def _verify(pairs: DataFrame, points: DataFrame, texts: DataFrame, size: int, pe
 
     sets = staged(in_arrays(texts.join(some, "node", "left_semi").select("node", "text"), pack, "node bigint, sh binary").dropDuplicates(["node"]))
     left, right = ends(sets, "sh")
-    return staged(in_batches(near.join(left, "src").join(right, "dst").select("src", "dst", "sh_src", "sh_dst"), check,
-                             "src bigint, dst bigint").distinct())
+    found = staged(in_batches(near.join(left, "src").join(right, "dst").select("src", "dst", "sh_src", "sh_dst"), check,
+                              "src bigint, dst bigint").distinct())
+    forget(near, sets)
+    return found
 
 
 def pairs_within(grp: np.ndarray, side: np.ndarray, own: np.ndarray, n: np.ndarray, points: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -328,12 +343,16 @@ def links(texts: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
         for words in words_of(batch.column(1), True):
             text, sh = words.shingles(size)
             number = np.bincount(text, minlength=words.texts)
-            text, sh = routes(text, sh, percent, *order.value)
-            yield [sh.view(np.int64), node[words.first + text], number[text]]
+            text, sh, few = routes(text, sh, percent, *order.value)
+            yield [sh.view(np.int64), node[words.first + text], np.where(few, number[text], -number[text])]
 
-    routed = in_arrays(texts.select("node", "text"), route, "key bigint, node bigint, n bigint").withColumn("n", F.col("n").cast("int"))
-    busy = routed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-    shared = staged(routed.join(busy.select("key", "m"), "key"))
+    # A negative size marks a row under which only smaller sets are met.
+    routed = staged(in_arrays(texts.select("node", "text"), route, "key bigint, node bigint, n bigint").withColumn("n", F.col("n").cast("int")))
+    least = F.min(F.when(F.col("n") > 0, F.col("n")))
+    busy = (routed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b"), least.alias("least"))
+            .where("a < b AND least IS NOT NULL").select("key", "m", "least"))
+    shared = staged(routed.join(busy, "key").where((F.col("n") > 0) | (-F.col("n") >= F.col("least"))).select("key", "node", F.abs("n").alias("n"), "m"))
+    forget(routed)
 
     def pack(batch: pa.RecordBatch):
         for words in words_of(batch.column(1), True):
@@ -356,6 +375,7 @@ def links(texts: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     for forest in (True, False):
         rows = _open_routes(shared, components(found)).join(points.select("node", "fine"), "node")
         found = staged(found.unionByName(_verify(_tree_candidates(rows, percent, forest), points, texts, size, percent)))
+    forget(shared, points)
     return found
 
 
@@ -421,8 +441,9 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Rows without an id are all kept.
     """
     found = near_duplicates(docs, size, percent).where("doc_id = component_id").select("doc_id").distinct()
+    place, = unused(docs, "_place")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.join(found, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    kept = docs.join(found, "doc_id", "left_semi").withColumn(place, first).where(F.col(place) == 1).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 
 

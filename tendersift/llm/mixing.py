@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tendersift.llm.common import WORD, prepare, staged, table, word_count
+from tendersift.llm.common import WORD, prepare, staged, table, unused, word_count
 
 WEIGHTS, SHARE, LIMIT, CLASSES, SEED = (3, 1, 2), 1.5, 2, 1024, "mix"
 
@@ -121,11 +121,12 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
 
 def materialise(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken. Rows alike in id, source and size share one decision."""
-    mixed = mix_sources(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-    mixed = mixed.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
-    rows = docs.withColumn("_n", word_count(F.col("text")))
-    rows = rows.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    n, id_, source, size, copies, copy = unused(docs, "_n", "_id", "_source", "_size", "_copies", "_copy")
+    mixed = mix_sources(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    mixed = mixed.withColumnsRenamed({"doc_id": id_, "source": source, "size": size})
+    rows = docs.withColumn(n, word_count(F.col("text")))
+    rows = rows.join(mixed, F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(n) == F.col(size)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ the same wherever the window occurs. The first two symbols (or the only one) of
 the window's anchor.
 
 1. Anchors are counted over the corpus in Spark; anchors found once end the matter for their windows.
-2. Windows with a shared anchor are compared by 32 bits of the anchor and 64 of a hash of the window, which do not depend
-   on each other: a pair of different windows is taken for equal with a chance of 2^-96. The first occurrence of each, by id and start, stays; all words of later ones are removed.
+2. Windows with a shared anchor are compared by the 64 bits of the anchor and 64 of a hash of the window, both of the 64-bit hashes of
+   their words: different windows are taken for equal only if words share a hash or both hashes meet (2^-64, 2^-128). The first occurrence of each, by id and start, stays; all words of later ones are removed.
 
 Documents with equal word sequences are worked on once; their later copies are removed whole.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tendersift.llm.collapse import NO_ID, collapse, described
-from tendersift.llm.common import append, in_arrays, in_batches, mix, parts, prepare, split_words, staged, table
+from tendersift.llm.common import append, forget, in_arrays, in_batches, mix, parts, prepare, split_words, staged, table, unused
 from tendersift.llm.hashing import SECOND, Words, slices, sums, words_of
 
 WINDOW, ROUNDS = 20, 4
@@ -94,8 +94,10 @@ def _ordered(nodes: DataFrame) -> DataFrame:
     before = totals.select("part", F.coalesce(F.sum("words").over(
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("part").orderBy("id", "k1").rowsBetween(Window.unboundedPreceding, -1)
-    return staged(ranged.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(before, "part")
-                  .select("node", (F.col("own") + F.col("offset")).alias("base")))
+    based = staged(ranged.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(before, "part")
+                   .select("node", (F.col("own") + F.col("offset")).alias("base")))
+    forget(ranged)
+    return based
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -141,17 +143,19 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
             hit = np.flatnonzero(np.concatenate(hit))
             at, text = at[hit], text[hit]
             content = slices(sums(words.hashes, SECOND), SECOND, at, at + window)
-            yield [names[hit].astype(np.uint32).view(np.int32), content.view(np.int64), base[words.first + text], at - words.bounds[text]]
+            yield [names[hit].view(np.int64), content.view(np.int64), base[words.first + text], at - words.bounds[text]]
 
     order = _ordered(nodes)
     rows = in_arrays(long.join(hits, "node").join(order, "node").select("base", "text", "anchors"), compare,
-                     "anchor int, content bigint, base bigint, start bigint").withColumn("start", F.col("start").cast("int"))
+                     "anchor bigint, content bigint, base bigint, start bigint").withColumn("start", F.col("start").cast("int"))
     windows = staged(rows)
+    forget(shared, hits)
     place = F.col("base") + F.col("start")
     first = staged(windows.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"))
     later = (windows.join(first, ["anchor", "content"]).where(place > F.col("first"))
              .groupBy("base").agg(F.collect_set("start").alias("starts")))
     later = staged(later.join(order, "base").select("node", "starts"))
+    forget(windows, first, order)
     return info, nodes, texts, later
 
 
@@ -203,18 +207,19 @@ def rewrite(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Documents of which nothing is left go; texts without words are left alone. ``n_chars`` follows the text.
     """
     _, classes = _cuts(docs, window, True)
+    k1, k2, n, first, removed, kept = unused(docs, "_k1", "_k2", "_n", "_first", "_removed", "_kept")
 
     def key(texts: list) -> dict[str, list]:
-        return dict(zip(("_k1", "_k2", "_n"), described(pa.array(texts, pa.large_string()), Words.wholes, False)))
-
-    rows = append(docs, key, "_k1 bigint, _k2 bigint, _n bigint").join(
-        classes.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "first_id", "removed", "kept").withColumnsRenamed(
-            {"first_id": "_first", "removed": "_removed", "kept": "_kept"}), ["_k1", "_k2"], "left")
-    gone = F.coalesce((F.col("_n") >= window) & (F.coalesce("doc_id", F.lit(NO_ID)) > F.col("_first")), F.lit(False)) | \
-        F.coalesce((F.col("_n") > 0) & (F.col("_removed") == F.col("_n")), F.lit(False))
-    rows = rows.where(~gone).withColumn("text", F.coalesce("_kept", "text"))
+        return dict(zip((k1, k2, n), described(pa.array(texts, pa.large_string()), Words.wholes, False)))
+
+    found = classes.select("k1", "k2", "first_id", "removed", "kept").withColumnsRenamed(
+        {"k1": k1, "k2": k2, "first_id": first, "removed": removed, "kept": kept})
+    rows = append(docs, key, f"{k1} bigint, {k2} bigint, {n} bigint").join(found, [k1, k2], "left")
+    gone = F.coalesce((F.col(n) >= window) & (F.coalesce("doc_id", F.lit(NO_ID)) > F.col(first)), F.lit(False)) | \
+        F.coalesce((F.col(n) > 0) & (F.col(removed) == F.col(n)), F.lit(False))
+    rows = rows.where(~gone).withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+        rows = rows.withColumn("n_chars", F.when(F.col(kept).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast("long"))
     return rows.select(*docs.columns)
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -64,6 +65,17 @@ def encode(text: str, files: tuple[str, str]) -> list[int]:
 def spans(text: str, files: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
     """First and one-past-last character of every token of the text as it stands."""
     encoding, length = _encoder(files[1])
+    _, special = _tokenizer(files[0])
+    if any(s in text for s in special):
+        # A special token is one token; what stands between two of them is encoded by itself.
+        parts, at = [], 0
+        for piece in re.split(f"({'|'.join(re.escape(s) for s in sorted(special, key=len, reverse=True))})", text):
+            if piece in special:
+                parts.append((np.array([at]), np.array([at + len(piece)])))
+            elif piece:
+                parts.append(tuple(x + at for x in spans(piece, files)))
+            at += len(piece)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     ids = np.array(encoding.encode_ordinary(text), np.int64)
     data = np.frombuffer(text.encode("utf-8"), np.uint8)
     char = np.cumsum((data & 0xC0) != 0x80) - 1
