@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tendersift.functions import expr as E
 
@@ -31,9 +31,9 @@ def bidder_pairs(bids: DataFrame, min_co_bids: int = 3) -> DataFrame:
     if min_co_bids > 1:
         active = seen.groupBy("bidder_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_co_bids)
         seen = seen.join(active, "bidder_id", "left_semi")
-    size = F.count("*").over(Window.partitionBy("tender_id"))
+    sizes = seen.groupBy("tender_id").agg(F.count("*").alias("n")).where(F.col("n") >= 2)
     groups = F.ceil(F.col("n") / CELL).cast("int")
-    sized = seen.withColumn("n", size).where(F.col("n") >= 2).select(
+    sized = seen.join(sizes, "tender_id").select(
         "tender_id", "bidder_id", groups.alias("g"),
         F.pmod(F.xxhash64("bidder_id"), groups).cast("int").alias("h"))
     every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))

@@ -52,3 +52,26 @@ COLLUSION = EDGES + """
    CASE WHEN first = 1 THEN cw END AS cobid_weight,
    CASE WHEN first <= 2 THEN coalesce(b, f) WHEN nwl = 2 THEN b END AS winlose_weight, value FROM col)
 """
+
+
+def _betweenness(doublings: int = 5, steps: int = 24) -> str:
+    """Shortest distances by squaring, numbers of paths step by step, then all triples."""
+    out = METRICS + """, arc AS (SELECT src, dst, weight::DOUBLE AS w FROM cobid UNION ALL SELECT dst, src, weight FROM cobid)
+, d0 AS MATERIALIZED (SELECT src AS s, dst AS t, w AS d FROM arc UNION ALL SELECT DISTINCT src, src, 0 FROM arc)
+"""
+    for i in range(doublings):
+        out += f", d{i + 1} AS MATERIALIZED (SELECT a.s, b.t, min(a.d + b.d) AS d FROM d{i} a JOIN d{i} b ON a.t = b.s GROUP BY 1, 2)\n"
+    far = f"d{doublings}"
+    out += f""", tight AS MATERIALIZED (SELECT x.s, arc.src AS u, arc.dst AS v FROM {far} x JOIN arc ON x.t = arc.src JOIN {far} y ON y.s = x.s AND y.t = arc.dst AND y.d = x.d + w)
+, g0 AS (SELECT DISTINCT src AS s, src AS v, 1::DOUBLE AS c FROM arc)
+"""
+    for i in range(steps):
+        out += f", g{i + 1} AS MATERIALIZED (SELECT tight.s, tight.v, sum(c) AS c FROM g{i} JOIN tight ON tight.s = g{i}.s AND tight.u = g{i}.v GROUP BY 1, 2)\n"
+    every = " UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(steps + 1))
+    return out + f""", sigma AS MATERIALIZED (SELECT p.s, p.v, c, d FROM (SELECT s, v, sum(c) AS c FROM ({every}) GROUP BY 1, 2) p JOIN {far} f ON f.s = p.s AND f.t = p.v)
+, owed AS (SELECT a.v AS node, sum(a.c * b.c / e.c) AS x FROM sigma a JOIN sigma b ON b.s = a.v AND b.v <> a.v AND a.s <> a.v JOIN sigma e ON e.s = a.s AND e.v = b.v AND e.d = a.d + b.d AND a.s <> b.v GROUP BY 1)
+, between AS (SELECT metrics.node, coalesce(x, 0) / ((SELECT count(*) FROM metrics) - 1) / nullif((SELECT count(*) FROM metrics) - 2, 0) AS betweenness FROM metrics LEFT JOIN owed USING (node))
+"""
+
+
+BETWEENNESS = _betweenness()

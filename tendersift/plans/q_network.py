@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tendersift.operators import communities as C, edges as N, graph, network
-from tendersift.plans.network_sql import COLLUSION, EDGES, METRICS, NETWORKED, metrics
+from tendersift.plans.network_sql import BETWEENNESS, COLLUSION, EDGES, METRICS, NETWORKED, metrics
 from tendersift.plans.registry import exact_round, exact_round_sql, query, rounded
 
 
@@ -49,9 +49,9 @@ def _betweenness(d):
     return d.staged("betweenness", lambda: graph.betweenness(d.cobid))
 
 
-@query("net_betweenness")
+@query("net_betweenness", BETWEENNESS + "SELECT node, round(coalesce(betweenness, 0), 8) AS betweenness FROM between")
 def _(d):
-    return _betweenness(d)
+    return rounded(_betweenness(d), betweenness=8)
 
 
 @query("net_node_metrics")

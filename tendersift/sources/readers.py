@@ -68,9 +68,34 @@ def sample_rows(df: DataFrame, fraction: float | None, seed: int = S.SEED) -> Da
 
 
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = S.SEED) -> DataFrame:
-    """Exactly ``n`` rows (or all), the ones with the smallest hash of their key; repeatable."""
-    order = F.xxhash64(F.col(key), F.lit(seed))
-    return df.orderBy(order, key).limit(n)
+    """Exactly ``n`` rows (or all), the ones with the smallest hash of their key; repeatable.
+
+    Rows are counted by ranges of the hash, each pass a thousandth of the one before, until the range with the n-th row holds
+    few rows; only those are ordered. Rows that repeat a key have one hash and are told apart by their columns.
+    """
+    if n <= 0:
+        return df.limit(0)
+    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    low, high, before = -(1 << 63), 1 << 63, 0
+    while high - low > 1:
+        width = max(1, -(-(high - low) // 1000))
+        part = F.floor((F.col("_h").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
+        inside = hashed.where((F.col("_h") >= F.lit(low)) & (F.col("_h") <= F.lit(high - 1)))
+        # At most a thousand rows.
+        counts = sorted(inside.groupBy(part.alias("p")).count().collect(), key=lambda r: r["p"])
+        for r in counts:
+            if before + r["count"] >= n:
+                break
+            before += r["count"]
+        else:
+            return df
+        low, high = low + r["p"] * width, min(high, low + (r["p"] + 1) * width)
+        if r["count"] <= 10_000:
+            break
+    sure = hashed.where(F.col("_h") < F.lit(low))
+    last = hashed.where((F.col("_h") >= F.lit(low)) & (F.col("_h") <= F.lit(high - 1)))
+    last = last.orderBy("_h", key, F.xxhash64(*df.columns)).limit(n - before)
+    return sure.unionByName(last).select(*df.columns)
 
 
 def load_yearly(

@@ -77,10 +77,36 @@ def _edges(spark, pairs):
 
 
 def test_betweenness_of_a_path(spark):
-    got = {r.node: r.betweenness for r in graph.betweenness(_edges(spark, [(1, 2), (2, 3), (3, 4)]), hops=3).collect()}
+    got = {r.node: r.betweenness for r in graph.betweenness(_edges(spark, [(1, 2), (2, 3), (3, 4)])).collect()}
     assert {k: round(v, 6) for k, v in got.items()} == {1: 0.0, 2: round(2 / 3, 6), 3: round(2 / 3, 6), 4: 0.0}
 
 
+def _slow_betweenness(arcs, cutoff):
+    nodes = sorted({x for x, _ in arcs})
+    far = {(a, b): 0 if a == b else arcs.get((a, b), math.inf) for a in nodes for b in nodes}
+    for k, a, b in itertools.product(nodes, repeat=3):
+        far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+    paths = {}
+    for s in nodes:
+        for v in sorted((x for x in nodes if far[s, x] < math.inf), key=lambda x: far[s, x]):
+            paths[s, v] = 1 if s == v else sum(paths[s, u] for u in nodes if (u, v) in arcs and far[s, u] + arcs[u, v] == far[s, v])
+    ok = lambda a, b: far[a, b] <= cutoff
+    n = len(nodes)
+    return {v: sum(paths[s, v] * paths[v, t] / paths[s, t] for s in nodes for t in nodes if len({s, v, t}) == 3 and ok(s, t) and far[s, t] < math.inf
+                   and far[s, v] + far[v, t] == far[s, t]) / ((n - 1) * (n - 2)) for v in nodes}
+
+
+@pytest.mark.parametrize("cutoff, rows", [(None, 1 << 26), (6, 300)])
+def test_weighted_betweenness_equals_brute_force(spark, cutoff, rows):
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(16), 2))): rng.randrange(1, 5) for _ in range(34)} | {(20, 21): 2}
+    edges_ = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "src long, dst long, weight long")
+    got = {r.node: r.betweenness for r in graph.betweenness(edges_, cutoff=cutoff, rows=rows).collect()}
+    arcs = {**pairs, **{(b, a): w for (a, b), w in pairs.items()}}
+    want = _slow_betweenness(arcs, math.inf if cutoff is None else cutoff)
+    assert got.keys() == want.keys() and all(math.isclose(got[v], want[v], abs_tol=1e-12) for v in want)
+
+
 def test_communities_split_two_cliques(spark):
     a = list(itertools.combinations(range(5), 2))
     b = list(itertools.combinations(range(10, 15), 2))
@@ -93,6 +119,59 @@ def test_communities_split_two_cliques(spark):
     assert communities.modularity(e, found) > communities.modularity(e, one)
 
 
+def test_communities_end_where_no_node_gains(spark):
+    rng = random.Random(9)
+    pairs = {}
+    for _ in range(900):
+        a = rng.randrange(150)
+        b = (a // 15 * 15 + rng.randrange(15)) if rng.random() < 0.8 else rng.randrange(150)
+        if a != b:
+            pairs[min(a, b), max(a, b)] = rng.randrange(1, 4)
+    for leaf in range(200, 320):  # a hub whose leaves all want one community
+        pairs[0, leaf] = 1
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "src long, dst long, weight long")
+    found = communities.communities(e)
+    label = {r.node: r.community for r in found.collect()}
+    m2, k = 2 * sum(pairs.values()), {}
+    link = {}
+    for (a, b), w in pairs.items():
+        for x, y in ((a, b), (b, a)):
+            k[x] = k.get(x, 0) + w
+            link[x, label[y]] = link.get((x, label[y]), 0) + w
+    total = {}
+    for x, c in label.items():
+        total[c] = total.get(c, 0) + k[x]
+    # Every label is the smallest member's, and merging two neighbouring communities never gains.
+    assert all(min(x for x in label if label[x] == c) == c for c in set(label.values()))
+    between = {}
+    for (x, c), w in link.items():
+        if c != label[x]:
+            between[label[x], c] = between.get((label[x], c), 0) + w
+    assert all(w - total[a] * total[b] / m2 <= 1e-6 for (a, b), w in between.items())
+    assert communities.modularity(e, found) > 0.4
+
+
+def test_neighbours_split_both_sides(spark):
+    """Twenty thousand points in twelve features; no group holds more than a block and a bit of either side."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(12, 12)) * 3
+    x = centres[rng.integers(0, 12, 20_000)] + rng.normal(size=(20_000, 12)) * rng.uniform(0.1, 1.5, size=(20_000, 1))
+    points = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "id long, m long, features array<double>").repartition(16)
+    near = lof.neighbours(points, 10)
+    some = rng.choice(20_000, 60, replace=False).tolist()
+    got = {}
+    for r in near.where(F.col("id").isin(some)).collect():
+        got.setdefault(r.id, []).append(r.distance)
+    for i in some:
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        assert np.allclose(sorted(got[i]), np.sort(np.delete(d, i))[:10])
+    asked = spark.range(7 * lof.BLOCK).select("id", F.lit(0).alias("cell"))
+    left, right = lof.dealt(asked, asked.where(f"id < {3 * lof.BLOCK}").toDF("id", "cell"))
+    for side in (left, right):
+        assert side.groupBy("cell", "a", "s").count().agg(F.max("count")).first()[0] <= 1.2 * lof.BLOCK
+    assert left.select("a").distinct().count() == 7 and right.select("s").distinct().count() == 3
+
+
 def test_lof_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(size=(120, 3)), rng.normal(size=(30, 3)) * 0.1 + 6, np.repeat(rng.normal(size=(1, 3)), 4, axis=0)])
@@ -147,7 +226,7 @@ def test_reports_on_the_vote_of_five_methods(spark, monkeypatch):
         on = {t: int(v[k]) for t, v in votes.items()}
         rows = [(t, float(v), "high" if v else "low") if m == "rule" else (t, float(v), v) for t, v in on.items()]
         frames[m] = spark.createDataFrame(rows, "tender_id long, " + column.get(m, f"{m}_score double, {m}_anomaly int"))
-    monkeypatch.setattr(q_ensemble, "combined_all", lambda d: ensemble.combine(frames))
+    monkeypatch.setattr(q_ensemble, "combined", lambda d: ensemble.combine(frames))
     run = lambda name: entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
     got = {r.metric: r.value for r in run("ens_summary_five")}
     want = {f"consensus_{i}_methods": sum(v.count("1") == i for v in votes.values()) for i in range(6)}

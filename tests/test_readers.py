@@ -64,3 +64,13 @@ def test_changed_inputs_are_staged_anew(spark, tmp_path):
     assert stage(spark, folder, "t", build).count() == 3
     spark.range(2).write.mode("append").parquet(folder)
     assert stage(spark, folder, "t", build).count() == 5
+
+
+def test_exact_samples_take_the_smallest_hashes(spark):
+    rows = spark.range(30_000).selectExpr("id % 20000 AS id", "id AS other").repartition(6)
+    hashes = sorted(r.h for r in rows.selectExpr("xxhash64(id, 42) AS h").collect())
+    for n in (0, 1, 7, 12_345, 29_999, 30_000, 40_000):
+        got = readers.sample_exact(rows, n, "id")
+        assert got.columns == rows.columns
+        assert sorted(r.h for r in got.selectExpr("xxhash64(id, 42) AS h").collect()) == hashes[: max(0, n)]
+        assert got.distinct().count() == min(n, 30_000)
