@@ -1,110 +1,80 @@
 """Toxicity from the nearest labelled examples.
 
 Texts are vectors of TF-IDF weights over all their terms, scaled to length 1; document frequencies are counted over all
-documents. Terms that tell the labels apart (chi-squared test on the training rows) weigh more, none is left out. Every
-text is compared with every example that shares a term with it, by postings and, for common terms, by one matrix product
-for a batch of texts, so the neighbours are exact. Neighbours vote
-with their similarity as weight, beside a prior of the base rate, and a logistic curve fitted on the training rows (each
-without itself) turns votes into probabilities. Near copies among the examples count once.
+documents. Labelled examples of each label stand in a block-max inverted index: alike examples are neighbours in blocks of
+``BLOCK``, and every common term keeps its largest weight in each block. A search sums the postings of the other terms,
+bounds each block by these sums and the maxima, scores the blocks with the best bounds, and then only those whose bound
+reaches the k-th best cosine so far. The neighbours are the exact nearest by plain cosine.
+
+Neighbours vote with their cosine, beside a prior of the base rate; near copies (cosine of ``COPY``) among them share one
+vote. Label knowledge stays out of the cosine. It is in the calibration: a logistic curve over the votes and over the
+share of the match with the ``POSITIVE`` nearest examples of label 1 that comes from terms which tell the labels apart
+(chi-squared test). The curve is fitted on the training rows, each without itself. A training row's own score and
+evidence do hold itself.
 
 The length of a vector needs the frequency of every term. Those of the examples' terms and of terms in a thousandth of
 the documents are broadcast; the few other terms of a text leave the task and are joined with the frequencies.
 
 Bound: ``most`` labelled rows are used for training, those with the smallest hash of the id. The index, at most
-``most`` examples, is broadcast. Every text is scored. ``terms`` bounds the terms that weigh more.
+``most`` examples, is broadcast. Every text is scored. ``terms`` bounds the telling terms.
 
 Defined cases: null and empty texts, and texts that share no term with an example, have no neighbours and get the score
-of the base rate among such training texts; equal similarities go to the smaller example number; rows of the labels
-table that repeat or have a null id or label are left out of training; without training rows the score is 0.5.
+of the base rate among such training texts; equal cosines go to the smaller example id; rows of the labels table that
+repeat count once, those with a null id or label or with both labels are left out of training; an id that repeats in the
+documents trains with its smallest text; without training rows of both labels the score is the base rate, 0.5 without
+any. Very long texts are one vector like all others. Other columns of the tables are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tendersift.llm.common import BATCH_ROWS, arrow_schema, in_batches, prepare, staged, table
 
 TERM = re.compile(r"[^\W\d_]+")
-#: Terms of more than one in so many examples are rows of the matrix.
-COMMON = 8
-#: Cosine from which two examples with the same smallest term hashes are copies.
+#: Terms of more than one in so many examples have block maxima.
+COMMON = 16
+#: Examples in a block, blocks scored before the first threshold, centres by which examples are arranged.
+BLOCK, AHEAD, CENTRES = 32, 4, 16
+#: Cosine from which two examples of one label share a vote.
 COPY = 0.9
+#: Nearest examples of label 1 whose match is looked at for telling terms.
+POSITIVE = 5
+#: Weight of the base rate beside the cosines, and the share that a match without telling terms counts as.
+PRIOR, NO_SHARE = 0.1, 0.003
+#: Sums in another order differ by less.
+NOISE = 1e-9
 #: Distinct terms a task counts before it hands them on.
 COUNTED = 200_000
 
+Vector = tuple[np.ndarray, np.ndarray]
+
 
 def term_counts(text: str | None) -> Counter:
     return Counter(TERM.findall((text or "").lower()))
 
 
+def term_weights(text: str | None) -> dict[str, float]:
+    """1 + ln(count) of every term."""
+    return {t: 1.0 + math.log(c) if c > 1 else 1.0 for t, c in term_counts(text).items()}
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """text and label of at most ``most`` labelled rows whose crc32(id) mod 5 is not 0."""
+    """doc_id, label and text of at most ``most`` labelled rows whose crc32(id) mod 5 is not 0."""
     chosen = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
               .groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other")
               .select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-
-
-class Index:
-    """Examples as unit vectors, in postings by term; the terms of many examples also as rows of a matrix."""
-
-    def __init__(self, weights: dict[str, float], vectors: list, labels: list[int], names: list[int]):
-        self.number = {t: k for k, t in enumerate(weights)}
-        pairs = [v if isinstance(v, tuple) else arrays(v, self.number) for v in vectors]
-        self.labels, self.names = np.array(labels, np.float64), list(names)
-        term = np.concatenate([np.zeros(0, np.int32), *[p[0] for p in pairs]])
-        slot = np.repeat(np.arange(len(pairs), dtype=np.int32), [len(p[0]) for p in pairs])
-        w = np.concatenate([np.zeros(0), *[p[1] for p in pairs]])
-        by_term = np.argsort(term, kind="stable")
-        self.slot, self.w = slot[by_term], w[by_term]
-        self.first = np.searchsorted(term[by_term], np.arange(len(weights) + 1))
-        common = np.flatnonzero(np.diff(self.first) * COMMON > len(pairs))
-        self.row = {int(t): i for i, t in enumerate(common)}
-
-    @functools.cached_property
-    def matrix(self) -> np.ndarray:
-        """(common term, example) weights; made where they are used, only the postings travel."""
-        out = np.zeros((len(self.row), len(self.labels)))
-        for t, i in self.row.items():
-            out[i, self.slot[self.first[t] : self.first[t + 1]]] = self.w[self.first[t] : self.first[t + 1]]
-        return out
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "matrix"}
-
-    def nearest(self, query: dict[str, float], k: int) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a cosine above 0, best first."""
-        return self.nearest_of([query], k)[0]
-
-    def nearest_of(self, queries: list[dict[str, float]], k: int) -> list[list[tuple[float, int]]]:
-        """The same for many queries: every example is compared, common terms by one matrix product."""
-        known = [{self.number[t]: x for t, x in q.items() if t in self.number} for q in queries]
-        dense = np.zeros((len(queries), len(self.row)))
-        for i, q in enumerate(known):
-            for t in q.keys() & self.row.keys():
-                dense[i, self.row[t]] = q[t]
-        products, out = dense @ self.matrix, []
-        for q, found in zip(known, products):
-            terms = np.array([t for t in q if t not in self.row], np.intp)
-            start, end = self.first[terms], self.first[terms + 1]
-            entry = ranges(start, end)
-            w = self.w[entry] * np.repeat(np.array([q[t] for t in terms.tolist()], np.float64), end - start)
-            # Rounded, so that equal examples tie whatever the order of their sums.
-            found = np.round(found + np.bincount(self.slot[entry], w, len(found)), 12)
-            hit = np.flatnonzero(found > 0)
-            if len(hit) > k:
-                hit = hit[found[hit] >= np.partition(found[hit], len(hit) - k)[len(hit) - k]]
-            best = hit[np.lexsort((hit, -found[hit]))][:k]
-            out.append(list(zip(found[best].tolist(), best.tolist())))
-        return out
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -113,128 +83,259 @@ def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
-def unit(counts: Counter, weights: dict[str, float]) -> dict[str, float]:
-    """TF-IDF weights of the terms that have one, scaled to length 1."""
-    raw = {t: (1.0 + np.log(counts[t])) * weights[t] for t in counts.keys() & weights.keys()}
-    norm = np.sqrt(sum(raw[t] * raw[t] for t in sorted(raw)))
-    return {t: float(raw[t] / norm) for t in sorted(raw)}
+def scaled(terms: np.ndarray, tf: np.ndarray, weight: np.ndarray) -> Vector:
+    """Term frequency weights times term weights, as a vector of length 1."""
+    w = tf * weight[terms]
+    return terms, w / np.sqrt((w * w).sum()) if len(w) else w
+
+
+def arrangement(rows: np.ndarray) -> np.ndarray:
+    """An order in which alike rows are near each other: by the best of a few centres, then by length."""
+    length = np.sqrt((rows * rows).sum(1))
+    units = rows / np.where(length > 0, length, 1.0)[:, None]
+    # Each first centre is the row that is least like those before it.
+    chosen, like = [0], units @ units[0]
+    while len(chosen) < min(CENTRES, len(rows)):
+        chosen.append(int(like.argmin()))
+        like = np.maximum(like, units @ units[chosen[-1]])
+    centres = rows[chosen]
+    for _ in range(6):
+        size = np.sqrt((centres * centres).sum(1))
+        of = (rows @ (centres / np.where(size > 0, size, 1.0)[:, None]).T).argmax(1)
+        centres = np.stack([rows[of == c].sum(0) for c in range(len(centres))])
+    return np.lexsort((length, of))
 
 
-def arrays(vector: dict[str, float], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers and values: dictionaries of all terms of 10,000 examples do not fit into a small driver."""
-    return np.array([number[t] for t in vector], np.int32), np.array(list(vector.values()), np.float64)
+class Index:
+    """Examples of one label as unit vectors, in postings by term; common terms in blocks with their maxima.
 
+    ``names`` has the ids of the examples that each vector stands for; equal vectors are one.
+    """
 
-def scaled(tf: tuple[np.ndarray, np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term frequency weights times term weights, as a vector of length 1."""
-    w = tf[1] * weight[tf[0]]
-    return tf[0], w / np.sqrt((w * w).sum()) if len(w) else w
+    def __init__(self, vectors: list[Vector], names: list[list[int]], terms: int, telling: np.ndarray | None = None):
+        per_term = np.bincount(np.concatenate([np.zeros(0, np.int64), *[v[0] for v in vectors]]).astype(np.int64), minlength=terms)
+        common = np.flatnonzero(per_term * COMMON > len(vectors))
+        self.row = np.full(terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        rows = np.zeros((len(vectors), len(common)))
+        for i, (t, w) in enumerate(vectors):
+            seen = self.row[t] >= 0
+            rows[i, self.row[t[seen]]] = w[seen]
+        order = arrangement(rows) if len(vectors) else np.zeros(0, int)
+        vectors = [vectors[i] for i in order]
+        self.names = [sorted(names[i]) for i in order]
+        self.least = np.array([n[0] for n in self.names], np.int64)
+        self.blocks = -(-len(vectors) // BLOCK)
+        term = np.concatenate([np.zeros(0, np.int32), *[v[0] for v in vectors]]).astype(np.int32)
+        slot = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[0]) for v in vectors])
+        w = np.concatenate([np.zeros(0), *[v[1] for v in vectors]])
+        by_term = np.argsort(term, kind="stable")
+        self.slot, self.w = slot[by_term], w[by_term]
+        self.first = np.searchsorted(term[by_term], np.arange(terms + 1))
+        self.common, self.telling = common, np.zeros(0, int) if telling is None else telling
+        #: Blocks scored and blocks there were, for tests.
+        self.scored = self.asked = 0
+
+    def _dense(self, terms: np.ndarray, slots: int) -> np.ndarray:
+        out = np.zeros((len(terms), slots))
+        for i, t in enumerate(terms.tolist()):
+            at = slice(self.first[t], self.first[t + 1])
+            out[i, self.slot[at]] = self.w[at]
+        return out
+
+    @functools.cached_property
+    def block(self) -> np.ndarray:
+        """(block, common term, example) weights; made where they are used, only the postings travel."""
+        flat = self._dense(self.common, self.blocks * BLOCK)
+        return np.ascontiguousarray(flat.reshape(len(self.common), self.blocks, BLOCK).transpose(1, 0, 2))
 
+    @functools.cached_property
+    def maxima(self) -> np.ndarray:
+        """(common term, block) largest weights."""
+        return np.ascontiguousarray(self.block.max(2).T)
 
-def one_of_near_copies(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], hashes: np.ndarray, keep: int = 4) -> list[int]:
-    """Rows without those that are near copies of a row before: copies would outvote everything else.
+    @functools.cached_property
+    def tells(self) -> np.ndarray:
+        """(example, telling term) weights."""
+        return np.ascontiguousarray(self._dense(self.telling, len(self.names)).T)
 
-    Rows of one label with the same smallest hashes of their terms are compared; a cosine of ``COPY`` makes a copy.
-    """
-    seen: dict[tuple, list[int]] = {}
-    rows, dense = [], np.zeros(len(hashes))
-    for i, ((terms, w), y) in enumerate(zip(vectors, labels)):
-        others = seen.setdefault((y, *np.sort(hashes[terms])[:keep].tolist()), [])
-        dense[terms] = w
-        if not any((not len(w) and not len(vectors[j][1])) or dense[vectors[j][0]] @ vectors[j][1] >= COPY for j in others):
-            others.append(i)
-            rows.append(i)
-        dense[terms] = 0.0
-    return rows
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("block", "maxima", "tells")}
+
+    def _fill(self, dense: np.ndarray, sums: np.ndarray, chosen: np.ndarray) -> None:
+        """Add the common terms' part in the chosen (query, block) places."""
+        self.scored += int(chosen.sum())
+        for b in np.flatnonzero(chosen.any(0)).tolist():
+            q = np.flatnonzero(chosen[:, b])
+            sums[q, b] += dense[q] @ self.block[b]
+
+    def search(self, queries: list[Vector], k: int | None, floors: np.ndarray | float = 0.0) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the products and slots of its k nearest (None: all) with a product above 0 and not under its
+        floor, best first, equal ones by the smaller id."""
+        n, nothing = len(queries), (np.zeros(0), np.zeros(0, int))
+        if not self.blocks or not n:
+            return [nothing] * n
+        dense, sums = np.zeros((n, len(self.common))), np.zeros((n, self.blocks, BLOCK))
+        flat = sums.reshape(n, -1)
+        for i, (t, x) in enumerate(queries):
+            row = self.row[t]
+            known = row >= 0
+            dense[i, row[known]] = x[known]
+            rest = t[~known]
+            start, end = self.first[rest], self.first[rest + 1]
+            entry = ranges(start, end)
+            if len(entry):
+                flat[i] = np.bincount(self.slot[entry], self.w[entry] * np.repeat(x[~known], end - start), flat.shape[1])
+        bound = dense @ self.maxima + sums.max(2)
+        floor = np.maximum(np.broadcast_to(floors, n).astype(float), 10 * NOISE)
+        done = np.zeros((n, self.blocks), bool)
+        if k is not None:
+            ahead = min(self.blocks, max(AHEAD, -(-k // BLOCK)))
+            best = np.argpartition(-bound, ahead - 1, axis=1)[:, :ahead]
+            np.put_along_axis(done, best, True, 1)
+            done &= bound >= floor[:, None] - NOISE
+            self._fill(dense, sums, done)
+            if ahead * BLOCK >= k:
+                first = np.where(np.take_along_axis(done, best, 1)[:, :, None], np.take_along_axis(sums, best[:, :, None], 1), 0.0).reshape(n, -1)
+                floor = np.maximum(floor, np.partition(first, first.shape[1] - k, axis=1)[:, first.shape[1] - k])
+        more = (bound >= floor[:, None] - NOISE) & ~done
+        self._fill(dense, sums, more)
+        done |= more
+        self.asked += done.size
+        hit, at = np.nonzero(np.where(done[:, :, None], sums, 0.0).reshape(n, -1) >= floor[:, None] - NOISE)
+        # Rounded, so that equal examples tie whatever the order of their sums.
+        value, cut, out = np.round(flat[hit, at], 12), np.searchsorted(hit, np.arange(n + 1)), []
+        for i in range(n):
+            slots, found = at[cut[i] : cut[i + 1]], value[cut[i] : cut[i + 1]]
+            order = np.lexsort((self.least[slots], -found))[:k]
+            out.append((found[order], slots[order]))
+        return out
+
+    def leaders(self, vectors: list[Vector]) -> np.ndarray:
+        """For each slot the smallest slot among its near copies; ``vectors`` in the order of the slots."""
+        out = np.arange(len(vectors))
+        for at in range(0, len(vectors), BATCH_ROWS):
+            for i, (_, slots) in enumerate(self.search(vectors[at : at + BATCH_ROWS], None, COPY), at):
+                out[i] = slots.min(initial=i)
+        return out
 
+    def vectors(self) -> list[Vector]:
+        """The stored vectors, in the order of the slots."""
+        term = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        by_slot = np.argsort(self.slot, kind="stable")
+        cut = np.searchsorted(self.slot[by_slot], np.arange(1, len(self.names)))
+        return list(zip(np.split(term[by_slot], cut), np.split(self.w[by_slot], cut))) if self.names else []
 
-def idf(n: int, total: int) -> float:
-    return float(np.log((total + 1) / (n + 1)) + 1)
+
+def idf(n, total: int):
+    return np.log((total + 1) / (np.asarray(n) + 1)) + 1
 
 
 class Model:
-    """A fitted index with the calibration of its votes. ``df`` has the number of documents of each example term, of
-    ``total`` documents, and may have it for other terms."""
+    """Indexes of both labels. ``df`` has the number of documents, of ``total``, of each example term and maybe others;
+    ``examples`` are (terms, term frequency weights) by the places of the terms in ``df``."""
 
-    def __init__(self, texts: list[str | None], labels: list[int], names: list[int], df: dict[str, int], total: int,
+    def __init__(self, examples: list[Vector], labels: list[int], names: list[int], df: dict[str, int], total: int,
                  terms: int = 512, k: int = 25):
-        self.idf = {t: idf(n, total) for t, n in sorted(df.items())}
-        number, names_of = {t: k for k, t in enumerate(self.idf)}, list(self.idf)
-        tf = []
+        self.number = {t: i for i, t in enumerate(df)}
+        self.weight, self.k = idf(list(df.values()), total), k
+        self.rate = float(np.mean(labels)) if len(labels) else 0.5
+        self.label = dict(zip(names, labels))
+        of = lambda y: np.bincount(np.concatenate([np.zeros(0, np.int64), *[x[0] for x, z in zip(examples, labels) if z == y]]).astype(np.int64), minlength=len(df))
+        self.telling = telling_terms(of(0), of(1), int(sum(labels)), len(labels), terms)
+        self.index, self.leader = [], []
+        for y in (0, 1):
+            same: dict[tuple, list] = {}
+            for (t, tf), z, name in zip(examples, labels, names):
+                if z == y and len(t):
+                    same.setdefault((t.tobytes(), tf.tobytes()), [(t, tf), []])[1].append(name)
+            self.index.append(Index([scaled(*v, self.weight) for v, _ in same.values()], [n for _, n in same.values()], len(df), self.telling))
+            self.leader.append(self.index[y].leaders(self.index[y].vectors()))
+
+    def look_up(self, names: list[int | None], texts: list[str | None]) -> dict[str, list]:
+        """Per text: summed products of its weights with voting neighbours of label 1 (near) and of both (all), share of
+        telling terms, the three nearest, squared length of the weights known here, and term frequency weights of the
+        other terms. ``without`` has near, all and share of a training row without itself. Products divided by the whole
+        length are cosines."""
+        queries, known, others = [], [], []
         for text in texts:
-            c = term_counts(text)
-            tf.append(arrays({t: 1.0 + np.log(c[t]) for t in sorted(c)}, number))
-        weight = np.array(list(self.idf.values()), np.float64)
-        hashes = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in names_of], np.int64)
-        rows = one_of_near_copies([scaled(x, weight) for x in tf], labels, hashes)
-        tf, labels, names = ([x[i] for i in rows] for x in (tf, labels, names))
-        self.k, n = k, len(tf)
-        self.rate = float(np.mean(labels)) if n else 0.5
-        self.index, self.slope, self.shift, self.empty = None, 1.0, 0.0, self.rate
-        if not n or len(set(labels)) < 2:
-            return
-        of = lambda y: np.bincount(np.concatenate([x[0] for x, z in zip(tf, labels) if z == y]), minlength=len(number))
-        # The weights of a query and of an example both have the factor.
-        for t, chi in telling_terms(of(0), of(1), labels, names_of, terms).items():
-            self.idf[t] *= float(1 + np.sqrt(chi))
-        weight = np.array(list(self.idf.values()), np.float64)
-        vectors = [scaled(x, weight) for x in tf]
-        del tf
-        self.index = Index(self.idf, vectors, labels, names)
-        votes = np.full(n, np.nan)
-        for at in range(0, n, BATCH_ROWS):
-            part = [dict(zip([names_of[t] for t in v[0]], v[1].tolist())) for v in vectors[at : at + BATCH_ROWS]]
-            for i, near in enumerate(self.index.nearest_of(part, k + 1), at):
-                found = [x for x in near if x[1] != i][:k]
-                if found:
-                    votes[i] = self._vote(found)
-        y = np.array(labels, float)
-        bare = np.isnan(votes)
-        self.empty = float((y[bare].sum() + self.rate) / (bare.sum() + 1))
-        self.slope, self.shift = fit_curve(votes[~bare], y[~bare])
-
-    def _vote(self, found: list[tuple[float, int]]) -> float:
-        near = sum(s * self.index.labels[i] for s, i in found)
-        return (near + self.rate) / (sum(s for s, _ in found) + 1.0)
-
-    def look_up(self, texts: list[str | None]) -> list[tuple[list[tuple[float, int]], float, dict[str, float]]]:
-        """Products of each text's weights with its nearest examples, the squared length of the weights known here,
-        and the term frequency weights of the other terms. Products divided by the whole length are cosines."""
-        tf = [{t: 1.0 + float(np.log(c)) for t, c in sorted(term_counts(text).items())} for text in texts]
-        own = [{t: w * self.idf[t] for t, w in x.items() if t in self.idf} for x in tf]
-        found = self.index.nearest_of(own, self.k) if self.index else [[] for _ in texts]
-        return [(f, sum(w * w for w in o.values()), {t: w for t, w in x.items() if t not in o} if f else {}) for f, o, x in zip(found, own, tf)]
-
-
-def telling_terms(zero: np.ndarray, one: np.ndarray, labels: list[int], names: list[str], terms: int, least: float = 30.0) -> dict[str, float]:
-    """Terms that speak for label 1 and their chi-squared value, if over ``least``; at most ``terms``, the best."""
-    ones, n = sum(labels), len(labels)
-    zeros = n - ones
-    scored = []
-    for t in np.flatnonzero(one >= 3).tolist():
-        a, b = int(one[t]), int(zero[t])
-        if a + b >= 5 and a + b < n and a * zeros > b * ones:
-            chi = n * (a * (zeros - b) - b * (ones - a)) ** 2 / ((a + b) * (n - a - b) * ones * zeros)
-            if chi > least:
-                scored.append((-chi, names[t]))
-    return {t: -chi for chi, t in sorted(scored)[:terms]}
-
-
-def fit_curve(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic curve over the log odds of the votes, by Newton steps with a little damping."""
-    if not len(votes) or y.min() == y.max():
-        return 1.0, 0.0
-    v = np.clip(votes, 1e-6, 1 - 1e-6)
-    x = np.stack([np.log(v / (1 - v)), np.ones(len(v))], axis=1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ w))
-        grad = x.T @ (p - y) + 1e-2 * (w - [1.0, 0.0])
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), grad)
-        w = w - step
+            tf = term_weights(text)
+            number = list(map(self.number.get, tf, itertools.repeat(-1)))
+            t, x = np.array(number, np.int64), np.array(list(tf.values()), float)
+            # By number, so that sums do not depend on the order of words; unknown terms come first.
+            order = np.argsort(t, kind="stable")
+            t, x = t[order], x[order]
+            new = int(np.searchsorted(t, 0))
+            t, x = t[new:], x[new:] * self.weight[t[new:]]
+            queries.append((t, x))
+            known.append(float((x * x).sum()))
+            others.append([{"term": w, "tf": v} for (w, v), i in zip(tf.items(), number) if i < 0] if new else [])
+        # One more than asked for, as a training row does not vote on itself.
+        ones = self.index[1].search(queries, self.k + 1)
+        floors = np.array([v[-1] if len(v) > self.k else 0.0 for v, _ in ones])
+        zeros = self.index[0].search(queries, self.k + 1, floors)
+        out: dict[str, list] = {"near": [], "all": [], "share": [], "three": [], "without": [], "known": known, "others": []}
+        for name, query, one, zero, rest in zip(names, queries, ones, zeros, others):
+            near, every, share, three = self._votes(query, one, zero, None)
+            for c, v in (("near", near), ("all", every), ("share", share), ("three", three), ("others", rest if three else [])):
+                out[c].append(v)
+            out["without"].append(dict(zip(("near", "all", "share"), self._votes(query, one, zero, name))) if name in self.label else None)
+        return out
+
+    def _votes(self, query: Vector, one: tuple, zero: tuple, name: int | None) -> tuple[float, float, float, list]:
+        """near, all, share and the three nearest from what was found of both labels, without the example ``name``."""
+        value, slot = np.concatenate([one[0], zero[0]]), np.concatenate([one[1], zero[1]])
+        y = np.arange(len(slot)) < len(one[1])
+        ids = np.concatenate([self.index[1].least[one[1]], self.index[0].least[zero[1]]])
+        leader = np.concatenate([self.leader[1][one[1]], -1 - self.leader[0][zero[1]]])
+        if name is not None:
+            # A vector may stand for other examples too.
+            other = [[x for x in self.index[int(z)].names[s] if x != name][:1] for z, s in zip(y, slot)]
+            stays = np.array([bool(x) for x in other], bool)
+            ids = np.array([x[0] if x else 0 for x in other], np.int64)
+            value, slot, y, ids, leader = (v[stays] for v in (value, slot, y, ids, leader))
+        match = int(min(y.sum(), POSITIVE))
+        share = self._share(query, slot[:match], value[:match])
+        order = np.lexsort((ids, -value))[: self.k]
+        # The best of each group of copies votes.
+        voters = order[np.sort(np.unique(leader[order], return_index=True)[1])]
+        three = [{"doc_id": i, "cosine": v} for i, v in zip(ids[order[:3]].tolist(), value[order[:3]].tolist())]
+        return float(value[voters][y[voters]].sum()), float(value[voters].sum()), share, three
+
+    def _share(self, query: Vector, slots: np.ndarray, values: np.ndarray) -> float:
+        """The part of the products with these examples of label 1 that telling terms bring."""
+        if not len(slots) or not len(self.telling):
+            return 0.0
+        at = np.minimum(np.searchsorted(query[0], self.telling), len(query[0]) - 1)
+        has = np.flatnonzero(query[0][at] == self.telling)
+        own = self.index[1].tells[slots][:, has].sum(0) @ query[1][at[has]]
+        return float(np.round(own / values.sum(), 12))
+
+
+def telling_terms(zero: np.ndarray, one: np.ndarray, ones: int, n: int, terms: int, least: float = 30.0) -> np.ndarray:
+    """Ascending numbers of terms that speak for label 1 with a chi-squared value over ``least``; at most ``terms``, the best."""
+    a, b, zeros = one.astype(float), zero.astype(float), n - ones
+    fit = np.flatnonzero((a >= 3) & (a + b >= 5) & (a + b < n) & (a * zeros > b * ones))
+    a, b = a[fit], b[fit]
+    chi = n * (a * (zeros - b) - b * (ones - a)) ** 2 / ((a + b) * (n - a - b) * ones * zeros) if len(fit) else a
+    return np.sort(fit[np.lexsort((fit, -chi))][: min(terms, int((chi > least).sum()))])
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and shift of a logistic curve over the columns of ``x``, by Newton steps with a little damping."""
+    start = np.array([1.0] + [0.0] * x.shape[1])
+    if not len(y) or y.min() == y.max():
+        return start
+    x, w = np.column_stack([x, np.ones(len(x))]), start.copy()
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        grad = x.T @ (p - y) + 1e-2 * (w - start)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), grad)
+        # Shorter steps far out, where the curve is flat.
+        w = w - step * min(1.0, 5.0 / np.abs(step).max())
         if np.abs(step).max() < 1e-9:
-            break
-    return max(float(w[0]), 0.0), float(w[1])
+            return w
+    raise ArithmeticError("the calibration curve does not settle")
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -256,44 +357,74 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def examples_of(rows: DataFrame) -> pa.Table:
+    """doc_id, label, terms, tf of the training rows, by id; the texts themselves stay in the tasks."""
+    def run(r: dict[str, list]) -> dict[str, list]:
+        tf = [term_weights(text) for text in r["text"]]
+        return {"doc_id": r["doc_id"], "label": r["label"], "terms": [list(x) for x in tf], "tf": [list(x.values()) for x in tf]}
+
+    return in_batches(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text"), run,
+                      "doc_id bigint, label int, terms array<string>, tf array<double>").toArrow().sort_by("doc_id").combine_chunks()
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, most: int, terms: int, k: int, frequencies: DataFrame, total: int) -> Model:
+    got = examples_of(training_rows(docs, labels, label, most))
+    term, tf = (got[c].combine_chunks() if got.num_rows else pa.array([], got[c].type) for c in ("terms", "tf"))
+    words = pc.unique(term.flatten())
+    # The terms of the examples, and at most a thousand times the mean number of terms in a text.
+    own = docs.sparkSession.createDataFrame(pa.table({"term": words}))
+    sent = frequencies.join(own, "term", "left_semi").union(frequencies.where(F.col("n") * 1000 >= total)).distinct().toArrow().sort_by("term")
+    place = pc.index_in(term.flatten(), value_set=sent["term"].combine_chunks()).to_numpy(zero_copy_only=False).astype(np.int32)
+    cut, tf = np.cumsum(pc.list_value_length(term).to_numpy(zero_copy_only=False))[:-1], tf.flatten().to_numpy(zero_copy_only=False)
+    examples = []
+    for t, w in zip(np.split(place, cut), np.split(tf, cut)) if got.num_rows else ():
+        order = np.argsort(t)
+        examples.append((t[order], w[order]))
+    df = dict(zip(sent["term"].to_pylist(), sent["n"].to_pylist()))
+    return Model(examples, got["label"].to_pylist(), got["doc_id"].to_pylist(), df, total, terms, k)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 10000, terms: int = 512, k: int = 25) -> DataFrame:
     """doc_id, score, and the evidence: ids and cosines of the three nearest examples."""
     spark = prepare(docs.sparkSession)
-    rows = training_rows(docs, labels, label, most).orderBy("doc_id").collect()  # at most ``most`` texts
-    rows = list({r.doc_id: r for r in rows}.values())
     frequencies, total = staged(document_frequencies(docs)), docs.count()
-    # The terms of the examples, and at most a thousand times the mean number of terms in a text.
-    own = spark.createDataFrame(pa.table({"term": pa.array(sorted({t for r in rows for t in term_counts(r.text)}), "string")}))
-    sent = frequencies.join(own, "term", "left_semi").union(frequencies.where(F.col("n") * 1000 >= total)).toArrow().to_pydict()
-    frequency = dict(zip(sent["term"], sent["n"]))
-    del own, sent
-    model = Model([r.text for r in rows], [int(r.label) for r in rows], [r.doc_id for r in rows], frequency, total, terms, k)
-    del rows, frequency
-    shared = spark.sparkContext.broadcast(model)
+    model = fitted(docs, labels, label, most, terms, k, frequencies, total)
+    shared, rate = spark.sparkContext.broadcast(model), model.rate
 
     def run(r: dict[str, list]) -> dict[str, list]:
         m = shared.value
-        got = m.look_up(r["text"])
-        return {"row": r["row"], "doc_id": r["doc_id"], "near": [sum(s * m.index.labels[i] for s, i in g[0]) for g in got],
-                "all": [sum(s for s, _ in g[0]) for g in got], "known": [g[1] for g in got],
-                "three": [[{"doc_id": m.index.names[i], "cosine": s} for s, i in g[0][:3]] for g in got],
-                "others": [[{"term": t, "tf": w} for t, w in g[2].items()] for g in got]}
+        return {"row": r["row"], "doc_id": r["doc_id"], "label": [m.label.get(i) for i in r["doc_id"]]} | m.look_up(r["doc_id"], r["text"])
 
     found = staged(in_batches(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
-                              "row bigint, doc_id bigint, near double, all double, known double, "
+                              "row bigint, doc_id bigint, label int, near double, all double, share double, known double, without struct<near: double, all: double, share: double>, "
                               "three array<struct<doc_id: bigint, cosine: double>>, others array<struct<term: string, tf: double>>"))
     weight = F.col("tf") * (F.log((F.lit(total) + 1) / (F.col("n") + 1)) + 1)
     # Added in order, so that reruns agree in the last digit.
     rest = (found.select("row", F.inline("others")).join(frequencies, "term").groupBy("row")
             .agg(F.array_sort(F.collect_list(weight * weight)).alias("squares"))
             .select("row", F.aggregate("squares", F.lit(0.0), lambda a, x: a + x).alias("rest")))
-    length = F.sqrt(F.col("known") + F.coalesce("rest", F.lit(0.0)))
-    vote = (F.col("near") / F.col("length") + F.lit(model.rate)) / (F.col("all") / F.col("length") + 1)
-    vote = F.least(F.greatest(vote, F.lit(1e-6)), F.lit(1 - 1e-6))
-    score = 1 / (1 + F.exp(-(F.log(vote / (1 - vote)) * model.slope + model.shift)))
-    return found.drop("others").join(rest, "row", "left").withColumn("length", length).select(
-        "doc_id", F.when(F.col("all") > 0, score).otherwise(F.lit(model.empty)).alias("score"),
-        F.transform("three", lambda x: F.struct(x["doc_id"].alias("doc_id"), (x["cosine"] / F.col("length")).alias("cosine"))).alias("evidence"))
+    # Without neighbours there is nothing to divide.
+    length = F.when(F.col("all") > 0, F.sqrt(F.col("known") + F.coalesce("rest", F.lit(0.0)))).otherwise(F.lit(1.0))
+
+    def curve_of(near, every, share):
+        vote = (near / F.col("length") + F.lit(PRIOR * rate)) / (every / F.col("length") + PRIOR)
+        vote = F.least(F.greatest(vote, F.lit(1e-6)), F.lit(1 - 1e-6))
+        return F.struct(every.alias("all"), F.log(vote / (1 - vote)).alias("odds"), F.log(share + NO_SHARE).alias("telling"))
+
+    judged = staged(found.drop("others").join(rest, "row", "left").withColumn("length", length).select(
+        "doc_id", "label", curve_of(F.col("near"), F.col("all"), F.col("share")).alias("now"),
+        curve_of(F.col("without.near"), F.col("without.all"), F.col("without.share")).alias("without"),
+        F.transform("three", lambda x: F.struct(x["doc_id"].alias("doc_id"), (x["cosine"] / F.col("length")).alias("cosine"))).alias("evidence")))
+    # At most ``most`` ids; a repeated id counts once.
+    known = (judged.where("label is not null").groupBy("doc_id", "label").agg(F.min("without").alias("without"))
+             .select("doc_id", "label", "without.*").toArrow().sort_by("doc_id"))
+    every, y = known["all"].to_numpy(), known["label"].to_numpy().astype(float)
+    bare = every <= 0
+    empty = float((y[bare].sum() + rate) / (bare.sum() + 1))
+    by_votes, by_share, shift = fit_curve(np.column_stack([known["odds"].to_numpy(), known["telling"].to_numpy()])[~bare], y[~bare]).tolist()
+    score = 1 / (1 + F.exp(-(F.col("now.odds") * by_votes + F.col("now.telling") * by_share + shift)))
+    both = 0 < y.sum() < len(y)
+    return judged.select("doc_id", (F.when(F.col("now.all") > 0, score).otherwise(F.lit(empty)) if both else F.lit(rate)).alias("score"), "evidence")
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -132,18 +132,93 @@ def test_neighbours_follow_descending_ids(spark, docs, nothing):
 # --- 2 toxicity
 
 
-def test_block_max_search_is_exact():
+def unit(counts, weights):
+    """TF-IDF vector of length 1 by its definition."""
+    raw = {t: (1.0 + np.log(counts[t])) * weights[t] for t in counts.keys() & weights.keys()}
+    norm = np.sqrt(sum(x * x for x in raw.values()))
+    return {t: float(x / norm) for t, x in raw.items()}
+
+
+def numbered(vector):
+    """The vector with terms t0, t1, ... as arrays by number."""
+    by = sorted((int(t[1:]), w) for t, w in vector.items())
+    return np.array([t for t, _ in by], np.int64), np.array([w for _, w in by], float)
+
+
+def product(a, b):
+    return sum(w * b.get(t, 0.0) for t, w in a.items())
+
+
+@pytest.mark.parametrize("terms, drawn", [(40, 8), (400, 30)])
+def test_block_max_search_is_exact(terms, drawn):
     rnd = random.Random(3)
-    weights = {f"t{i}": rnd.random() + 0.2 for i in range(40)}
-    draw = lambda: neighbours.unit(collections.Counter(rnd.choices(list(weights), k=rnd.randrange(0, 8))), weights)
-    vectors = [draw() for _ in range(500)]
-    index = neighbours.Index(weights, vectors, [i % 2 for i in range(500)], list(range(500)))
-    for _ in range(60):
-        q = draw()
-        cos = sorted((round(sum(w * vectors[n].get(t, 0.0) for t, w in q.items()), 9) for n in index.names), reverse=True)
-        assert [round(s, 9) for s, _ in index.nearest(q, 10)] == [c for c in cos[:10] if c > 0]
-        for s, i in index.nearest(q, 10):
-            assert s == pytest.approx(sum(w * vectors[index.names[i]].get(t, 0.0) for t, w in q.items()))
+    weights = {f"t{i}": rnd.random() + 0.2 for i in range(terms)}
+    draw = lambda: unit(collections.Counter(rnd.choices(list(weights), k=rnd.randrange(0, drawn))), weights)
+    vectors = [v for v in (draw() for _ in range(700)) if v]
+    index = neighbours.Index([numbered(v) for v in vectors], [[i] for i in range(len(vectors))], terms)
+    queries = [draw() for _ in range(60)] + vectors[:5] + [{}]
+    got = index.search([numbered(q) for q in queries], 10)
+    for q, (values, slots) in zip(queries, got):
+        best = sorted((-round(product(q, v), 12), i) for i, v in enumerate(vectors) if product(q, v) > 1e-8)[:10]
+        assert values.tolist() == pytest.approx([-c for c, _ in best])
+        assert [round(product(q, vectors[index.names[s][0]]), 9) for s in slots] == [round(v, 9) for v in values]
+    # With a floor, and all that reach it.
+    for q, (values, slots) in zip(queries, index.search([numbered(q) for q in queries], None, 0.5)):
+        assert sorted(index.names[s][0] for s in slots) == [i for i, v in enumerate(vectors) if product(q, v) >= 0.5]
+
+
+def test_blocks_that_cannot_hold_a_neighbour_are_skipped():
+    """Examples of eight vocabularies: a search reads few blocks outside of its own vocabulary."""
+    rnd = random.Random(4)
+    draw = lambda g: unit(collections.Counter(f"t{g * 30 + min(int(rnd.expovariate(0.2)), 29)}" for _ in range(40)), {f"t{i}": 1.0 for i in range(240)})
+    vectors = [draw(i % 8) for i in range(4000)]
+    index = neighbours.Index([numbered(v) for v in vectors], [[i] for i in range(4000)], 240)
+    queries = [draw(i % 8) for i in range(64)]
+    got = index.search([numbered(q) for q in queries], 10)
+    assert 0 < index.scored < 0.2 * index.asked
+    for q, (values, _) in zip(queries, got):
+        assert values.tolist() == pytest.approx(sorted((product(q, v) for v in vectors), reverse=True)[:10])
+
+
+def test_votes_of_copies_and_shares_by_their_definition():
+    """Near copies among the neighbours share one vote, an example never votes on itself, equal texts are one vector."""
+    rnd = random.Random(9)
+    words = [f"w{c}{d}" for c in "abcdefghij" for d in "abcdefghij"]
+    texts = [" ".join(rnd.choices(words, k=20)) + (" nasty" if i % 4 == 0 else "") for i in range(200)]
+    texts += [texts[0] + " " + words[i] for i in range(12)] + [texts[1]] * 6
+    labels = [int("nasty" in t) for t in texts]
+    df = collections.Counter(t for x in texts for t in neighbours.term_counts(x))
+    df = {t: df[t] for t in sorted(df)}
+    number, total = {t: i for i, t in enumerate(df)}, len(texts)
+    place = lambda x: tuple(np.array(v) for v in zip(*sorted((number[t], w) for t, w in neighbours.term_weights(x).items())))
+    model = neighbours.Model([place(x) for x in texts], labels, list(range(total)), df, total, k=7)
+    weights = {t: float(neighbours.idf(n, total)) for t, n in df.items()}
+    vec = [unit(neighbours.term_counts(x), weights) for x in texts]
+    ones = sum(labels)
+    both = {t: [sum(t in v and y == z for v, y in zip(vec, labels)) for z in (0, 1)] for t in df}
+    chi = lambda b, a: total * (a * (total - ones - b) - b * (ones - a)) ** 2 / ((a + b) * (total - a - b) * ones * (total - ones))
+    tell = {t for t, (b, a) in both.items() if a >= 3 and a + b >= 5 and a * (total - ones) > b * ones and chi(b, a) > 30}
+    assert tell == {list(df)[i] for i in model.telling} and "nasty" in tell
+    got = model.look_up(list(range(total)), texts)
+    assert all(got["all"][i] > got["without"][i]["all"] and got["three"][i][0]["cosine"] ** 2 == pytest.approx(got["known"][i]) for i in range(2, 200))
+    assert model.look_up([None], texts[:1])["without"] == [None]
+    for i in (0, 1, 2, 50, 200, 205, 212, 217):
+        length = np.sqrt(got["known"][i])
+        near, seen = [], set()
+        for c, j in sorted((-round(product(vec[i], vec[j]), 9), j) for j in range(total) if j != i and product(vec[i], vec[j]) > 0):
+            if texts[j] not in seen:
+                seen.add(texts[j])
+                near.append((-c, j))
+        first = {j: min(m for m in range(total) if labels[m] == labels[j] and product(vec[m], vec[j]) >= 0.9) for _, j in near}
+        # Copies here are copies of one text, so any member names the group.
+        votes = {}
+        for c, j in near[:7]:
+            votes.setdefault((labels[j], first[j]), c)
+        assert got["without"][i]["all"] / length == pytest.approx(sum(votes.values()), abs=1e-6)
+        assert got["without"][i]["near"] / length == pytest.approx(sum(c for (y, _), c in votes.items() if y), abs=1e-6)
+        match = [j for _, j in near if labels[j]][:5]
+        share = sum(vec[i].get(t, 0.0) * vec[j].get(t, 0.0) for j in match for t in tell) / sum(product(vec[i], vec[j]) for j in match)
+        assert got["without"][i]["share"] == pytest.approx(share, abs=1e-6)
 
 
 def toxic_rows(n):
@@ -180,7 +255,7 @@ def test_neighbours_use_all_terms_and_frequencies_of_all_documents(spark):
     got = neighbours.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4),
                                     spark.createDataFrame(list(labels.items()), "doc_id bigint, toxic int")).collect()
     df = collections.Counter(t for x in texts for t in neighbours.term_counts(x))
-    vec = [neighbours.unit(neighbours.term_counts(x), {t: neighbours.idf(n, len(texts)) for t, n in df.items()}) for x in texts]
+    vec = [unit(neighbours.term_counts(x), {t: float(neighbours.idf(n, len(texts))) for t, n in df.items()}) for x in texts]
     train = [i for i in labels if zlib.crc32(str(i).encode()) % 5]
     assert len(got) == len(texts) and all(r.evidence for r in got)
     for r in got[::50]:
@@ -189,12 +264,14 @@ def test_neighbours_use_all_terms_and_frequencies_of_all_documents(spark):
 
 
 def test_copies_are_confirmed_by_their_cosine():
-    number = {t: i for i, t in enumerate("abcdefgh")}
-    texts = ("abcdefgh", "abcdefgh", "abcdefgg", "a" * 90 + "bcdefgh", "", "")
-    vectors = [neighbours.arrays(neighbours.unit(collections.Counter(x), dict.fromkeys(number, 1.0)), number) for x in texts]
-    hashes = np.arange(8)
-    assert neighbours.one_of_near_copies(vectors, [1] * 6, hashes) == [0, 3, 4]
-    assert neighbours.one_of_near_copies(vectors[:2], [1, 0], hashes) == [0, 1]
+    texts = ("abcdefgh", "abcdefgg", "a" * 90 + "bcdefgh", "bbbcdefh")
+    counts = [collections.Counter(f"t{ord(c) - 97}" for c in x) for x in texts]
+    vectors = [unit(c, {f"t{i}": 1.0 for i in range(8)}) for c in counts]
+    index = neighbours.Index([numbered(v) for v in vectors], [[i] for i in range(4)], 8)
+    leaders = index.leaders(index.vectors())
+    for i in range(4):
+        copies = [j for j in range(4) if product(vectors[index.names[i][0]], vectors[index.names[j][0]]) >= 0.9]
+        assert leaders[i] == min(copies)
 
 
 # --- 3 mixing
