@@ -28,6 +28,7 @@ any. Very long texts are one vector like all others. Other columns of the tables
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 import math
 import re
@@ -36,16 +37,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tendersift.llm.common import BATCH_ROWS, arrow_schema, in_batches, prepare, staged, table
+from tendersift.llm.common import arrow_schema, in_batches, prepare, staged, table
 
 TERM = re.compile(r"[^\W\d_]+")
 #: Terms of more than one in so many examples have block maxima.
 COMMON = 16
 #: Examples in a block, blocks scored before the first threshold, centres by which examples are arranged.
 BLOCK, AHEAD, CENTRES = 32, 4, 16
+#: Examples whose copies are searched at once on the driver.
+ASKED = 64
 #: Cosine from which two examples of one label share a vote.
 COPY = 0.9
 #: Nearest examples of label 1 whose match is looked at for telling terms.
@@ -117,11 +119,12 @@ class Index:
         common = np.flatnonzero(per_term * COMMON > len(vectors))
         self.row = np.full(terms, -1, np.int32)
         self.row[common] = np.arange(len(common))
-        rows = np.zeros((len(vectors), len(common)))
+        rows = np.zeros((len(vectors), len(common)), np.float32)
         for i, (t, w) in enumerate(vectors):
             seen = self.row[t] >= 0
             rows[i, self.row[t[seen]]] = w[seen]
         order = arrangement(rows) if len(vectors) else np.zeros(0, int)
+        del rows
         vectors = [vectors[i] for i in order]
         self.names = [sorted(names[i]) for i in order]
         self.least = np.array([n[0] for n in self.names], np.int64)
@@ -211,21 +214,21 @@ class Index:
             out.append((found[order], slots[order]))
         return out
 
-    def leaders(self, vectors: list[Vector]) -> np.ndarray:
-        """For each slot the smallest slot among its near copies; ``vectors`` in the order of the slots."""
-        out = np.arange(len(vectors))
-        for at in range(0, len(vectors), BATCH_ROWS):
-            for i, (_, slots) in enumerate(self.search(vectors[at : at + BATCH_ROWS], None, COPY), at):
+    def leaders(self) -> np.ndarray:
+        """For each slot the smallest slot among its near copies."""
+        out = np.arange(len(self.names))
+        by_slot = np.argsort(self.slot, kind="stable")
+        cut = np.searchsorted(self.slot, np.arange(len(out) + 1), sorter=by_slot)
+        for at in range(0, len(out), ASKED):
+            own = [by_slot[cut[i] : cut[i + 1]] for i in range(at, min(at + ASKED, len(out)))]
+            part = [(np.searchsorted(self.first, x, "right") - 1, self.w[x]) for x in own]
+            for i, (_, slots) in enumerate(self.search(part, None, COPY), at):
                 out[i] = slots.min(initial=i)
+        # The driver needs them no more, tasks make their own.
+        for made in ("block", "maxima"):
+            self.__dict__.pop(made, None)
         return out
 
-    def vectors(self) -> list[Vector]:
-        """The stored vectors, in the order of the slots."""
-        term = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        by_slot = np.argsort(self.slot, kind="stable")
-        cut = np.searchsorted(self.slot[by_slot], np.arange(1, len(self.names)))
-        return list(zip(np.split(term[by_slot], cut), np.split(self.w[by_slot], cut))) if self.names else []
-
 
 def idf(n, total: int):
     return np.log((total + 1) / (np.asarray(n) + 1)) + 1
@@ -245,12 +248,13 @@ class Model:
         self.telling = telling_terms(of(0), of(1), int(sum(labels)), len(labels), terms)
         self.index, self.leader = [], []
         for y in (0, 1):
-            same: dict[tuple, list] = {}
+            same: dict[bytes, list] = {}
             for (t, tf), z, name in zip(examples, labels, names):
                 if z == y and len(t):
-                    same.setdefault((t.tobytes(), tf.tobytes()), [(t, tf), []])[1].append(name)
+                    key = hashlib.sha256(np.asarray(t, np.int64).tobytes() + tf.tobytes()).digest()
+                    same.setdefault(key, [(t, tf), []])[1].append(name)
             self.index.append(Index([scaled(*v, self.weight) for v, _ in same.values()], [n for _, n in same.values()], len(df), self.telling))
-            self.leader.append(self.index[y].leaders(self.index[y].vectors()))
+            self.leader.append(self.index[y].leaders())
 
     def look_up(self, names: list[int | None], texts: list[str | None]) -> dict[str, list]:
         """Per text: summed products of its weights with voting neighbours of label 1 (near) and of both (all), share of
@@ -357,31 +361,43 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def examples_of(rows: DataFrame) -> pa.Table:
-    """doc_id, label, terms, tf of the training rows, by id; the texts themselves stay in the tasks."""
+def counted_examples(rows: DataFrame) -> DataFrame:
+    """doc_id, label, terms, counts of the training rows."""
     def run(r: dict[str, list]) -> dict[str, list]:
-        tf = [term_weights(text) for text in r["text"]]
-        return {"doc_id": r["doc_id"], "label": r["label"], "terms": [list(x) for x in tf], "tf": [list(x.values()) for x in tf]}
+        counts = [term_counts(text) for text in r["text"]]
+        return {"doc_id": r["doc_id"], "label": r["label"], "terms": [list(x) for x in counts], "counts": [list(x.values()) for x in counts]}
 
     return in_batches(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text"), run,
-                      "doc_id bigint, label int, terms array<string>, tf array<double>").toArrow().sort_by("doc_id").combine_chunks()
+                      "doc_id bigint, label int, terms array<string>, counts array<int>")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str, most: int, terms: int, k: int, frequencies: DataFrame, total: int) -> Model:
-    got = examples_of(training_rows(docs, labels, label, most))
-    term, tf = (got[c].combine_chunks() if got.num_rows else pa.array([], got[c].type) for c in ("terms", "tf"))
-    words = pc.unique(term.flatten())
+    """The model of the training rows. Their terms reach the driver once each, their vectors as numbers."""
+    counted = staged(counted_examples(training_rows(docs, labels, label, most)))
     # The terms of the examples, and at most a thousand times the mean number of terms in a text.
-    own = docs.sparkSession.createDataFrame(pa.table({"term": words}))
-    sent = frequencies.join(own, "term", "left_semi").union(frequencies.where(F.col("n") * 1000 >= total)).distinct().toArrow().sort_by("term")
-    place = pc.index_in(term.flatten(), value_set=sent["term"].combine_chunks()).to_numpy(zero_copy_only=False).astype(np.int32)
-    cut, tf = np.cumsum(pc.list_value_length(term).to_numpy(zero_copy_only=False))[:-1], tf.flatten().to_numpy(zero_copy_only=False)
-    examples = []
-    for t, w in zip(np.split(place, cut), np.split(tf, cut)) if got.num_rows else ():
-        order = np.argsort(t)
-        examples.append((t[order], w[order]))
+    own = frequencies.join(counted.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
+    sent = own.union(frequencies.where(F.col("n") * 1000 >= total)).distinct().toArrow().sort_by("term")
     df = dict(zip(sent["term"].to_pylist(), sent["n"].to_pylist()))
-    return Model(examples, got["label"].to_pylist(), got["doc_id"].to_pylist(), df, total, terms, k)
+    del sent
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(df)})
+
+    def run(r: dict[str, list]) -> dict[str, list]:
+        number, counts = [], []
+        for t, c in zip(r["terms"], r["counts"]):
+            t = np.array(list(map(shared.value.__getitem__, t)), np.int32)
+            order = np.argsort(t)
+            number.append(t[order])
+            counts.append(np.array(c, np.int32)[order])
+        return {"doc_id": r["doc_id"], "label": r["label"], "number": number, "counts": counts}
+
+    got = in_batches(counted, run, "doc_id bigint, label int, number array<int>, counts array<int>").toArrow().sort_by("doc_id")
+    names, marks, examples = got["doc_id"].to_pylist(), got["label"].to_pylist(), []
+    for number, counts in zip(got["number"].chunks, got["counts"].chunks):
+        cut = np.cumsum(number.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+        weights = 1.0 + np.log(counts.flatten().to_numpy())
+        examples += zip(np.split(number.flatten().to_numpy(), cut), np.split(weights, cut)) if len(number) else ()
+    del got
+    return Model(examples, marks, names, df, total, terms, k)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 10000, terms: int = 512, k: int = 25) -> DataFrame:

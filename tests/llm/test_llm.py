@@ -268,7 +268,7 @@ def test_copies_are_confirmed_by_their_cosine():
     counts = [collections.Counter(f"t{ord(c) - 97}" for c in x) for x in texts]
     vectors = [unit(c, {f"t{i}": 1.0 for i in range(8)}) for c in counts]
     index = neighbours.Index([numbered(v) for v in vectors], [[i] for i in range(4)], 8)
-    leaders = index.leaders(index.vectors())
+    leaders = index.leaders()
     for i in range(4):
         copies = [j for j in range(4) if product(vectors[index.names[i][0]], vectors[index.names[j][0]]) >= 0.9]
         assert leaders[i] == min(copies)
