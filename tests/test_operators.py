@@ -151,6 +151,46 @@ def test_communities_end_where_no_node_gains(spark):
     assert communities.modularity(e, found) > 0.4
 
 
+def test_communities_take_few_rounds(spark, monkeypatch):
+    """A dense graph with hubs and no clear groups, on which moves that are safe by themselves take 87 rounds."""
+    rng = random.Random(4)
+    pairs = {(a, b): rng.randrange(3, 13) for a in range(400) for b in range(a + 1, 400) if rng.random() < (0.9 if a < 20 else 0.2)}
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "src long, dst long, weight long")
+    rounds, moves = [], communities._moves
+
+    def counted(*args):
+        rounds.append(1)
+        assert len(rounds) <= 70
+        return moves(*args)
+
+    monkeypatch.setattr(communities, "_moves", counted)
+    found = communities.communities(e)
+    assert found.count() == 400 and communities.modularity(e, found) > 0.064
+
+
+def test_communities_weigh_moves_made_together(spark):
+    """The set that is chosen raises the modularity, and no tried set by more."""
+    rng = random.Random(8)
+    pairs = {(a, b): rng.randrange(1, 9) for a in range(60) for b in range(a, 60) if rng.random() < (0.4 if a // 20 == b // 20 else 0.1)}
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "src long, dst long, weight long")
+    arcs = communities._symmetric(e)
+    strength = arcs.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
+    labels = strength.select("node", (F.col("node") % 7).alias("c"))
+    m2 = arcs.agg(F.sum("weight")).first()[0]
+    movers, totals = communities._movers(arcs, strength, labels, m2, 5)
+    chosen = communities._best_set(arcs, movers, totals, m2)
+    before, moving = communities._modularity(arcs, labels), {r.node: r for r in movers.collect()}
+    start = {r.node: r.c for r in labels.collect()}
+    after = {}
+    for crossing in (False, True):
+        for depth in range(4):
+            made = {n: r.target for n, r in moving.items() if r.depth >= depth and (r.crossing or not crossing)}
+            trial = spark.createDataFrame([(n, made.get(n, c)) for n, c in start.items()], "node long, c long")
+            after[crossing, depth] = communities._modularity(arcs, trial)
+    assert chosen in after and after[chosen] > before
+    assert math.isclose(after[chosen], max(after.values()), rel_tol=1e-9)
+
+
 def test_neighbours_split_both_sides(spark):
     """Twenty thousand points in twelve features; no group holds more than a block and a bit of either side."""
     rng = np.random.default_rng(0)
