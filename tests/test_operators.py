@@ -107,6 +107,25 @@ def test_weighted_betweenness_equals_brute_force(spark, cutoff, rows):
     assert got.keys() == want.keys() and all(math.isclose(got[v], want[v], abs_tol=1e-12) for v in want)
 
 
+def test_betweenness_batches_hold_source_and_node_rows_only(spark, monkeypatch):
+    """Steps along arcs are summed up where the rows of their source are: only one row per (source, node) is written."""
+    pairs = list(itertools.combinations(range(40), 2))
+    written, calls = [], []
+    keep, owed = graph.cut_lineage, graph._dependencies
+
+    def kept(df):
+        out = keep(df)
+        if {"s", "node"} <= set(out.columns):
+            written.append((df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(node"), out.count()))
+        return out
+
+    monkeypatch.setattr(graph, "cut_lineage", kept)
+    monkeypatch.setattr(graph, "_dependencies", lambda *a: calls.append(1) or owed(*a))
+    got = graph.betweenness(_edges(spark, pairs), rows=40 * 40).collect()
+    assert len(got) == 40 and all(r.betweenness == 0 for r in got)
+    assert len(calls) == 1 and all(moved == 0 and n <= 40 * 40 for moved, n in written)
+
+
 def test_communities_split_two_cliques(spark):
     a = list(itertools.combinations(range(5), 2))
     b = list(itertools.combinations(range(10, 15), 2))
