@@ -42,6 +42,8 @@ from pyspark.sql import DataFrame, functions as F
 from tendersift.llm.common import arrow_schema, in_batches, prepare, staged, table
 
 TERM = re.compile(r"[^\W\d_]+")
+#: Spaces for all ASCII characters that stand in no lower-case term.
+PARTS = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 #: Terms of more than one in so many examples have block maxima.
 COMMON = 16
 #: Examples in a block, blocks scored before the first threshold, centres by which examples are arranged.
@@ -63,7 +65,13 @@ Vector = tuple[np.ndarray, np.ndarray]
 
 
 def term_counts(text: str | None) -> Counter:
-    return Counter(TERM.findall((text or "").lower()))
+    """How often each term occurs. Pieces between ASCII characters that are no letters are terms, unless they hold other such characters."""
+    pieces = Counter((text or "").lower().encode("utf-8", "surrogatepass").translate(PARTS).decode("utf-8", "surrogatepass").split())
+    for piece in [p for p in pieces if not p.isalpha()]:
+        n = pieces.pop(piece)
+        for term in TERM.findall(piece):
+            pieces[term] += n
+    return pieces
 
 
 def term_weights(text: str | None) -> dict[str, float]:
@@ -205,7 +213,9 @@ class Index:
         self._fill(dense, sums, more)
         done |= more
         self.asked += done.size
-        hit, at = np.nonzero(np.where(done[:, :, None], sums, 0.0).reshape(n, -1) >= floor[:, None] - NOISE)
+        near = sums >= (floor - NOISE)[:, None, None]
+        near &= done[:, :, None]
+        hit, at = np.nonzero(near.reshape(n, -1))
         # Rounded, so that equal examples tie whatever the order of their sums.
         value, cut, out = np.round(flat[hit, at], 12), np.searchsorted(hit, np.arange(n + 1)), []
         for i in range(n):
@@ -264,8 +274,7 @@ class Model:
         queries, known, others = [], [], []
         for text in texts:
             tf = term_weights(text)
-            number = list(map(self.number.get, tf, itertools.repeat(-1)))
-            t, x = np.array(number, np.int64), np.array(list(tf.values()), float)
+            t, x = np.fromiter(map(self.number.get, tf, itertools.repeat(-1)), np.int64, len(tf)), np.fromiter(tf.values(), float, len(tf))
             # By number, so that sums do not depend on the order of words; unknown terms come first.
             order = np.argsort(t, kind="stable")
             t, x = t[order], x[order]
@@ -273,7 +282,8 @@ class Model:
             t, x = t[new:], x[new:] * self.weight[t[new:]]
             queries.append((t, x))
             known.append(float((x * x).sum()))
-            others.append([{"term": w, "tf": v} for (w, v), i in zip(tf.items(), number) if i < 0] if new else [])
+            words = list(tf) if new else []
+            others.append([{"term": words[i], "tf": tf[words[i]]} for i in order[:new].tolist()])
         # One more than asked for, as a training row does not vote on itself.
         ones = self.index[1].search(queries, self.k + 1)
         floors = np.array([v[-1] if len(v) > self.k else 0.0 for v, _ in ones])
@@ -302,7 +312,10 @@ class Model:
         share = self._share(query, slot[:match], value[:match])
         order = np.lexsort((ids, -value))[: self.k]
         # The best of each group of copies votes.
-        voters = order[np.sort(np.unique(leader[order], return_index=True)[1])]
+        best: dict[int, int] = {}
+        for i, group in zip(order.tolist(), leader[order].tolist()):
+            best.setdefault(group, i)
+        voters = np.array(list(best.values()), np.int64)
         three = [{"doc_id": i, "cosine": v} for i, v in zip(ids[order[:3]].tolist(), value[order[:3]].tolist())]
         return float(value[voters][y[voters]].sum()), float(value[voters].sum()), share, three
 
@@ -352,7 +365,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), "string"), pa.array(list(seen.values()), "int64")], schema=arrow)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(set(TERM.findall((text or "").lower())))
+                seen.update(term_counts(text).keys())
             if len(seen) > COUNTED:
                 yield out()
                 seen.clear()

@@ -55,3 +55,25 @@ def test_columns_named_like_inside_names_pass_through(spark):
 def test_extra_columns_do_not_matter_to_groups(spark):
     docs = spark.createDataFrame([(1, "a b c d e", 5, 6, 7), (2, "a b c d e", 5, 6, 7)], "doc_id bigint, text string, id bigint, node bigint, key bigint")
     assert {r["component_id"] for r in superminhash.near_duplicates(docs).collect()} == {1}
+
+
+def test_terms_are_split_without_the_expression_on_whole_texts(monkeypatch):
+    from collections import Counter
+
+    from tendersift.llm import neighbours
+
+    whole, asked = neighbours.TERM, []
+
+    class Watched:
+        @staticmethod
+        def findall(piece):
+            asked.append(piece)
+            return whole.findall(piece)
+
+    monkeypatch.setattr(neighbours, "TERM", Watched)
+    odd = ["Ab a_b c3d\tÄÖ–ü x y z　z '«Да-да»' ½ ²x ٣ é \U0001d400b", "İstanbul ΣΑΣ straße", "", None, "a\ud800b"]
+    for text in odd:
+        assert neighbours.term_counts(text) == Counter(whole.findall((text or "").lower()))
+    asked.clear()
+    assert neighbours.term_counts("Plain words, plain_3 Wörter 7; end") == Counter({"plain": 2, "words": 1, "wörter": 1, "end": 1})
+    assert asked == []
