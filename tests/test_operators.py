@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tendersift.functions import expr as E
-from tendersift.operators import communities, edges, ensemble, graph, iforest, lof, portraits, rules
+from tendersift.operators import communities, edges, ensemble, graph, iforest, lof, portraits, rules, scaling, screens
 from tendersift.operators.quantiles import exact_quantiles
 from tendersift.sources import readers
 
@@ -274,6 +274,26 @@ def test_quick_scan_needs_no_shuffle(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_tenders_are_not_shuffled_for_small_statistics(spark, tmp_path):
+    """The tenders are larger than the broadcast limit, the statistics of forty buyers and 25 product groups are far below."""
+    spark.range(20000).selectExpr(
+        "id AS tender_id", "id % 40 AS buyer_id", "id % 25 AS main_cpv_2_digit", "id % 700 AS supplier_id", "rand(1) * 1e6 AS tender_value", "rand(2) * 1e6 AS award_value",
+        "timestamp'2024-01-01' + make_dt_interval(int(id % 900)) AS published_date", "'open' AS procurement_method", "id % 9 AS number_of_tenderers",
+    ).coalesce(1).write.parquet(f"{tmp_path}/tenders")
+    tenders = spark.read.parquet(f"{tmp_path}/tenders")
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50k")
+    try:
+        wide = rules.enrich(tenders, None, ["cpv", "market", "buyer", "dominance"])
+        screened = screens.concentration(screens.value_outliers(tenders), source=tenders)
+        for df, joins in ((wide, 4), (screened, 2), (scaling.value_vs_cpv_median(tenders), 1)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= joins
+            assert df.count() == 20000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+
+
 def test_reports_on_the_vote_of_five_methods(spark, monkeypatch):
     import __spark_entry__ as entry
     from tendersift.plans import q_ensemble
