@@ -15,7 +15,8 @@ their full sets of 64-bit shingle hashes. No bucket is capped:
    In larger ones the tiles of the largest component meet the tiles of all others, and these one another. A task bounds the
    overlap of two sets by the minima of their counts in ``FINE`` groups, which leaves few pairs that are no links.
 
-Links are grouped by union-find: each task first reduces its links to a forest, then stars are contracted to the least node.
+Links are grouped by union-find: each task first reduces at most ``LINKS`` or so links to a forest. Forests of several tasks are
+joined by contracting stars to the least node; that of a single task has the groups already.
 
 Equal sets are one node from the start, so copies of any number cost one signature row each. Signatures, bands and the
 names of sets come from one pass over the texts; a second one reads the texts of nodes that are to be verified.
@@ -42,6 +43,8 @@ from tendersift.llm.jaccard import FINE, fine_bound, fine_point, needed
 from tendersift.operators.graph import components
 
 SLOTS, TILE, SMALL, MISS = 128, 1024, 16, 1e-9
+#: Links that a task reduces to a forest.
+LINKS = 1 << 17
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -180,7 +183,7 @@ class Forest:
 
 
 def grouped(links: DataFrame) -> DataFrame:
-    """(node, component) of links (src, dst): tasks reduce their links to forests, then stars are contracted."""
+    """(node, component) of written links (src, dst): tasks reduce their links to forests, then stars are contracted."""
     schema = "src bigint, dst bigint"
     arrow = arrow_schema(schema)
 
@@ -192,7 +195,14 @@ def grouped(links: DataFrame) -> DataFrame:
         pairs = [(forest.root(x), x) for x in forest.parent if forest.root(x) != x]
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=arrow)
 
-    return components(links.select("src", "dst").mapInArrow(reduce_, schema))
+    tasks = -(-links.count() // LINKS)
+    reduced = links.select("src", "dst").coalesce(max(tasks, 1)).mapInArrow(reduce_, schema)
+    if tasks > 1:
+        return components(reduced)
+    # The smaller root stays, so every root is the least node of its group.
+    found = staged(reduced)
+    roots = found.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return found.select(F.col("dst").alias("node"), F.col("src").alias("component")).unionByName(roots)
 
 
 class Join:
@@ -373,7 +383,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, slots: in
     if not unique:
         met = placed.where("node IS NOT NULL").distinct()
         least = met.groupBy("id").agg(F.min("node").alias("src"))
-        edges = edges.unionByName(met.join(least, "id").where("src < node").select("src", F.col("node").alias("dst")).distinct())
+        edges = edges.unionByName(staged(met.join(least, "id").where("src < node").select("src", F.col("node").alias("dst")).distinct()))
     comp = grouped(edges)
     joined = staged(known.select("node", "id").join(comp, "node"))
     label = joined.join(joined.groupBy("component").agg(F.min("id").alias("least")), "component").select("node", "least")

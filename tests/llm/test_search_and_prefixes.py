@@ -182,6 +182,22 @@ def test_large_buckets_of_texts_that_are_only_similar(spark):
     assert Counter(tuple(r) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("most, stars", [(1 << 17, 0), (40, 1)])
+def test_few_links_are_grouped_by_one_forest(spark, monkeypatch, most, stars):
+    """Links that fit a task need no contraction of stars; more of them are dealt and give the same groups."""
+    rnd, called = random.Random(8), []
+    monkeypatch.setattr(superminhash, "LINKS", most)
+    monkeypatch.setattr(superminhash, "components", lambda edges, inner=superminhash.components: called.append(1) or inner(edges))
+    edges = [(rnd.randrange(150), rnd.randrange(150)) for _ in range(100)]
+    got = superminhash.grouped(spark.createDataFrame(edges, "src bigint, dst bigint").repartition(5)).collect()
+    forest = superminhash.Forest()
+    for e in edges:
+        forest.join(*e)
+    want = {x: forest.root(x) for x in {x for a, b in edges if a != b for x in (a, b)}}
+    assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+    assert len(called) == stars
+
+
 def test_groups_without_ids_stay_small(spark):
     """Rows without an id must not be joined with one another."""
     rows = [(None, f"text number {i} of those without an id", "", "", 0, 0, "", "", "") for i in range(3000)] + [(1, "a b c", "", "", 0, 0, "", "", "")]
