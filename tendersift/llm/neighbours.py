@@ -157,8 +157,11 @@ class Index:
     @functools.cached_property
     def block(self) -> np.ndarray:
         """(block, common term, example) weights; made where they are used, only the postings travel."""
-        flat = self._dense(self.common, self.blocks * BLOCK)
-        return np.ascontiguousarray(flat.reshape(len(self.common), self.blocks, BLOCK).transpose(1, 0, 2))
+        out = np.zeros((self.blocks, len(self.common), BLOCK))
+        for i, t in enumerate(self.common.tolist()):
+            at = slice(self.first[t], self.first[t + 1])
+            out[self.slot[at] // BLOCK, i, self.slot[at] % BLOCK] = self.w[at]
+        return out
 
     @functools.cached_property
     def maxima(self) -> np.ndarray:
@@ -410,6 +413,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, most: int, terms: int
         weights = 1.0 + np.log(counts.flatten().to_numpy())
         examples += zip(np.split(number.flatten().to_numpy(), cut), np.split(weights, cut)) if len(number) else ()
     del got
+    shared.destroy()
     return Model(examples, marks, names, df, total, terms, k)
 
 
@@ -419,6 +423,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
     frequencies, total = staged(document_frequencies(docs)), docs.count()
     model = fitted(docs, labels, label, most, terms, k, frequencies, total)
     shared, rate = spark.sparkContext.broadcast(model), model.rate
+    # Only the tasks need it from here on.
+    del model
 
     def run(r: dict[str, list]) -> dict[str, list]:
         m = shared.value

@@ -1,8 +1,11 @@
 """Cases that once went wrong: many rows without an id, special tokens, forged headers, columns named like inside names."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from tendersift.llm import chat, jaccard, mixing, substrings, superminhash, tokens
+from tendersift.llm import chat, jaccard, mixing, neighbours, substrings, superminhash, tokens
 
 
 def no_ids(spark, n):
@@ -57,6 +60,21 @@ def test_extra_columns_do_not_matter_to_groups(spark):
     assert {r["component_id"] for r in superminhash.near_duplicates(docs).collect()} == {1}
 
 
+def test_blocks_of_examples_are_made_in_place():
+    """The blocks of the index are filled where they stay: the driver makes them too, and two copies of all weights do not fit beside its model."""
+    rng = np.random.default_rng(3)
+    vectors = [(np.arange(400, dtype=np.int32), rng.random(400)) for _ in range(640)]
+    index = neighbours.Index(vectors, [[i] for i in range(640)], 400)
+    tracemalloc.start()
+    block = index.block
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * block.nbytes
+    slots = [int(np.flatnonzero(index.least == i)[0]) for i in range(640)]
+    for i, (_, w) in enumerate(vectors):
+        assert (block[slots[i] // neighbours.BLOCK, :, slots[i] % neighbours.BLOCK] == w).all()
+
+
 def test_terms_are_split_without_the_expression_on_whole_texts(monkeypatch):
     from collections import Counter
 
