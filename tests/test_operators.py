@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tendersift import staging
 from tendersift.functions import expr as E
-from tendersift.operators import communities, edges, ensemble, graph, iforest, lof, portraits, rules, scaling, screens
+from tendersift.operators import anomaly, communities, edges, ensemble, graph, iforest, lof, portraits, rules, scaling, screens
 from tendersift.operators.quantiles import exact_quantiles
 from tendersift.sources import readers
 
@@ -314,3 +315,36 @@ def test_reports_on_the_vote_of_five_methods(spark, monkeypatch):
     assert sorted(r.tender_id for r in run("ens_consensus_filter_five")) == [1, 2, 4]
     assert {r.method: r.anomalies for r in run("ens_method_stats_five")} == {m: sum(int(v[k]) for v in votes.values()) for k, m in enumerate(ensemble.METHODS)}
     assert {r.consensus_count: r.tenders for r in run("rep_consensus_dist_five")} == {0: 1, 1: 1, 2: 1, 4: 1, 5: 1}
+
+
+def test_exact_quantiles_share_a_column(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([rng.random(), 0.0, 0.5, 1.0, None]), rng.choice([0, 1]), None) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "v double, w int, z double")
+    v, w, z = (F.col(c) for c in "vwz")
+    # Out of order, twice the same, close together, the ends, a column of ties and one without values.
+    asked = {"b": (v, 0.75), "a": (v, 0.25), "a2": (v, 0.25), "near": (v, 0.2501), "lo": (v, 0.0), "hi": (v, 1.0), "m": (w, 0.5), "none": (z, 0.5)}
+    out = exact_quantiles(df, [], asked)
+    got = out.first()
+    known = [r[0] for r in rows if r[0] is not None]
+    for name in ("b", "a", "a2", "near", "lo", "hi"):
+        assert math.isclose(got[name], np.percentile(known, asked[name][1] * 100), rel_tol=1e-12), name
+    assert got["m"] == np.median([r[1] for r in rows]) and got["none"] is None
+    assert exact_quantiles(df.limit(0), [], {"q": (v, 0.5)}).first()["q"] is None
+    sketches = lambda wanted: exact_quantiles(df, [], wanted)._jdf.queryExecution().analyzed().toString().count("percentile_approx")
+    assert sketches({"q1": (v, 0.25), "q2": (v, 0.5), "q3": (v, 0.75)}) == sketches({"q2": (v, 0.5)})
+
+
+def test_models_score_rows_once(spark):
+    rows = [(i, (i % 50) / 10.0, float(i % 7)) for i in range(300)] + [(300, 90.0, 90.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    scored = anomaly._detect(df, ["x", "y"], ["id"], "iforest", 0.05)
+    assert "ArrowEvalPython" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.orderBy(F.desc("raw_score")).first().id == 300
+
+
+def test_stages_are_not_fused_into_huge_methods(spark):
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(name)
+    staging.stage(spark, "short-methods", "seen", lambda: seen.append(spark.conf.get(name)) or spark.range(1))
+    assert seen == ["8000"] and spark.conf.get(name) == before
