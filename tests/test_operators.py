@@ -127,6 +127,28 @@ def test_betweenness_batches_hold_source_and_node_rows_only(spark, monkeypatch):
     assert len(calls) == 1 and all(moved == 0 and n <= 40 * 40 for moved, n in written)
 
 
+@pytest.mark.parametrize("sent, step, named", [(1 << 23, 1, False), (0, 1, False), (1 << 23, 0.25, True), (1 << 23, 2000, True)])
+def test_betweenness_of_several_components_by_tasks_and_by_shuffles(spark, monkeypatch, sent, step, named):
+    rng = random.Random(8)
+    pairs = {tuple(sorted(rng.sample(range(14), 2))): rng.randrange(1, 5) * step for _ in range(30)} | {(20, 21): 2 * step, (21, 22): 2 * step, (30, 31): step}
+    name = (lambda x: f"n{x:02d}") if named else (lambda x: x)
+    rows = [(name(a), name(b), float(w)) for (a, b), w in pairs.items()]
+    monkeypatch.setattr(graph, "SENT", sent)
+    monkeypatch.setattr(graph.paths, "BLOCK", 64)
+    monkeypatch.setattr(graph.paths, "PACKED", 2)
+    e = spark.createDataFrame([*rows, (rows[0][0], rows[0][1], 99.0 * step), (name(40), name(40), 1.0)], f"src {'string' if named else 'long'}, dst {'string' if named else 'long'}, weight double")
+    got = {r.node: r.betweenness for r in graph.betweenness(e, rows=1 << 20).collect()}
+    want = _slow_betweenness({**pairs, **{(b, a): w for (a, b), w in pairs.items()}, (40, 40): 0}, math.inf)
+    assert len(got) == len(want) and all(math.isclose(got[name(v)], want[v], abs_tol=1e-12) for v in want)
+
+
+def test_betweenness_counts_long_paths_in_large_graphs(spark):
+    n = 10_050
+    star = spark.range(1, n).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(3).cast("long").alias("weight"))
+    got = {r.node: r.betweenness for r in graph.betweenness(star).collect()}
+    assert len(got) == n and math.isclose(got[0], 1) and all(got[v] == 0 for v in range(1, n))
+
+
 def test_communities_split_two_cliques(spark):
     a = list(itertools.combinations(range(5), 2))
     b = list(itertools.combinations(range(10, 15), 2))
