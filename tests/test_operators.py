@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tendersift import staging
 from tendersift.functions import expr as E
-from tendersift.operators import anomaly, communities, edges, ensemble, graph, iforest, lof, portraits, rules, scaling, screens
+from tendersift.operators import anomaly, communities, edges, ensemble, graph, iforest, lof, network, portraits, rules, scaling, screens
 from tendersift.operators.quantiles import exact_quantiles
 from tendersift.sources import readers
 
@@ -66,6 +66,17 @@ def test_award_gaps_cross_months(spark):
     assert math.isclose(got, np.std([10, 0, 50, 1], ddof=1), rel_tol=1e-9)
 
 
+def test_mixed_communities_name_their_buyers_and_suppliers(spark):
+    found = spark.createDataFrame([("S_7", "c"), ("B_2", "c"), ("B_10", "c"), ("S_B_1", "c"), ("B_3", "d"), ("S_1", "d"), ("S_4", "e"), ("S_5", "e"), ("S_6", "e")],
+                                  "node string, community string")
+    mixed = network.mixed_communities(found, 3)
+    assert [tuple(r) for r in mixed.collect()] == [("c", 4, 2, 2, ["10", "2"], ["7", "B_1"])]
+    edges_ = spark.createDataFrame([("B_2", "S_7", "contract", 5.0)], "src string, dst string, edge_type string, value double")
+    profile = network.mixed_profile(edges_, found, mixed)
+    assert "buyer_ids" not in profile.columns and profile.first().contract_value == 5.0
+    assert {(r.kind, r.member_id) for r in network.mixed_members(found, mixed).collect()} == {("buyer", "2"), ("buyer", "10"), ("supplier", "7"), ("supplier", "B_1")}
+
+
 def test_large_tender_is_paired_once(spark, monkeypatch):
     monkeypatch.setattr(edges, "CELL", 3)
     bids = spark.createDataFrame([(t, b) for t in range(2) for b in range(11)], "tender_id int, bidder_id int")
