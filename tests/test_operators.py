@@ -291,6 +291,18 @@ def test_iforest_ranks_planted_outliers(spark):
     assert scores == again
 
 
+def test_methods_meet_in_a_full_outer_join(spark):
+    """Repeated tenders meet each other, rows without a tender stay apart, gaps and empty methods give 0."""
+    row = lambda m, rows: spark.createDataFrame(rows, f"tender_id string, {m}_score double, {m}_anomaly int")
+    frames = {"rule": row("rule", [("a", 0.5, 1), ("a", 0.25, 0), (None, 0.75, 1)]), "stat": row("stat", [("a", 1.0, 1), ("a", 0.0, None), ("b", None, 1), (None, 0.5, 0)]),
+              "network": row("network", [("c", 1.0, 1)]), "lof": row("lof", [])}
+    got = [tuple(r) for r in ensemble.union_methods(frames).collect()]
+    zero = (0.0, 0)
+    want = [("a", *r, *s, *zero, *zero) for r in ((0.5, 1), (0.25, 0)) for s in ((1.0, 1), (0.0, 0))]
+    want += [("b", *zero, 0.0, 1, *zero, *zero), ("c", *zero, *zero, 1.0, 1, *zero), (None, 0.75, 1, *zero, *zero, *zero), (None, *zero, 0.5, 0, *zero, *zero)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_vote_fills_missing_methods(spark):
     rule = spark.createDataFrame([("a", 8), ("b", 1)], "tender_id string, rule_risk_score int")
     net = spark.createDataFrame([("a", 1.0, 1), ("c", 0.0, 0)], "tender_id string, network_score double, network_anomaly int")
