@@ -12,6 +12,7 @@ from tendersift import staging
 from tendersift.functions import expr as E
 from tendersift.operators import anomaly, communities, edges, ensemble, graph, iforest, lof, network, portraits, rules, scaling, screens
 from tendersift.operators.quantiles import exact_quantiles
+from tendersift.plans import registry
 from tendersift.sources import readers
 
 
@@ -303,6 +304,17 @@ def test_methods_meet_in_a_full_outer_join(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_tables_that_are_small_as_files_only_are_not_broadcast(spark, tmp_path):
+    """A million rows in files of under 10 MB do not go through the driver; a table that is small does."""
+    registry.Data(spark, str(tmp_path))
+    for name, n in (("large", 1_000_000), ("small", 1000)):
+        spark.range(n).select("id", F.lit("competitive procedure " * 5).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    assert sum(f.stat().st_size for f in (tmp_path / "large").iterdir()) < 10 << 20
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    plan = lambda name: read("large").join(read(name), "id")._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan("large") and "Broadcast" in plan("small")
+
+
 def test_vote_fills_missing_methods(spark):
     rule = spark.createDataFrame([("a", 8), ("b", 1)], "tender_id string, rule_risk_score int")
     net = spark.createDataFrame([("a", 1.0, 1), ("c", 0.0, 0)], "tender_id string, network_score double, network_anomaly int")
