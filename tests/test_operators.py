@@ -13,7 +13,7 @@ from tendersift.functions import expr as E
 from tendersift.operators import anomaly, communities, edges, ensemble, graph, iforest, lof, network, portraits, rules, scaling, screens
 from tendersift.operators.quantiles import exact_quantiles
 from tendersift.plans import registry
-from tendersift.sources import readers
+from tendersift.sources import mapping, readers
 
 
 def test_exact_quantiles_by_group(spark):
@@ -315,6 +315,26 @@ def test_tables_that_are_small_as_files_only_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in plan("large") and "Broadcast" in plan("small")
 
 
+def test_edges_and_lines_are_built_once(spark, monkeypatch, tmp_path):
+    """Flags of the networks use the written edges; the winner of an order needs no second pass over its lines."""
+    at = "timestamp'2024-03-04 10:00:00'"
+    spark.range(60).selectExpr("id AS o_orderkey", "id % 9 AS o_custkey", "'O' AS o_orderstatus", "100.0D + id AS o_totalprice", f"{at} AS o_orderdate",
+                               "'3-MEDIUM' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(240).selectExpr("id DIV 4 AS l_orderkey", "cast(id % 4 AS int) AS l_linenumber", "id % 7 AS l_partkey", "96 + id % 4 AS l_suppkey", f"{at} AS l_shipdate",
+                                "2.0D AS l_quantity", "50.0D AS l_extendedprice", "(id * 7 % 5) / 50D AS l_discount", "0.0D AS l_tax",
+                                "if(id % 4 = 2, 'R', 'N') AS l_returnflag", "'F' AS l_linestatus").write.parquet(f"{tmp_path}/lineitem.parquet")
+    calls, built = [], edges.cobid_edges
+    monkeypatch.setattr(edges, "cobid_edges", lambda *a: calls.append(1) or built(*a))
+    d = registry.Data(spark, str(tmp_path))
+    assert d.cobid.count() == 6 and d.networked.count() == 60 and len(calls) == 1
+    bids = d.bids.toPandas()
+    for _, rows in bids.groupby("tender_id"):
+        valid = rows[rows.bid_status == "active"].sort_values(["bid_amount", "bidder_id", "bid_id"])
+        assert len(rows) == 4 and list(rows[rows.is_winner == 1].bid_id) == [valid.bid_id.iloc[0]]
+    plan = mapping.build_bids(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+
+
 def test_vote_fills_missing_methods(spark):
     rule = spark.createDataFrame([("a", 8), ("b", 1)], "tender_id string, rule_risk_score int")
     net = spark.createDataFrame([("a", 1.0, 1), ("c", 0.0, 0)], "tender_id string, network_score double, network_anomaly int")
